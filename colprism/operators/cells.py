@@ -38,8 +38,11 @@ def _name(field_name: str) -> Column:
     return F.col(f"`{field_name.replace('`', '``')}`")
 
 
-def _slots(field: T.StructField) -> Column:
-    """The value of one column as (whole, real, moment, text); null cells are the empty text."""
+SLOTS = ["whole", "real", "moment", "text"]
+
+
+def _slots(field: T.StructField) -> tuple[Column, ...]:
+    """The value of one column as (whole, real, moment, text); null cells and empty texts have all four null."""
     value, kind = _name(field.name), field.dataType
     whole, real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
     moment, text = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string")
@@ -57,34 +60,32 @@ def _slots(field: T.StructField) -> Column:
     elif tag == DATETIME:
         moment = value.cast("timestamp_ntz")
     elif isinstance(kind, T.BooleanType):
-        text = F.coalesce(render_boolean(value), F.lit(""))
+        text = render_boolean(value)
     else:
-        text = F.coalesce(value, F.lit(""))
-    return F.struct(whole.alias("whole"), real.alias("real"), moment.alias("moment"), text.alias("text"))
+        text = F.nullif(value, F.lit(""))
+    return whole, real, moment, text
 
 
 def _lookup(entries: list[str]) -> Column:
-    # Never null: else Spark would add null filters to every join and push them under the count.
     return F.coalesce(F.element_at(F.array(*[F.lit(e) for e in entries]), F.col("column_pos") + 1), F.lit(""))
 
 
 def _slot_rows(df: DataFrame) -> DataFrame:
-    fields = df.schema.fields
-    wide = df.select(*[_slots(f).alias(str(i)) for i, f in enumerate(fields)])
-    long = wide.unpivot([], wide.columns, "column_pos", "cell")
-    return long.select(F.col("column_pos").cast("int").alias("column_pos"), "cell.*")
+    entries = [column for i, f in enumerate(df.schema.fields) for column in (F.lit(i), *_slots(f))]
+    return df.select(F.stack(F.lit(len(df.columns)), *entries).alias("column_pos", *SLOTS))
 
 
 def _named(rows: DataFrame, source: DataFrame, *more: str) -> DataFrame:
     fields = source.schema.fields
     value = F.coalesce("text", F.col("whole").cast("string"), render_double(F.col("real")),
                        render_timestamp(F.col("moment")), F.lit(""))
+    # Keys are never null: else Spark would add null filters to every join and push them under the count.
     return rows.select(
-        "column_pos",
+        F.coalesce("column_pos", F.lit(-1)).alias("column_pos"),
         _lookup([f.name for f in fields]).alias("column_name"),
         _lookup([profile_type(f) for f in fields]).alias("schema_type"),
         value.alias("value"),
-        "whole", "real", "moment", *more,
+        *SLOTS[:3], *more,
     )
 
 
@@ -103,5 +104,5 @@ def cells(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
 
 def value_counts(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
     """One row per column and distinct value, with the number of cells ``cnt``."""
-    counted = _slot_rows(df).groupBy("column_pos", "whole", "real", "moment", "text").agg(F.count(F.lit(1)).alias("cnt"))
+    counted = _slot_rows(df).groupBy("column_pos", *SLOTS).agg(F.count(F.lit(1)).alias("cnt"))
     return _with_dataset(_named(counted, df, "cnt"), dataset_name)

@@ -103,8 +103,12 @@ def _order_key() -> Column:
     )
 
 
-IS_TEXT = F.col("type") == D.TEXT
-IS_NUMBER = F.col("type").isin(D.INTEGER, D.REAL)
+def _is_text() -> Column:
+    return F.col("type") == D.TEXT
+
+
+def _number() -> Column:
+    return F.when(F.col("type").isin(D.INTEGER, D.REAL), F.col("number"))
 
 
 def type_stats(typed_cells: DataFrame) -> DataFrame:
@@ -115,14 +119,14 @@ def type_stats(typed_cells: DataFrame) -> DataFrame:
     struct of comparable and text.
     """
     weight = _weight(typed_cells)
-    rows = typed_cells.withColumn("_pair", F.when(~IS_TEXT & (F.col("type") != UNTYPED), F.struct(_order_key().alias("key"), "value")))
-    number = F.when(IS_NUMBER, F.col("number"))
+    rows = typed_cells.withColumn("_pair", F.when(~_is_text() & (F.col("type") != UNTYPED), F.struct(_order_key().alias("key"), "value")))
+    number = _number()
     return rows.groupBy(*keys(rows, "type")).agg(
         F.sum(weight).alias("count"),
         F.max("_pair").getField("value").alias("max_value"),
         F.min("_pair").getField("value").alias("min_value"),
         (F.sum(number * weight) / F.sum(F.when(number.isNotNull(), weight))).alias("mean"),
-        (F.sum(F.when(IS_TEXT, F.col("length") * weight)) / F.sum(weight)).alias("average_length"),
+        (F.sum(F.when(_is_text(), F.col("length") * weight)) / F.sum(weight)).alias("average_length"),
     )
 
 
@@ -132,7 +136,7 @@ def deviations(typed_cells: DataFrame, stats: DataFrame | None = None) -> DataFr
     Over cells it is the built-in; over value counts it is weighted, around
     the means of ``stats``: a second pass, as sums of squares would cancel.
     """
-    number = F.when(IS_NUMBER, F.col("number"))
+    number = _number()
     if "cnt" not in typed_cells.columns:
         return typed_cells.groupBy(*keys(typed_cells, "type")).agg(F.stddev_pop(number).alias("stddev"))
     stats = type_stats(typed_cells) if stats is None else stats
@@ -170,7 +174,7 @@ def text_stats(typed_cells: DataFrame) -> DataFrame:
     weight = _weight(typed_cells)
     return typed_cells.groupBy(*keys(typed_cells, "type")).agg(
         F.sum(weight).alias("count"),
-        (F.sum(F.when(IS_TEXT, F.col("length") * weight)) / F.sum(weight)).alias("average_length"),
+        (F.sum(F.when(_is_text(), F.col("length") * weight)) / F.sum(weight)).alias("average_length"),
     ).filter(F.col("average_length").isNotNull())
 
 
@@ -189,7 +193,7 @@ def text_by_length(typed_cells: DataFrame, longest: bool, k: int = 5) -> DataFra
     order = Window.partitionBy(*_column(typed_cells)).orderBy(F.desc("is_text"), length, "value")
     weighted = "cnt" in typed_cells.columns
     rows = typed_cells.select(
-        *keys(typed_cells), "value", "length", IS_TEXT.alias("is_text"), *(["cnt"] if weighted else [])
+        *keys(typed_cells), "value", "length", _is_text().alias("is_text"), *(["cnt"] if weighted else [])
     )
     rows = rows.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & F.col("is_text"))
     if not weighted:

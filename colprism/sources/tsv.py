@@ -47,9 +47,9 @@ def read_value_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
 
 def parse_column_list(lines: DataFrame) -> DataFrame:
     """``['a.txt.gz', 'b.txt.gz']`` in column ``value`` -> distinct file names."""
-    item = F.explode(F.split("value", r",\s*"))
+    items = lines.select(F.explode(F.split("value", r",\s*")).alias("item"))
     return (
-        lines.select(F.regexp_replace(item, r"^[\s\['\"]+|[\s\]'\"]+$", "").alias("file_name"))
+        items.select(F.regexp_replace("item", r"^[\s\['\"]+|[\s\]'\"]+$", "").alias("file_name"))
         .filter(F.col("file_name") != "")
         .distinct()
     )
