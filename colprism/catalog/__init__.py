@@ -1,4 +1,4 @@
 """All registered queries with their oracles."""
 
-from . import generic  # noqa: F401
+from . import generic, semantic, report  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -30,9 +30,8 @@ def read_tsv(spark: SparkSession, path: str, raw: bool = False, multi_line: bool
     """
     if multi_line is None:
         multi_line = has_multiline_fields(spark, path)
-    return spark.read.csv(
-        path, sep="\t", header=True, inferSchema=not raw, multiLine=multi_line, preferDate=False
-    )
+    reader = spark.read.option("preferDate", False)
+    return reader.csv(path, sep="\t", header=True, inferSchema=not raw, multiLine=multi_line)
 
 
 def read_value_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
