@@ -15,11 +15,9 @@ from .text import strip
 INTEGER, REAL, DATETIME, TEXT = "INTEGER(LONG)", "REAL", "DATE/TIME", "TEXT"
 TYPES = [INTEGER, REAL, DATETIME, TEXT]
 
-# The number shapes.
-INTEGER_SHAPE = r"^[+-]?([1-9]\d*|0)$"
-INTEGER_COMMA_SHAPE = r"^[+-]?[1-9]\d{0,2}(,\d{3})*$"
-REAL_SHAPE = r"^[+-]?(\d+\.\d*|\d*\.\d+)$"
-REAL_COMMA_SHAPE = r"^[+-]?[1-9]\d{0,2}(,\d{3})*\.\d*$"
+# The number shapes, without and with thousands commas.
+INTEGER_SHAPE = r"^[+-]?(?:[1-9]\d*|0|[1-9]\d{0,2}(?:,\d{3})*)$"
+REAL_SHAPE = r"^[+-]?(?:\d+\.\d*|\d*\.\d+|[1-9]\d{0,2}(?:,\d{3})*\.\d*)$"
 
 # Date and time shapes of the strict mode.
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -43,8 +41,17 @@ _CLOCK_CODE = (r"(?i)^(1[0-2]|0[1-9]|[1-9])([0-5]\d|\d)([ap])$", "1900|1|1|$1|$2
 TWO_DIGIT_YEAR_PIVOT = 69
 
 
-def _first_shape(text: Column, shapes) -> Column:
-    """The spelling by the first shape that fits, else null."""
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value bound to a name; null for a null value.
+
+    For rare and bulky expressions: they occur once in the plan and stay out
+    of the code generated for every row.
+    """
+    return F.get(F.transform(F.when(value.isNotNull(), F.array(value)), body), F.lit(0))
+
+
+def _spelled(text: Column, shapes) -> Column:
+    """year|month|day|hour|minute|second|half by the first shape that fits, else null."""
     return reduce(
         lambda rest, shape: F.when(text.rlike(shape[0]), F.regexp_replace(text, *shape)).otherwise(rest),
         reversed(shapes),
@@ -52,20 +59,17 @@ def _first_shape(text: Column, shapes) -> Column:
     )
 
 
-def date_parts(value: Column, clock_only: bool = False) -> Column:
-    """year, month, day, hour, minute, second, half of day as texts; null if no shape fits."""
-    clock = _first_shape(value, [_CLOCK_CODE])
-    if clock_only:
-        return F.split(clock, r"\|")
-    # The gate keeps long prose away from the date shapes.
-    date_like = (F.length(value) <= 64) & value.rlike(r"\d[-/: ,]|\d[a-zA-Z]|[a-zA-Z] \d")
-    return F.split(F.when(date_like, F.coalesce(_first_shape(strip(value), _DATE_SHAPES), clock)), r"\|")
-
+def shaped_timestamp(value: Column, clock_only: bool = False) -> Column:
+    """Timestamp of a text in one of the listed shapes, else null.
 
-def timestamp_of_parts(parts: Column) -> Column:
-    """Timestamp of ``date_parts``; null if there are none or the numbers make no date."""
-    # The lambda binds the parts to a name, so that their expression occurs once in the plan.
-    return F.get(F.transform(F.when(parts.isNotNull(), F.array(parts)), _timestamp), F.lit(0))
+    A cheap gate keeps words and prose away from the shapes.
+    """
+    if clock_only:
+        date_like, spell = value.rlike(_CLOCK_CODE[0]), lambda text: _spelled(text, [_CLOCK_CODE])
+    else:
+        date_like = (F.length(value) <= 64) & value.rlike(r"\d[-/: ,]|\d[a-zA-Z]|[a-zA-Z] \d")
+        spell = lambda text: F.coalesce(_let(strip(text), lambda t: _spelled(t, _DATE_SHAPES)), _spelled(text, [_CLOCK_CODE]))
+    return F.when(date_like, _let(value, lambda text: _let(F.split(spell(text), r"\|"), _timestamp)))
 
 
 def _timestamp(parts: Column) -> Column:
@@ -130,6 +134,6 @@ def without_commas(value: Column) -> Column:
 def number_tag(value: Column) -> Column:
     """INTEGER or REAL for a number text, else null."""
     return (
-        F.when(value.rlike(INTEGER_SHAPE) | value.rlike(INTEGER_COMMA_SHAPE), F.lit(INTEGER))
-        .when(value.rlike(REAL_SHAPE) | value.rlike(REAL_COMMA_SHAPE), F.lit(REAL))
+        F.when(value.rlike(INTEGER_SHAPE), F.lit(INTEGER))
+        .when(value.rlike(REAL_SHAPE), F.lit(REAL))
     )

@@ -75,6 +75,11 @@ def _checked(words: Sequence[str]) -> list[str]:
     return words
 
 
+def _literal_array(words: Sequence[str]) -> Column:
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"array({quoted})")
+
+
 def one_of(words: Sequence[str]) -> Predicate:
     words = _checked(words)
     return lambda value: value.isin(words)
@@ -88,14 +93,7 @@ def dictionary_term(words: Sequence[str]) -> Predicate:
 
 def contains_any(words: Sequence[str]) -> Predicate:
     words = _checked(words)
-
-    def test(value: Column) -> Column:
-        result = value.contains(words[0])
-        for word in words[1:]:
-            result = result | value.contains(word)
-        return result
-
-    return test
+    return lambda value: F.exists(_literal_array(words), lambda word: F.contains(value, word))
 
 
 def similar_to(words: Sequence[str], threshold: float = 0.5) -> Predicate:
@@ -110,7 +108,7 @@ def similar_to(words: Sequence[str], threshold: float = 0.5) -> Predicate:
         result = F.lit(False)
         for length, group in sorted(by_length.items()):
             low, high = math.floor(length * threshold), math.ceil(length / threshold)
-            candidates = F.array(*[F.lit(word) for word in group])
+            candidates = _literal_array(group)
             result = result | (
                 F.length(value).between(max(low, 1), high)
                 & F.exists(candidates, lambda term: similarity(term, value) >= threshold)

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.detect import DATETIME, INTEGER, REAL, TEXT
-from ..functions.rendering import render_boolean, render_double, render_timestamp
+from ..functions.text import is_blank
+from ..functions.rendering import render_double, render_timestamp
 
 
 class UnsupportedColumnType(TypeError):
@@ -34,58 +35,58 @@ def profile_type(field: T.StructField) -> str:
     raise UnsupportedColumnType(f"column {field.name}: {field.dataType.simpleString()}")
 
 
-def _name(field_name: str) -> Column:
-    return F.col(f"`{field_name.replace('`', '``')}`")
+SLOTS = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
 
 
-SLOTS = ["whole", "real", "moment", "text"]
-
-
-def _slots(field: T.StructField) -> tuple[Column, ...]:
-    """The value of one column as (whole, real, moment, text); null cells and empty texts have all four null."""
-    value, kind = _name(field.name), field.dataType
-    whole, real = F.lit(None).cast("bigint"), F.lit(None).cast("double")
-    moment, text = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string")
+def _slots(field: T.StructField) -> dict[str, str]:
+    """SQL of the slots one column fills; null cells and empty texts fill none."""
+    value, kind = "`" + field.name.replace("`", "``") + "`", field.dataType
     tag = profile_type(field)
     if tag == INTEGER:
-        whole = value.cast("bigint")
-    elif isinstance(kind, T.DecimalType):
-        real, text = value.cast("double"), value.cast("string")
-    elif tag == REAL:
-        real = value.cast("double")
+        return {"whole": f"CAST({value} AS bigint)"}
+    if isinstance(kind, T.DecimalType):
+        return {"real": f"CAST({value} AS double)", "text": f"CAST({value} AS string)"}
+    if tag == REAL:
         # Grouping merges the two zeros, their texts differ.
-        text = F.when((real == 0) & (value.cast("string") == "-0.0"), F.lit("-0.0"))
-    elif isinstance(kind, T.DateType):
-        moment, text = value.cast("timestamp_ntz"), value.cast("string")
-    elif tag == DATETIME:
-        moment = value.cast("timestamp_ntz")
-    elif isinstance(kind, T.BooleanType):
-        text = render_boolean(value)
-    else:
-        text = F.nullif(value, F.lit(""))
-    return whole, real, moment, text
+        negative_zero = f"CASE WHEN {value} = 0 AND CAST({value} AS string) = '-0.0' THEN '-0.0' END"
+        return {"real": f"CAST({value} AS double)", "text": negative_zero}
+    if isinstance(kind, T.DateType):
+        return {"moment": f"CAST({value} AS timestamp_ntz)", "text": f"CAST({value} AS string)"}
+    if tag == DATETIME:
+        return {"moment": f"CAST({value} AS timestamp_ntz)"}
+    if isinstance(kind, T.BooleanType):
+        return {"text": f"initcap(CAST({value} AS string))"}
+    return {"text": f"nullif({value}, '')"}
 
 
-def _lookup(entries: list[str]) -> Column:
-    return F.coalesce(F.element_at(F.array(*[F.lit(e) for e in entries]), F.col("column_pos") + 1), F.lit(""))
+def _slot_rows(df: DataFrame) -> DataFrame:
+    """A row per cell, by one ``stack`` over all columns: column_pos and the four slots."""
+    entries = []
+    for position, field in enumerate(df.schema.fields):
+        filled = _slots(field)
+        entries.append(str(position))
+        entries += [filled.get(slot, f"CAST(NULL AS {kind})") for slot, kind in SLOTS.items()]
+    return df.selectExpr(f"stack({len(df.columns)}, {', '.join(entries)}) AS (column_pos, {', '.join(SLOTS)})")
 
 
-def _slot_rows(df: DataFrame) -> DataFrame:
-    entries = [column for i, f in enumerate(df.schema.fields) for column in (F.lit(i), *_slots(f))]
-    return df.select(F.stack(F.lit(len(df.columns)), *entries).alias("column_pos", *SLOTS))
+def _lookup(entries: list[str]) -> Column:
+    quoted = ", ".join("'" + e.replace("\\", "\\\\").replace("'", "\\'") + "'" for e in entries)
+    return F.expr(f"coalesce(element_at(array({quoted}), column_pos + 1), '')")
 
 
 def _named(rows: DataFrame, source: DataFrame, *more: str) -> DataFrame:
     fields = source.schema.fields
-    value = F.coalesce("text", F.col("whole").cast("string"), render_double(F.col("real")),
-                       render_timestamp(F.col("moment")), F.lit(""))
+    value = f"coalesce(text, CAST(whole AS string), {render_double('real')}, {render_timestamp('moment')}, '')"
     # Keys are never null: else Spark would add null filters to every join and push them under the count.
     return rows.select(
-        F.coalesce("column_pos", F.lit(-1)).alias("column_pos"),
+        F.expr("coalesce(column_pos, -1)").alias("column_pos"),
         _lookup([f.name for f in fields]).alias("column_name"),
         _lookup([profile_type(f) for f in fields]).alias("schema_type"),
-        value.alias("value"),
-        *SLOTS[:3], *more,
+        F.expr(value).alias("value"),
+        # Only texts are searched for a character that is not white space.
+        (F.expr("whole IS NULL AND real IS NULL AND moment IS NULL") & F.coalesce(is_blank(F.col("text")), F.lit(True)))
+        .alias("is_blank"),
+        *SLOTS, *more,
     )
 
 
@@ -94,7 +95,7 @@ def _with_dataset(rows: DataFrame, dataset_name: str | None) -> DataFrame:
 
 
 def cells(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
-    """One row per cell: column_pos, column_name, schema_type, value and the typed slots.
+    """One row per cell: column_pos, column_name, schema_type, value, is_blank and the typed slots.
 
     With ``dataset_name`` the cells of several datasets can be united and
     described in one job.

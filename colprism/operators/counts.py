@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import is_blank
 from .typing import keys
 
 
 def column_counts(counts: DataFrame) -> DataFrame:
     """Rows, non-empty and empty cells and distinct values of every column."""
-    blank = is_blank(F.col("value"))
+    blank = F.col("is_blank")
     return counts.groupBy(*keys(counts)).agg(
         F.sum("cnt").alias("n_rows"),
         F.sum(F.when(blank, 0).otherwise(F.col("cnt"))).alias("n_non_empty"),

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import detect as D
-from ..functions.text import is_blank
 
 UNTYPED = ""
 
@@ -37,29 +36,26 @@ def typed(cells: DataFrame, dates: str = "strict", empty_as_text: bool = True) -
     """
     if dates not in ("strict", "compat"):
         raise ValueError("dates must be 'strict' or 'compat'")
-    value, from_schema = F.col("value"), F.col("schema_type")
-    rows = cells.withColumn("_blank", is_blank(value))
-    rows = rows.withColumn(
-        "_number_tag", F.when(~F.col("_blank") & (from_schema == D.TEXT), D.number_tag(value))
-    )
-    open_text = ~F.col("_blank") & (from_schema == D.TEXT) & F.col("_number_tag").isNull()
+    value, text, from_schema = F.col("value"), F.col("text"), F.col("schema_type")
     # Each step is its own projection, so that no expression is computed twice.
+    # Detection reads the text slot: columns typed by the schema render no value for it.
+    open_text = ~F.col("is_blank") & (from_schema == D.TEXT)
+    rows = cells.withColumn("_number_tag", F.when(open_text, D.number_tag(text)))
     compat = dates == "compat"
-    rows = rows.withColumn("_open", open_text)
-    rows = rows.withColumn("_parts", F.when(F.col("_open"), D.date_parts(value, clock_only=compat)))
-    parsed = D.timestamp_of_parts(F.col("_parts"))
+    rows = rows.withColumn("_open", open_text & F.col("_number_tag").isNull())
+    parsed = F.when(F.col("_open"), D.shaped_timestamp(text, clock_only=compat))
     if compat:
-        rows = rows.withColumn("_lenient", D.lenient_timestamp(F.when(F.col("_open"), value)))
+        rows = rows.withColumn("_lenient", D.lenient_timestamp(F.when(F.col("_open"), text)))
         parsed = F.coalesce(F.col("_lenient"), parsed)
     rows = rows.withColumn("_parsed", parsed)
     tag = (
-        F.when(F.col("_blank"), D.TEXT if empty_as_text else UNTYPED)
+        F.when(F.col("is_blank"), D.TEXT if empty_as_text else UNTYPED)
         .when(from_schema != D.TEXT, from_schema)
         .otherwise(
             F.coalesce(F.col("_number_tag"), F.when(F.col("_parsed").isNotNull(), D.DATETIME), F.lit(D.TEXT))
         )
     )
-    digits = D.without_commas(value)
+    digits = D.without_commas(text)
     number = F.coalesce(
         F.col("whole").cast("double"),
         F.col("real"),
@@ -70,7 +66,7 @@ def typed(cells: DataFrame, dates: str = "strict", empty_as_text: bool = True) -
         F.coalesce("whole", F.when(F.col("_number_tag") == D.INTEGER, digits.try_cast("bigint"))).alias("whole"),
         number.alias("number"),
         F.coalesce("moment", "_parsed").alias("moment"),
-        F.when(F.col("_blank"), 0).otherwise(F.length(value)).alias("length"),
+        F.when(F.col("is_blank"), 0).otherwise(F.length(value)).alias("length"),
         *(["cnt"] if "cnt" in cells.columns else []),
     )
 
@@ -85,7 +81,8 @@ def type_counts(typed_cells: DataFrame) -> DataFrame:
 def types_per_column(typed_cells: DataFrame) -> DataFrame:
     """The set of detected types of every column, possibly empty; at most four are collected."""
     kind = F.when(F.col("type") != UNTYPED, F.col("type"))
-    return typed_cells.groupBy(*keys(typed_cells)).agg(F.array_sort(F.collect_set(kind)).alias("types"))
+    found = typed_cells.groupBy(*keys(typed_cells, "type")).agg(F.count(F.lit(1)).alias("_cells"))
+    return found.groupBy(*keys(found)).agg(F.array_sort(F.collect_set(kind)).alias("types"))
 
 
 def _order_key() -> Column:
