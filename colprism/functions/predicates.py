@@ -1,8 +1,7 @@
 """Value predicates of the semantic types, as ``Column -> Column`` functions.
 
 They expect a normalised value (stripped, lower case).  Dictionaries are
-literals, so exact membership compiles to a hash-set test and nothing is
-joined; a fuzzy test first compares lengths, as 1 - d/max cannot reach the
+literal arrays, so nothing is joined; a fuzzy test first compares lengths, as 1 - d/max cannot reach the
 threshold when the lengths are too far apart.
 """
 
@@ -82,13 +81,13 @@ def _literal_array(words: Sequence[str]) -> Column:
 
 def one_of(words: Sequence[str]) -> Predicate:
     words = _checked(words)
-    return lambda value: value.isin(words)
+    return lambda value: F.array_contains(_literal_array(words), value)
 
 
 def dictionary_term(words: Sequence[str]) -> Predicate:
     """Membership with runs of white space counted as one blank."""
     words = _checked(words)
-    return lambda value: collapse_spaces(value).isin(words)
+    return lambda value: F.array_contains(_literal_array(words), collapse_spaces(value))
 
 
 def contains_any(words: Sequence[str]) -> Predicate:
