@@ -3,10 +3,10 @@
 Input is ``cells`` (a row per cell) or ``value_counts`` (a row per distinct
 value with weight ``cnt``); each operator takes both.
 
-No operator filters by the detected type: Spark would push that filter, with
-the whole detection in it, below the count of the values, and the branches of
-a profile could no longer share one exchange.  Conditions sit inside the
-aggregates and windows instead.
+No operator filters value counts by the detected type alone: Spark would push
+that filter, with the whole detection in it, below the count of the values, and
+the branches of a profile could no longer share one exchange.  Conditions sit
+inside the aggregates, or in ``_only``.
 """
 
 from __future__ import annotations
@@ -108,25 +108,38 @@ def _number() -> Column:
     return F.when(F.col("type").isin(D.INTEGER, D.REAL), F.col("number"))
 
 
-def type_stats(typed_cells: DataFrame) -> DataFrame:
-    """Everything but the deviation in one aggregation: a row per column and type.
+def _only(df: DataFrame, test: Column) -> DataFrame:
+    """Rows that pass ``test``, filtered in place.
 
-    ``max_value`` is the text of the largest number or date; among equal ones
-    the lexically largest text, for ``min_value`` the smallest: the order of a
-    struct of comparable and text.
+    Over value counts the condition includes the count, which keeps it above
+    the aggregation: all branches of a profile go on sharing its exchange.
     """
-    weight = _weight(typed_cells)
-    rows = typed_cells.withColumn("_pair", F.when(~_is_text() & (F.col("type") != UNTYPED), F.struct(_order_key().alias("key"), "value")))
-    number = _number()
-    return rows.groupBy(*keys(rows, "type")).agg(
+    return df.filter(F.when(test, F.col("cnt")) > 0) if "cnt" in df.columns else df.filter(test)
+
+
+def type_stats(typed_cells: DataFrame) -> DataFrame:
+    """Cells, mean and average length, a row per column and type; a plain hash aggregation."""
+    weight, number = _weight(typed_cells), _number()
+    return typed_cells.groupBy(*keys(typed_cells, "type")).agg(
         F.sum(weight).alias("count"),
-        F.max("_pair").getField("value").alias("max_value"),
-        F.min("_pair").getField("value").alias("min_value"),
         (F.sum(number * weight) / F.sum(F.when(number.isNotNull(), weight))).alias("mean"),
         (F.sum(F.when(_is_text(), F.col("length") * weight)) / F.sum(weight)).alias("average_length"),
     )
 
 
+def extremes(typed_cells: DataFrame) -> DataFrame:
+    """Text of the largest and the smallest number or date, a row per column and type.
+
+    Among equal ones the maximum takes the lexically largest text, the minimum
+    the smallest: the order of a struct of comparable and text.
+    """
+    rows = _only(typed_cells, ~F.col("type").isin(D.TEXT, UNTYPED))
+    rows = rows.select(*keys(rows, "type"), F.struct(_order_key().alias("key"), "value").alias("_pair"))
+    return rows.groupBy(*keys(rows, "type")).agg(
+        F.max("_pair").getField("value").alias("max_value"), F.min("_pair").getField("value").alias("min_value")
+    )
+
+
 def deviations(typed_cells: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Population standard deviation of the numbers of every column and type.
 
@@ -150,20 +163,20 @@ def deviations(typed_cells: DataFrame, stats: DataFrame | None = None) -> DataFr
 
 def numeric_stats(typed_cells: DataFrame) -> DataFrame:
     """Count, extremes, mean and deviation of INTEGER(LONG) and REAL cells."""
-    stats = type_stats(typed_cells)
-    by = keys(typed_cells, "type")
-    both = stats.join(deviations(typed_cells, stats), by)
-    return both.filter(F.col("mean").isNotNull()).select(*by, "count", "max_value", "min_value", "mean", "stddev")
+    stats, by = type_stats(typed_cells), keys(typed_cells, "type")
+    joined = stats.join(deviations(typed_cells, stats), by).join(extremes(typed_cells), by)
+    return joined.filter(F.col("mean").isNotNull()).select(*by, "count", "max_value", "min_value", "mean", "stddev")
 
 
 def datetime_stats(typed_cells: DataFrame) -> DataFrame:
     """Count and extremes of DATE/TIME cells."""
-    rows = typed_cells.withColumn("_pair", F.when(F.col("type") == D.DATETIME, F.struct("moment", "value")))
+    rows = _only(typed_cells, F.col("type") == D.DATETIME)
+    pair = F.struct("moment", "value")
     return rows.groupBy(*keys(rows, "type")).agg(
         F.sum(_weight(rows)).alias("count"),
-        F.max("_pair").getField("value").alias("max_value"),
-        F.min("_pair").getField("value").alias("min_value"),
-    ).filter(F.col("max_value").isNotNull())
+        F.max(pair).getField("value").alias("max_value"),
+        F.min(pair).getField("value").alias("min_value"),
+    )
 
 
 def text_stats(typed_cells: DataFrame) -> DataFrame:
@@ -184,17 +197,15 @@ def text_by_length(typed_cells: DataFrame, longest: bool, k: int = 5) -> DataFra
 
     These are cells, not distinct values: a value that occurs often may fill
     all places.  On value counts the k first distinct values are found first
-    and only those are repeated.  Other types sort behind the texts.
+    and only those are repeated.
     """
     length = F.desc("length") if longest else F.asc("length")
-    order = Window.partitionBy(*_column(typed_cells)).orderBy(F.desc("is_text"), length, "value")
+    order = Window.partitionBy(*_column(typed_cells)).orderBy(length, "value")
     weighted = "cnt" in typed_cells.columns
-    rows = typed_cells.select(
-        *keys(typed_cells), "value", "length", _is_text().alias("is_text"), *(["cnt"] if weighted else [])
-    )
-    rows = rows.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= k) & F.col("is_text"))
+    rows = _only(typed_cells, _is_text()).select(*keys(typed_cells), "value", "length", *(["cnt"] if weighted else []))
+    rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if not weighted:
-        return rows.drop("is_text")
+        return rows
     copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least("cnt", F.lit(k)))))
     again = Window.partitionBy(*_column(rows)).orderBy("rank", "_copy")
     return (

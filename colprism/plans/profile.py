@@ -32,7 +32,11 @@ def column_profiles(df: DataFrame, dates: str = "strict", empty_as_text: bool =
     counts = value_counts(df)
     typed = Y.typed(counts, dates, empty_as_text)
     stats = Y.type_stats(typed)
-    types = stats.join(Y.deviations(typed, stats).drop("column_name"), ["column_pos", "type"], "left")
+    by = ["column_pos", "type"]
+    types = (
+        stats.join(Y.deviations(typed, stats).drop("column_name"), by, "left")
+        .join(Y.extremes(typed).drop("column_name"), by, "left")
+    )
     shortest = _ranked(Y.text_by_length(typed, longest=False, k=k), "shortest_values")
     longest = _ranked(Y.text_by_length(typed, longest=True, k=k), "longest_values")
     types = types.join(shortest, "column_pos", "left").join(longest, "column_pos", "left")

@@ -50,14 +50,14 @@ def test_extremes_take_lexical_ends(spark):
 
 def test_whole_numbers_of_any_length_are_ordered(spark):
     values = [str(v) for v in [10**40, 10**40 + 1, -(10**40), -(10**40) - 1, 5, -7, 10**19]]
-    stats = Y.type_stats(Y.typed(value_counts(column(spark, values)))).first()
+    stats = Y.extremes(Y.typed(value_counts(column(spark, values)))).first()
     assert (stats.max_value, stats.min_value) == (str(10**40 + 1), str(-(10**40) - 1))
 
 
 def test_cells_and_counts_agree(spark):
     values = ["1", "1", "2.5", "7", "7", "7", "", "abc", "abc", "2017-01-01"]
     frame = column(spark, values)
-    for operator in (Y.type_stats, Y.deviations, Y.type_counts, Y.text_stats, Y.datetime_stats, Y.numeric_stats):
+    for operator in (Y.type_stats, Y.extremes, Y.deviations, Y.type_counts, Y.text_stats, Y.datetime_stats, Y.numeric_stats):
         one, other = operator(Y.typed(cells(frame))), operator(Y.typed(value_counts(frame)))
         plain = lambda df: sorted(
             (tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr

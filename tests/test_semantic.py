@@ -13,7 +13,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 TRUE_FALSE = {
     "Phone_Number": (["212-555-0100", "(212) 555-0100", "2125550100", "212.555.0100"], ["1 212 555 0100", "555-0100"]),
     "Address": (["12 main street", "55 ave b", "p.o. box 12", "po box 7", "7 elm st."], ["123 broadway", "main street", "12345 main street"]),
-    "Street_name": (["main street", "avenue of x", "st. mark's place", "street "], ["broadway", "5th"]),
+    "Street_name": (["main street", "avenue of x", "place des x", "street "], ["st. mark's place", "broadway", "5th"]),
     "Zip_code": (["10001", "10001-1234", "10001 1234"], ["1000", "100011"]),
     "Websites": (["http://a.com", "www.a-b.com/x", "foo.bar", "nyc.gov/"], ["a..b", "a", "-a.com", "http://a b.com"]),
     "Building_Classification": (["r4-x", "a|-z", "d3-elevator"], ["x4-a", "r4", "rz-x"]),
