@@ -29,9 +29,11 @@ def top_frequent(counts: DataFrame, k: int = 5) -> DataFrame:
     ``row_number() <= k`` lets Spark cut every map partition to k rows per
     column before the shuffle.
     """
-    order = Window.partitionBy(*[c for c in keys(counts) if c != "column_name"]).orderBy(F.desc("cnt"), "value")
+    digest = ["digest"] if "digest" in counts.columns else []
+    column = [c for c in keys(counts) if c != "column_name"]
+    order = Window.partitionBy(*column).orderBy(F.desc("cnt"), "value", *digest)
     return (
-        counts.select(*keys(counts), "value", "cnt")
+        counts.select(*keys(counts), "value", *digest, "cnt")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
     )

@@ -40,6 +40,9 @@ def typed(cells: DataFrame, dates: str = "strict", empty_as_text: bool = True) -
     # Each step is its own projection, so that no expression is computed twice.
     # Detection reads the text slot: columns typed by the schema render no value for it.
     open_text = ~F.col("is_blank") & (from_schema == D.TEXT)
+    digested = "digest" in cells.columns
+    if digested:
+        open_text = open_text & F.col("digest").isNull()
     rows = cells.withColumn("_number_tag", F.when(open_text, D.number_tag(text)))
     compat = dates == "compat"
     rows = rows.withColumn("_open", open_text & F.col("_number_tag").isNull())
@@ -61,13 +64,14 @@ def typed(cells: DataFrame, dates: str = "strict", empty_as_text: bool = True) -
         F.col("real"),
         F.when(F.col("_number_tag").isNotNull(), digits.try_cast("double")),
     )
+    length = F.coalesce("text_length", F.length(value)) if digested else F.length(value)
     return rows.select(
         *keys(cells), tag.alias("type"), "value",
         F.coalesce("whole", F.when(F.col("_number_tag") == D.INTEGER, digits.try_cast("bigint"))).alias("whole"),
         number.alias("number"),
         F.coalesce("moment", "_parsed").alias("moment"),
-        F.when(F.col("is_blank"), 0).otherwise(F.length(value)).alias("length"),
-        *(["cnt"] if "cnt" in cells.columns else []),
+        F.when(F.col("is_blank"), 0).otherwise(length).alias("length"),
+        *[c for c in ("cnt", "digest") if c in cells.columns],
     )
 
 
@@ -200,9 +204,11 @@ def text_by_length(typed_cells: DataFrame, longest: bool, k: int = 5) -> DataFra
     and only those are repeated.
     """
     length = F.desc("length") if longest else F.asc("length")
-    order = Window.partitionBy(*_column(typed_cells)).orderBy(length, "value")
+    digest = ["digest"] if "digest" in typed_cells.columns else []
+    order = Window.partitionBy(*_column(typed_cells)).orderBy(length, "value", *digest)
     weighted = "cnt" in typed_cells.columns
-    rows = _only(typed_cells, _is_text()).select(*keys(typed_cells), "value", "length", *(["cnt"] if weighted else []))
+    shown = [*keys(typed_cells), "value", *digest, "length"]
+    rows = _only(typed_cells, _is_text()).select(*shown, *(["cnt"] if weighted else []))
     rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if not weighted:
         return rows
@@ -210,5 +216,5 @@ def text_by_length(typed_cells: DataFrame, longest: bool, k: int = 5) -> DataFra
     again = Window.partitionBy(*_column(rows)).orderBy("rank", "_copy")
     return (
         copies.withColumn("_place", F.row_number().over(again)).filter(F.col("_place") <= k)
-        .select(*keys(rows), "value", "length", F.col("_place").alias("rank"))
+        .select(*shown, F.col("_place").alias("rank"))
     )

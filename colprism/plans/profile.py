@@ -10,26 +10,54 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import counts as C, typing as Y
-from ..operators.cells import value_counts
+from ..operators.cells import has_text, texts_of_digests, value_counts
 from ..sources import results
 
 TOP = 5
 
 
-def _ranked(rows: DataFrame, name: str) -> DataFrame:
-    """k ranked rows per column -> one array in order of rank."""
-    return rows.groupBy("column_pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda r: r["value"]).alias(name)
+# Texts of more bytes than this cross the shuffle as digests.
+DIGEST_OVER = 256
+LISTS = ["frequent_values", "shortest_values", "longest_values"]
+
+
+def _shown_values(counts: DataFrame, typed: DataFrame, k: int) -> DataFrame:
+    """The values a profile shows, at most 3 k per column: column_pos, list, rank, value (and digest)."""
+    frames = [C.top_frequent(counts, k), Y.text_by_length(typed, longest=False, k=k), Y.text_by_length(typed, longest=True, k=k)]
+    columns = [c for c in ("column_pos", "rank", "value", "digest") if c in counts.columns or c == "rank"]
+    return reduce(
+        DataFrame.unionByName, [frame.select(F.lit(name).alias("list"), *columns) for name, frame in zip(LISTS, frames)]
+    )
+
+
+def _lists(shown: DataFrame) -> DataFrame:
+    """One row per column with the shown values as arrays in order of rank."""
+    member = lambda name: F.when(F.col("list") == name, F.struct("rank", "value"))
+    return shown.groupBy("column_pos").agg(
+        *[F.transform(F.array_sort(F.collect_list(member(name))), lambda r: r["value"]).alias(name) for name in LISTS]
     )
 
 
-def column_profiles(df: DataFrame, dates: str = "strict", empty_as_text: bool = True, k: int = TOP) -> DataFrame:
-    """One row per column with counts, most frequent values and an array of type entries."""
-    counts = value_counts(df)
+def column_profiles(
+    df: DataFrame,
+    dates: str = "strict",
+    empty_as_text: bool = True,
+    k: int = TOP,
+    digest_over: int | None = DIGEST_OVER,
+) -> DataFrame:
+    """One row per column with counts, most frequent values and an array of type entries.
+
+    Ties are broken by value, between texts of more than ``digest_over`` bytes
+    by their first characters and then by digest (None: by the whole value).
+    """
+    if dates != "strict" or not has_text(df):  # the general date parser must see every text whole
+        digest_over = None
+    counts = value_counts(df, digest_over=digest_over)
     typed = Y.typed(counts, dates, empty_as_text)
     stats = Y.type_stats(typed)
     by = ["column_pos", "type"]
@@ -37,9 +65,13 @@ def column_profiles(df: DataFrame, dates: str = "strict", empty_as_text: bool =
         stats.join(Y.deviations(typed, stats).drop("column_name"), by, "left")
         .join(Y.extremes(typed).drop("column_name"), by, "left")
     )
-    shortest = _ranked(Y.text_by_length(typed, longest=False, k=k), "shortest_values")
-    longest = _ranked(Y.text_by_length(typed, longest=True, k=k), "longest_values")
-    types = types.join(shortest, "column_pos", "left").join(longest, "column_pos", "left")
+    shown = _shown_values(counts, typed, k)
+    if digest_over is not None:
+        whole = texts_of_digests(df, shown.filter(F.col("digest").isNotNull()), digest_over)
+        shown = shown.join(F.broadcast(whole), ["column_pos", "digest"], "left")
+        shown = shown.withColumn("value", F.coalesce("whole_text", "value"))
+    lists = _lists(shown)
+    types = types.join(lists.drop("frequent_values"), "column_pos", "left")
     is_text = F.col("type") == Y.D.TEXT
     entry = F.struct(
         F.col("type"),
@@ -54,13 +86,12 @@ def column_profiles(df: DataFrame, dates: str = "strict", empty_as_text: bool =
     )
     entries = types.groupBy("column_pos").agg(F.array_sort(F.collect_list(entry)).alias("data_types"))
     entries = entries.withColumn("data_types", F.filter("data_types", lambda e: e["type"] != Y.UNTYPED))
-    frequent = _ranked(C.top_frequent(counts, k), "frequent_values")
     # Starts from the schema, so that a table without rows still lists its columns.
     names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "column_pos int, column_name string")
     number = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     return (
         names.join(C.column_counts(counts).drop("column_name"), "column_pos", "left")
-        .join(frequent, "column_pos", "left")
+        .join(lists.select("column_pos", "frequent_values"), "column_pos", "left")
         .join(entries, "column_pos", "left")
         .select(
             "column_pos", "column_name", number("n_rows"), number("n_non_empty"), number("n_empty"), number("n_distinct"),

@@ -161,3 +161,37 @@ def test_combined_files_are_one_document(spark, tmp_path):
     results.write_combined(records, "name", "datasets", str(tmp_path / "doc"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*")))
     assert [r["name"] for r in json.loads(text)["datasets"]] == [f"{i:04d}" for i in range(200)]
+
+
+def test_long_texts_are_counted_by_digest_and_shown_whole(spark):
+    head = "word " * 100
+    texts = [head + "b"] * 3 + [head + "a"] + ["x" * 300, "9" * 300, " " * 300, "Jan 5, 2017" + " " * 300 + "x", "short", None, "é" * 200]
+    frame = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, n int")
+    counts = value_counts(frame, digest_over=256)
+    assert counts.filter("digest IS NOT NULL").count() == 5
+    by_digest, whole = (
+        [json.loads(r[0]) for r in column_profiles(frame, digest_over=size).orderBy("column_pos")
+         .select(F.to_json(F.struct("*"))).collect()] for size in (256, None)
+    )
+    for one, other in zip(by_digest, whole):
+        assert one["n_distinct"] == other["n_distinct"]
+        assert one["frequent_values"][0] == other["frequent_values"][0]
+        assert {e["type"]: e["count"] for e in one["data_types"]} == {e["type"]: e["count"] for e in other["data_types"]}
+        for mine, theirs in zip(one["data_types"], other["data_types"]):
+            for name in ("shortest_values", "longest_values"):
+                assert [len(v) for v in mine.get(name, [])] == [len(v) for v in theirs.get(name, [])]
+                assert set(mine.get(name, [])) <= {t or "" for t in texts}
+            assert mine.get("average_length") == theirs.get("average_length")
+
+
+def test_documents_profile(spark, tiny):
+    import duckdb
+
+    path = f"{tiny}/documents.parquet"
+    row = column_profiles(spark.read.parquet(path)).filter("column_name = 'text'").first()
+    counted = duckdb.execute(f"SELECT count(DISTINCT text), max(length(text)) FROM '{path}'").fetchall()[0]
+    longest = row.data_types[-1].longest_values
+    assert (row.n_distinct, len(longest[0])) == counted
+    top = duckdb.execute(f"SELECT count(*) AS n FROM '{path}' GROUP BY text ORDER BY n DESC LIMIT 5").fetchall()
+    for text, (n,) in zip(row.frequent_values, top):
+        assert duckdb.execute(f"SELECT count(*) FROM '{path}' WHERE text = ?", [text]).fetchall()[0][0] == n
