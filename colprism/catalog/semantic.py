@@ -215,7 +215,6 @@ def semantic_nested(spark, sf_dir):
     values = column_values(spark, sf_dir)
     (
         values.filter("value <> ''").select("column_name", "value", F.col("freq").cast("string"))
-        .repartition("column_name")
         .write.partitionBy("column_name").option("compression", "gzip").csv(f"{folder}/values", sep="\t")
     )
     blank = values.filter("value = ''")

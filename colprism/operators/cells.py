@@ -152,8 +152,7 @@ def texts_of_digests(df: DataFrame, wanted: DataFrame, digest_over: int) -> Data
     texts = [(i, _quoted(f)) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
     entries = ", ".join(f"{i}, CASE WHEN {_is_long(v, digest_over)} THEN {v} END" for i, v in texts)
     long = df.selectExpr(f"stack({len(texts)}, {entries}) AS (column_pos, whole_text)").filter("whole_text IS NOT NULL")
-    heads = F.broadcast(wanted.select("column_pos", "value").distinct())
-    found = long.withColumn("value", F.expr(f"left(whole_text, {HEAD})")).join(heads, ["column_pos", "value"], "left_semi")
-    digests = F.broadcast(wanted.select("column_pos", "digest").distinct())
-    found = found.withColumn("digest", F.expr(_digest("whole_text"))).join(digests, ["column_pos", "digest"])
+    heads = wanted.groupBy("column_pos", "value").agg(F.collect_set("digest").alias("digests"))
+    found = long.withColumn("value", F.expr(f"left(whole_text, {HEAD})")).join(F.broadcast(heads), ["column_pos", "value"])
+    found = found.withColumn("digest", F.expr(_digest("whole_text"))).filter(F.array_contains("digests", F.col("digest")))
     return found.groupBy("column_pos", "digest").agg(F.first("whole_text").alias("whole_text"))
