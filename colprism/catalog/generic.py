@@ -219,7 +219,9 @@ def profile_tsv_roundtrip(spark, sf_dir):
     return _flat(results.read_profiles(spark, f"{folder}/profiles"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('region', 'finished', NULL), ('nation', 'finished', NULL), ('supplier', 'finished', NULL),
+    ('part', 'finished', NULL), ('embeddings', 'failed', 'UnsupportedColumnType'), ('missing', 'failed', 'AnalysisException'))
+    AS t(dataset_name, status, error)""")
 def dataset_status(spark, sf_dir):
     """All tables and one that is missing; a table with an array column cannot be profiled."""
     names = ["region", "nation", "supplier", "part", "embeddings", "missing"]

@@ -6,7 +6,7 @@ import pytest
 from __spark_entry__ import oracle_sql, queries
 from check import TABLES, compare
 
-WITHOUT_ORACLE = {"dataset_listing", "dataset_status"}
+WITHOUT_ORACLE = {"dataset_listing"}
 
 
 @pytest.fixture(scope="module")
