@@ -144,31 +144,33 @@ def extremes(typed_cells: DataFrame) -> DataFrame:
     )
 
 
-def deviations(typed_cells: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Population standard deviation of the numbers of every column and type.
+def full_stats(typed_cells: DataFrame) -> DataFrame:
+    """``type_stats`` with the population standard deviation of the numbers.
 
-    Over cells it is the built-in; over value counts it is weighted, around
-    the means of ``stats``: a second pass, as sums of squares would cancel.
+    Over cells the deviation is the built-in.  Over value counts it is weighted, around the mean: a second pass, as sums of
+    squares would cancel.
     """
-    number = _number()
+    by, number = keys(typed_cells, "type"), _number()
     if "cnt" not in typed_cells.columns:
-        return typed_cells.groupBy(*keys(typed_cells, "type")).agg(F.stddev_pop(number).alias("stddev"))
-    stats = type_stats(typed_cells) if stats is None else stats
-    # At most four rows per column of the table are broadcast.
-    by = [c for c in keys(typed_cells, "type") if c != "column_name"]
-    means = F.broadcast(stats.select(*by, "mean"))
+        spread = typed_cells.groupBy(*by).agg(F.stddev_pop(number).alias("stddev"))
+        return type_stats(typed_cells).join(spread, by)
+    # At most five rows per column of the table are broadcast.
+    means = F.broadcast(type_stats(typed_cells))
     off = number - F.col("mean")
     weight = F.when(off.isNotNull(), F.col("cnt"))
-    return (
-        typed_cells.select(*keys(typed_cells, "type"), "number", "cnt").join(means, by)
-        .groupBy(*keys(typed_cells, "type")).agg(F.sqrt(F.sum(weight * off * off) / F.sum(weight)).alias("stddev"))
-    )
+    once = [F.first(c).alias(c) for c in ("count", "mean", "average_length")]
+    around = typed_cells.select(*by, "number", "cnt").join(means, by)
+    return around.groupBy(*by).agg(*once, F.sqrt(F.sum(weight * off * off) / F.sum(weight)).alias("stddev"))
+
+
+def deviations(typed_cells: DataFrame) -> DataFrame:
+    return full_stats(typed_cells).select(*keys(typed_cells, "type"), "stddev")
 
 
 def numeric_stats(typed_cells: DataFrame) -> DataFrame:
     """Count, extremes, mean and deviation of INTEGER(LONG) and REAL cells."""
-    stats, by = type_stats(typed_cells), keys(typed_cells, "type")
-    joined = stats.join(deviations(typed_cells, stats), by).join(extremes(typed_cells), by)
+    by = keys(typed_cells, "type")
+    joined = full_stats(typed_cells).join(extremes(typed_cells), by)
     return joined.filter(F.col("mean").isNotNull()).select(*by, "count", "max_value", "min_value", "mean", "stddev")
 
 

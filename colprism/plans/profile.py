@@ -59,12 +59,7 @@ def column_profiles(
         digest_over = None
     counts = value_counts(df, digest_over=digest_over)
     typed = Y.typed(counts, dates, empty_as_text)
-    stats = Y.type_stats(typed)
-    by = ["column_pos", "type"]
-    types = (
-        stats.join(Y.deviations(typed, stats).drop("column_name"), by, "left")
-        .join(Y.extremes(typed).drop("column_name"), by, "left")
-    )
+    types = Y.full_stats(typed).join(Y.extremes(typed).drop("column_name"), ["column_pos", "type"], "left")
     shown = _shown_values(counts, typed, k)
     if digest_over is not None:
         whole = texts_of_digests(df, shown.filter(F.col("digest").isNotNull()), digest_over)
