@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from colprism.catalog import ORACLES, QUERIES
 from check import TABLES, compare
 
 WITHOUT_ORACLE = {"dataset_listing"}
@@ -17,11 +17,11 @@ def connection(tiny):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, tiny, name):
-    text, _, good = compare(spark, connection, name, queries()[name], oracle_sql().get(name), tiny)
+    text, _, good = compare(spark, connection, name, QUERIES[name], ORACLES.get(name), tiny)
     assert good, text
 
 
 def test_oracles():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_ORACLE
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_ORACLE
