@@ -160,3 +160,23 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
         step[there] = hashes[at[there]]
         out = mix64(out * np.uint64(3) + step + np.uint64(i + 1) * there.astype(np.uint64))
     return out, row
+
+
+def annotate(frame: DataFrame, text_column: str, function: Callable[[pa.Array], list], fields: str) -> DataFrame:
+    """``frame`` with further columns that ``function`` makes of a column of texts, batch by batch.
+
+    ``fields`` is a DDL string; a column of ``frame`` with the same name is replaced.
+    """
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(fields)
+    frame = frame.drop(*[c for c in frame.columns if c in new.names and c != text_column])
+    at = frame.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = function(batch.column(at))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *new.names])
+
+    return frame.mapInArrow(run, StructType([*frame.schema.fields, *new.fields]))

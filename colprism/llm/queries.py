@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup
-from .common import table
+from . import decontaminate, language, line_dedup
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,43 @@ FROM judged GROUP BY doc_id
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query()
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (fold() == 1).alias("held_out"))
+    prototypes = language.train_prototypes(documents.where(~F.col("held_out")))
+    found = language.identify(documents.select("doc_id", "text", "held_out"), prototypes)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("""
+WITH norm AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x{00}-\\x{2F}\\x{3A}-\\x{60}\\x{7B}-\\x{7F}]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x{00}-\\x{2F}\\x{3A}-\\x{60}\\x{7B}-\\x{7F}]+') FROM benchmark),
+windows AS (
+  SELECT id, least(13, len(w)) AS n, unnest(list_transform(range(1, greatest(1, len(w) - 12) + 1), lambda i: array_to_string(w[i:i+12], ' '))) AS s
+  FROM norm WHERE kind = 1 AND len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT d.id, l.n, p.i, array_to_string(d.w[p.i : p.i + l.n - 1], ' ') AS s
+  FROM norm d, lengths l, LATERAL (SELECT unnest(range(1, len(d.w) - l.n + 2)) AS i) p WHERE d.kind = 0),
+hits AS (SELECT p.id, p.n, p.i, w.id AS item FROM places p JOIN windows w ON p.s = w.s),
+words AS (SELECT id, count(DISTINCT k) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY id),
+items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS held
+          FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM hits) GROUP BY id)
+SELECT d.id AS doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(held, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM norm d LEFT JOIN words USING (id) LEFT JOIN items USING (id) WHERE d.kind = 0
+""")
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_occurrences(documents, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
