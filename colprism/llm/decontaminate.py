@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ALPHANUMERIC, annotate, mix64, raw_texts, slices, words_of
 
 WINDOW = 13
-#: Characters of benchmark texts whose tables are broadcast together; more texts are searched block after block.
+#: Characters of benchmark texts whose tables go to the tasks together; more texts are searched block after block.
 BLOCK_CHARS = 16_000_000
 #: Windows of a document that one cursor walks over.
 _RUN = 1024
@@ -128,7 +128,7 @@ def find_occurrences(documents: DataFrame, benchmark: DataFrame, *, text_column:
     Words are runs of ASCII letters and digits and of what lies beyond ASCII, without regard to A-Z or a-z. Test
     strings are the windows of ``window`` words of each item; an item of fewer words, but not none, is one string.
 
-    The documents are read once, in place: no shuffle. The tables of a block of the benchmark are broadcast; a benchmark
+    The documents are read once, in place: no shuffle. The tables of a block of the benchmark go to the tasks; a benchmark
     over ``block_chars`` characters is searched in several blocks, one after another over the same rows.
 
     Null and empty texts have no words and no hits. Items without words match nothing; items with a null id count as
@@ -137,9 +137,9 @@ def find_occurrences(documents: DataFrame, benchmark: DataFrame, *, text_column:
     fields = "n_words bigint, hit_words array<struct<a: int, b: int>>, items array<string>"
     out = documents
     for number, block in enumerate(_blocks(benchmark, item_column, item_text_column, block_chars)):
-        shared = documents.sparkSession.sparkContext.broadcast(([r[0] for r in block], make_patterns([r[1] for r in block], window)))
+        shared = [r[0] for r in block], make_patterns([r[1] for r in block], window)
         own = fields if not number else "n_words bigint, hit_more array<struct<a: int, b: int>>, items_more array<string>"
-        out = annotate(out, text_column, lambda column, shared=shared: _search(column, shared.value), own)
+        out = annotate(out, text_column, lambda column, shared=shared: _search(column, shared), own)
         if number:
             out = out.withColumns({
                 "hit_words": F.concat("hit_words", "hit_more"), "items": F.array_union("items", "items_more"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +17,19 @@ _SPACE = 32
 _ROWS, _COLUMNS = 512, 8192
 
 
-@functools.cache
+_TABLE: list[np.ndarray] = []
+
+
 def _letters() -> np.ndarray:
     """By code point: the lower-case letter, or a space for all that is no letter."""
+    if _TABLE:
+        return _TABLE[0]
     out = np.full(0x110000, _SPACE, np.uint32)
     for code in range(0x110000):
         c = chr(code)
         if c.isalpha():
             out[code] = ord(c.lower()[0])
+    _TABLE.append(out)
     return out
 
 
