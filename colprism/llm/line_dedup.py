@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .common import written
+
 STRIPPED = " \t\n\x0b\x0c\r"
 
 
@@ -40,6 +42,7 @@ def drop_repeated_lines(documents: DataFrame, *, id_column: str = "doc_id", text
         keyed.groupBy("digest").agg(F.count_distinct("id").alias("documents"), F.max("id").alias("keeper"))
         .where(F.col("documents") >= min_documents).select("digest", "keeper")
     )
+    repeated = written(repeated, "repeated-lines")  # a plain side of the join: Spark can then split a digest's rows
     gone = (
         keyed.join(repeated, "digest")
         .where(F.col("id").isNull() | (F.col("id") < F.col("keeper")))
