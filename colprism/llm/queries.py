@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, line_dedup, mixing, neighbours, token_store
+from . import decontaminate, language, line_dedup, mixing, neighbours, token_store, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=20)
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", (fold() == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(fold() != 1)
+    model = toxicity.train(documents, labels)
+    return toxicity.score(documents, model).select("doc_id", "held_out", "score", "predicted")
