@@ -13,6 +13,7 @@ document ids, so no task holds more than a share of the store, and reading needs
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from .common import raw_texts, scratch, written
 BLOCK_IDS = 65536
 CHUNK_IDS = 1 << 20
 END_ID = 2
-#: Distinct words whose ids a task remembers; at this number it starts anew.
-_WORDS = 400_000
+#: Distinct words that a process remembers as its latest; as many before them stay until they are older.
+_WORDS = 600_000
 #: Bytes of text that one part of the store stands for.
 PART_BYTES = 32_000_000
 
@@ -60,33 +61,58 @@ def unpack(blocks: list[list[bytes]], n: int, block_ids: int) -> np.ndarray:
 
 
 _LOADED: dict = {}
+#: A full stop or comma between an ASCII letter and white space is a piece of its own for these tokenizers.
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D]|$)")
+_BETWEEN = "0"
 
 
 def _tokenizer(path: str):
-    """The tokenizer of a file, and the words that it has encoded in this process."""
+    """The tokenizer of a file, the words that this process encoded lately, and those before; by word the ids as bytes."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path), {}
+        _LOADED[path] = [Tokenizer.from_file(path), {}, {}]
     return _LOADED[path]
 
 
+def _encode_each(tokenizer, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """The ids of each word. Words without a 0 are encoded in one text, between zeros, which is a piece of its own."""
+    simple = [w for w in words if b"0" not in w and b"<|" not in w]
+    mark = tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+    if len(mark) != 1:
+        simple = []
+    for i in range(0, len(simple), 64 * 256):
+        rows = [simple[j : j + 64] for j in range(i, min(i + 64 * 256, len(simple)), 64)]
+        texts = [f" {_BETWEEN} ".join([w.decode() for w in row]) for row in rows]
+        for row, found in zip(rows, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(ids == mark[0])
+            data, begin = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+            for word, a, b in zip(row, begin, [*(4 * cuts).tolist(), len(data)], strict=True):
+                yield word, data[a:b]
+    rest = [w for w in words if b"0" in w or b"<|" in w] if simple or len(mark) == 1 else words
+    for i in range(0, len(rest), 4096):
+        for word, found in zip(rest[i : i + 4096], tokenizer.encode_batch_fast([w.decode() for w in rest[i : i + 4096]], add_special_tokens=False)):
+            yield word, np.array(found.ids, "<u4").tobytes()
+
+
 def encode_words(texts: list[bytes], path: str) -> Iterator[bytes]:
     """The ids of each text as little-endian 32-bit integers.
 
-    For tokenizers that treat ASCII white space as a border only: the words between are encoded once and remembered.
+    For tokenizers that lower-case and treat ASCII white space as a border only: the words between are encoded once and
+    remembered. A-Z are lower-cased first, but not where a text may hold the name of a special token.
     """
-    tokenizer, known = _tokenizer(path)
-    split = [t.split() for t in texts]
-    unknown = list(set().union(*split).difference(known))
-    if len(known) + len(unknown) > _WORDS:
-        known.clear()
-        unknown = list(set().union(*split))
-    for i in range(0, len(unknown), 4096):
-        words = unknown[i : i + 4096]
-        for word, found in zip(words, tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+    loaded = _tokenizer(path)
+    split = [(_STOP.sub(rb" \1", t.lower()) if b"<|" not in t else t).split() for t in texts]
+    unknown = set().union(*split).difference(loaded[1])
+    if len(loaded[1]) + len(unknown) > _WORDS:
+        loaded[1], loaded[2] = {}, loaded[1]
+        unknown = set().union(*split)
+    known, before = loaded[1], loaded[2]
+    again = unknown.intersection(before) if before else ()
+    known.update((w, before[w]) for w in again)
+    known.update(_encode_each(loaded[0], list(unknown.difference(again))))
     for words in split:
         yield b"".join(map(known.__getitem__, words))
 
@@ -97,7 +123,8 @@ def _spaces_are_borders(path: str) -> bool:
     with open(path, encoding="utf-8") as file:
         kind = json.load(file)
     steps = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or [kind.get("pre_tokenizer") or {}]
-    return any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in str(s.get("pattern")) for s in steps)
+    lower = any(n.get("type") == "Lowercase" for n in (kind.get("normalizer") or {}).get("normalizers", []))
+    return lower and any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in s["pattern"].get("Regex", "") for s in steps)
 
 
 def _encoded(documents: DataFrame, id_column: str, text_column: str, tokenizer_path: str, end_id: int, bounds: list[int]) -> DataFrame:
