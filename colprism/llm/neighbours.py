@@ -19,7 +19,9 @@ RECALL = 0.95
 #: Queries whose true neighbours set the number of probes.
 SAMPLE_QUERIES = 200
 #: Most candidate rows and most queries that meet in one task.
-SLICE_ROWS, QUERY_ROWS = 65536, 16384
+SLICE_ROWS, QUERY_ROWS = 131072, 16384
+#: Blocks of rows at least, whatever their number, so that small inputs run in parallel.
+SLICES = 8
 _PAIRS = 4_000_000
 
 
@@ -215,7 +217,7 @@ def nearest(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str
 def _search(rows: DataFrame, asked: DataFrame, n: int, n_queries: int, longest: float, dimension: int, *, k: int, recall: float, tables: int, width: float) -> DataFrame:
     index, probes = fit(rows, asked, n, longest, dimension, k=k, recall=recall, tables=tables, width=width)
     order = probe_order(index.hashes, probes)
-    slices = max(-(-n // SLICE_ROWS), min(32, -(-n // 1024)))
+    slices = max(SLICES, -(-n // SLICE_ROWS))
     blocks = max(1, -(-n_queries // QUERY_ROWS))
 
     def block(name: str, number: int):
