@@ -73,7 +73,7 @@ MIXED_SPARK = {
     "amount": """CASE o_orderstatus WHEN 'O' THEN format_number(o_totalprice, 2) WHEN 'F' THEN CAST(o_totalprice AS STRING)
         ELSE format_number(o_orderkey * 37 - 20000, 0) END""",
     "moment": """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN date_format(o_orderdate, 'MM/dd/yyyy')
-        WHEN '2' THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN '3' THEN date_format(o_orderdate, 'MMM dd, yyyy')
+        WHEN '2' THEN concat(date_format(o_orderdate, 'yyyy-MM-dd'), repeat(' ', CAST(o_orderkey % 90 AS INT))) WHEN '3' THEN date_format(o_orderdate, 'MMM dd, yyyy')
         WHEN '4' THEN '  ' ELSE o_orderpriority END""",
     "note": """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN CAST(o_custkey AS STRING) WHEN '2' THEN ''
         ELSE o_orderpriority END""",
@@ -84,7 +84,7 @@ MIXED_DUCK = {
     "amount": ("text", """CASE o_orderstatus WHEN 'O' THEN format('{:,.2f}', o_totalprice)
         WHEN 'F' THEN CAST(o_totalprice AS VARCHAR) ELSE format('{:,}', CAST(o_orderkey * 37 - 20000 AS BIGINT)) END"""),
     "moment": ("text", """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN strftime(o_orderdate, '%m/%d/%Y')
-        WHEN '2' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN '3' THEN strftime(o_orderdate, '%b %d, %Y')
+        WHEN '2' THEN strftime(o_orderdate, '%Y-%m-%d') || repeat(' ', CAST(o_orderkey % 90 AS BIGINT)) WHEN '3' THEN strftime(o_orderdate, '%b %d, %Y')
         WHEN '4' THEN '  ' ELSE o_orderpriority END"""),
     "note": ("text", """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN CAST(o_custkey AS VARCHAR) WHEN '2' THEN ''
         ELSE o_orderpriority END"""),
@@ -99,9 +99,10 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed_sql(cells: str) -> str:
     """DuckDB: cells with type, number, moment and length, from (…, schema_type, value)."""
+    # The number shapes.
     number = r"^[+-]?([1-9]\d*|0)$", r"^[+-]?[1-9]\d{0,2}(,\d{3})*$", r"^[+-]?(\d+\.\d*|\d*\.\d+)$", r"^[+-]?[1-9]\d{0,2}(,\d{3})*\.\d*$"
     formats = ["%m/%d/%Y", "%Y-%m-%d", "%b %d, %Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f"]
-    parsed = "coalesce(" + ", ".join(f"try_strptime(value, '{f}')" for f in formats) + ")"
+    parsed = "coalesce(" + ", ".join(f"try_strptime(trim(value), '{f}')" for f in formats) + ")"
     clock = r"regexp_matches(value, '^(1[0-2]|0[1-9])[0-5]\d[AaPp]$')"
     return rf"""
         SELECT dataset_name, column_name, value,
@@ -109,11 +110,9 @@ def typed_sql(cells: str) -> str:
                  WHEN schema_type <> 'TEXT' THEN schema_type
                  WHEN regexp_matches(value, '{number[0]}') OR regexp_matches(value, '{number[1]}') THEN 'INTEGER(LONG)'
                  WHEN regexp_matches(value, '{number[2]}') OR regexp_matches(value, '{number[3]}') THEN 'REAL'
-                 WHEN length(value) <= 64 AND {parsed} IS NOT NULL THEN 'DATE/TIME'
+                 WHEN {parsed} IS NOT NULL THEN 'DATE/TIME'
                  WHEN {clock} THEN 'DATE/TIME' ELSE 'TEXT' END AS type,
             TRY_CAST(replace(value, ',', '') AS DOUBLE) AS number,
-            CASE WHEN length(value) <= 64 THEN
-                coalesce({parsed}, CASE WHEN {clock} THEN try_strptime('1900-01-01 ' || value || 'M', '%Y-%m-%d %I%M%p') END)
-            END AS moment,
+            coalesce({parsed}, CASE WHEN {clock} THEN try_strptime('1900-01-01 ' || value || 'M', '%Y-%m-%d %I%M%p') END) AS moment,
             CASE WHEN regexp_matches(value, '^\s*$') THEN 0 ELSE length(value) END AS length
         FROM ({cells})"""

@@ -288,7 +288,7 @@ def dict_exact_match(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     words = parts.select("p_partkey", F.explode(F.split("p_name", " ")).alias("value")).distinct()
     terms = parts.filter("p_size < 25").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term"))
-    return D.match_exact(words, terms, small=True)
+    return D.match_exact(words, terms)
 
 
 @query(f"SELECT value, freq, {_similar(W.COLORS, 'value')} AS is_color, {_similar(W.CAR_MAKES, 'value')} AS is_make FROM ("

@@ -25,15 +25,16 @@ _MONTH = (
     r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
     r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))? ?([ap]m)?"
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d{1,9})?))? ?([ap]m)?"
+_WEEKDAY = r"(?:(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,? +)?"
 _ZONE = r"(?: ?(?:z|utc|gmt|[+-]\d{2}:?\d{2}))?"
 _TAIL = rf"(?:(?: +|t){_CLOCK}{_ZONE})?$"
 # shape -> replacement that spells year|month|day|hour|minute|second|half
 _DATE_SHAPES = [
     (rf"(?i)^(\d{{4}})[-/](\d{{1,2}})[-/](\d{{1,2}}){_TAIL}", "$1|$2|$3|$4|$5|$6|$7"),
     (rf"(?i)^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}}|\d{{2}}){_TAIL}", "$3|$1|$2|$4|$5|$6|$7"),
-    (rf"(?i)^{_MONTH}\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}){_TAIL}", "$3|$1|$2|$4|$5|$6|$7"),
-    (rf"(?i)^(\d{{1,2}})[ -]{_MONTH}\.?[ ,-]+(\d{{4}}|\d{{2}}){_TAIL}", "$3|$2|$1|$4|$5|$6|$7"),
+    (rf"(?i)^{_WEEKDAY}{_MONTH}\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}}){_TAIL}", "$3|$1|$2|$4|$5|$6|$7"),
+    (rf"(?i)^{_WEEKDAY}(\d{{1,2}})[ -]{_MONTH}\.?[ ,-]+(\d{{4}}|\d{{2}}){_TAIL}", "$3|$2|$1|$4|$5|$6|$7"),
     (rf"(?i)^{_MONTH}\.?,? (\d{{4}})$", "$2|$1|1||||"),
     (rf"(?i)^{_CLOCK}{_ZONE}$", "1900|1|1|$1|$2|$3|$4"),
 ]
@@ -59,16 +60,13 @@ def _spelled(text: Column, shapes) -> Column:
     )
 
 
-def shaped_timestamp(value: Column, clock_only: bool = False) -> Column:
+def shaped_timestamp(value: Column) -> Column:
     """Timestamp of a text in one of the listed shapes, else null.
 
     A cheap gate keeps words and prose away from the shapes.
     """
-    if clock_only:
-        date_like, spell = value.rlike(_CLOCK_CODE[0]), lambda text: _spelled(text, [_CLOCK_CODE])
-    else:
-        date_like = (F.length(value) <= 64) & value.rlike(r"\d[-/: ,]|\d[a-zA-Z]|[a-zA-Z] \d")
-        spell = lambda text: F.coalesce(_let(strip(text), lambda t: _spelled(t, _DATE_SHAPES)), _spelled(text, [_CLOCK_CODE]))
+    date_like = value.rlike(r"\d[-/: ,]|\d[a-zA-Z]|[a-zA-Z] \d")
+    spell = lambda text: F.coalesce(_let(strip(text), lambda t: _spelled(t, _DATE_SHAPES)), _spelled(text, [_CLOCK_CODE]))
     return F.when(date_like, _let(value, lambda text: _let(F.split(spell(text), r"\|"), _timestamp)))
 
 
@@ -93,40 +91,11 @@ def _timestamp(parts: Column) -> Column:
         F.when(swap, month).otherwise(day),
         hour,
         or_zero(4, "int"),
-        or_zero(5, "decimal(16,6)"),
+        # Microseconds: further digits are cut off.
+        F.when(piece(5) == "", F.lit(0).cast("decimal(16,6)")).otherwise(F.left(piece(5), F.lit(9)).try_cast("decimal(16,6)")),
     )
 
 
-def lenient_timestamp(value: Column) -> Column:
-    """Timestamp by the general date parser, for the compat mode.
-
-    The parser has no native counterpart, so it runs in an Arrow batch; callers
-    hand in only the texts no native shape has claimed, all others as null.
-    """
-    import pandas as pd
-
-    def parse(texts: pd.Series) -> pd.Series:
-        from datetime import datetime
-
-        from dateutil import parser
-
-        start = datetime(1900, 1, 1)
-
-        def one(text):
-            if text is None:
-                return None
-            try:
-                return parser.parse(text, ignoretz=True, default=start).strftime("%Y-%m-%d %H:%M:%S.%f").rjust(26, "0")
-            except Exception:
-                return None
-
-        known = {text: one(text) for text in texts.unique()}
-        return texts.map(known)
-
-    parse.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(parse, "string")(value).try_cast("timestamp_ntz")
-
-
 def without_commas(value: Column) -> Column:
     return F.translate(value, ",", "")
 

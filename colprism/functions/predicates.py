@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -17,8 +18,8 @@ from .text import SPACE, collapse_spaces, similarity
 
 Predicate = Callable[[Column], Column]
 
-# Literal lists larger than this belong in a table and a join.
-MAX_LITERAL_TERMS = 2000
+# Up to so many words a search is compiled, word by word; more are searched in a list. The answers are the same.
+_COMPILED_WORDS = 60
 
 # The patterns, matched from the start of the value.
 PHONE = r"\D?(\d{3})\D?\D?(\d{3})\D?(\d{4})$"
@@ -67,11 +68,8 @@ def constant(answer: bool) -> Predicate:
     return lambda value: F.lit(answer)
 
 
-def _checked(words: Sequence[str]) -> list[str]:
-    words = list(dict.fromkeys(words))
-    if len(words) > MAX_LITERAL_TERMS:
-        raise ValueError(f"{len(words)} terms are too many for a literal list; use dictionaries.match_exact")
-    return words
+def _distinct(words: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(words))
 
 
 def _literal_array(words: Sequence[str]) -> Column:
@@ -80,25 +78,27 @@ def _literal_array(words: Sequence[str]) -> Column:
 
 
 def one_of(words: Sequence[str]) -> Predicate:
-    words = _checked(words)
-    return lambda value: F.array_contains(_literal_array(words), value)
+    words = _distinct(words)
+    return lambda value: value.isin(words)
 
 
 def dictionary_term(words: Sequence[str]) -> Predicate:
     """Membership with runs of white space counted as one blank."""
-    words = _checked(words)
-    return lambda value: F.array_contains(_literal_array(words), collapse_spaces(value))
+    words = _distinct(words)
+    return lambda value: collapse_spaces(value).isin(words)
 
 
 def contains_any(words: Sequence[str]) -> Predicate:
-    words = _checked(words)
-    return lambda value: F.exists(_literal_array(words), lambda word: F.contains(value, word))
+    words = _distinct(words)
+    if len(words) > _COMPILED_WORDS:
+        return lambda value: F.exists(_literal_array(words), lambda word: F.contains(value, word))
+    return lambda value: reduce(lambda found, word: found | value.contains(word), words, F.lit(False))
 
 
 def similar_to(words: Sequence[str], threshold: float = 0.5) -> Predicate:
     """Some term is at least ``threshold`` similar; terms are tried by length."""
     by_length: dict[int, list[str]] = {}
-    for word in _checked(words):
+    for word in _distinct(words):
         by_length.setdefault(len(word), []).append(word)
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie in (0, 1]")
@@ -107,10 +107,11 @@ def similar_to(words: Sequence[str], threshold: float = 0.5) -> Predicate:
         result = F.lit(False)
         for length, group in sorted(by_length.items()):
             low, high = math.floor(length * threshold), math.ceil(length / threshold)
-            candidates = _literal_array(group)
+            # The distance stops at the most that any value of these lengths may have.
+            most = math.ceil((1 - threshold) * max(length, high))
             result = result | (
                 F.length(value).between(max(low, 1), high)
-                & F.exists(candidates, lambda term: similarity(term, value) >= threshold)
+                & F.exists(_literal_array(group), lambda term: F.coalesce(similarity(term, value, most) >= threshold, F.lit(False)))
             )
         return result
 

@@ -33,9 +33,10 @@ def normal_case(value: Column) -> Column:
     return F.initcap(collapse_spaces(value))
 
 
-def similarity(left: Column, right: Column) -> Column:
-    """1 - edit distance / length of the longer text."""
-    return 1 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right))
+def similarity(left: Column, right: Column, most: int | None = None) -> Column:
+    """1 - edit distance / length of the longer text; null where the distance is over ``most``."""
+    distance = F.levenshtein(left, right) if most is None else F.nullif(F.levenshtein(left, right, most), F.lit(-1))
+    return 1 - distance / F.greatest(F.length(left), F.length(right))
 
 
 # Texts and characters that mark a value as junk.

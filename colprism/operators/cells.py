@@ -36,24 +36,13 @@ def profile_type(field: T.StructField) -> str:
 
 
 SLOTS = {"whole": "bigint", "real": "double", "moment": "timestamp_ntz", "text": "string"}
-DIGEST_SLOTS = {"digest": "binary", "text_length": "int"}
-HEAD = 64
 
 
 def _quoted(field: T.StructField) -> str:
     return "`" + field.name.replace("`", "``") + "`"
 
 
-def _is_long(value: str, digest_over: int) -> str:
-    """SQL: a text of more bytes whose head shows that it is neither blank nor a number."""
-    return rf"(octet_length({value}) > {digest_over} AND left({value}, {HEAD}) RLIKE '(?U)[^\\d+,.\\s\\x1c-\\x1f-]')"
-
-
-def _digest(value: str) -> str:
-    return f"unhex(sha2({value}, 256))"
-
-
-def _slots(field: T.StructField, digest_over: int | None) -> dict[str, str]:
+def _slots(field: T.StructField) -> dict[str, str]:
     """SQL of the slots one column fills; null cells and empty texts fill none."""
     value, kind = _quoted(field), field.dataType
     tag = profile_type(field)
@@ -71,25 +60,17 @@ def _slots(field: T.StructField, digest_over: int | None) -> dict[str, str]:
         return {"moment": f"CAST({value} AS timestamp_ntz)"}
     if isinstance(kind, T.BooleanType):
         return {"text": f"initcap(CAST({value} AS string))"}
-    if digest_over is None:
-        return {"text": f"nullif({value}, '')"}
-    long = _is_long(value, digest_over)
-    return {
-        "text": f"CASE WHEN {long} THEN left({value}, {HEAD}) ELSE nullif({value}, '') END",
-        "digest": f"CASE WHEN {long} THEN {_digest(value)} END",
-        "text_length": f"CASE WHEN {long} THEN length({value}) END",
-    }
+    return {"text": f"nullif({value}, '')"}
 
 
-def _slot_rows(df: DataFrame, digest_over: int | None = None) -> DataFrame:
+def _slot_rows(df: DataFrame) -> DataFrame:
     """A row per cell, by one ``stack`` over all columns: column_pos and the slots."""
-    slots = SLOTS | (DIGEST_SLOTS if digest_over is not None else {})
     entries = []
     for position, field in enumerate(df.schema.fields):
-        filled = _slots(field, digest_over)
+        filled = _slots(field)
         entries.append(str(position))
-        entries += [filled.get(slot, f"CAST(NULL AS {kind})") for slot, kind in slots.items()]
-    return df.selectExpr(f"stack({len(df.columns)}, {', '.join(entries)}) AS (column_pos, {', '.join(slots)})")
+        entries += [filled.get(slot, f"CAST(NULL AS {kind})") for slot, kind in SLOTS.items()]
+    return df.selectExpr(f"stack({len(df.columns)}, {', '.join(entries)}) AS (column_pos, {', '.join(SLOTS)})")
 
 
 def _lookup(entries: list[str]) -> Column:
@@ -126,33 +107,8 @@ def cells(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
     return _with_dataset(_named(_slot_rows(df), df), dataset_name)
 
 
-def value_counts(df: DataFrame, dataset_name: str | None = None, digest_over: int | None = None) -> DataFrame:
-    """One row per column and distinct value, with the number of cells ``cnt``.
-
-    With ``digest_over`` texts of more bytes are grouped by their SHA-256 and
-    length: ``digest`` and ``text_length`` are set and ``value`` is the head
-    of the text only.  ``texts_of_digests`` finds the text again.
-    """
-    rows = _slot_rows(df, digest_over)
+def value_counts(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
+    """One row per column and distinct value, whole whatever its length, with the number of cells ``cnt``."""
+    rows = _slot_rows(df)
     counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("cnt"))
-    more = list(DIGEST_SLOTS) if digest_over is not None else []
-    return _with_dataset(_named(counted, df, "cnt", *more), dataset_name)
-
-
-def has_text(df: DataFrame) -> bool:
-    return any(isinstance(f.dataType, T.StringType) for f in df.schema.fields)
-
-
-def texts_of_digests(df: DataFrame, wanted: DataFrame, digest_over: int) -> DataFrame:
-    """The texts of a bounded set of (column_pos, value, digest): column_pos, digest, whole_text.
-
-    A second scan of the text columns; a digest is computed only where the
-    head is wanted.
-    """
-    texts = [(i, _quoted(f)) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
-    entries = ", ".join(f"{i}, CASE WHEN {_is_long(v, digest_over)} THEN {v} END" for i, v in texts)
-    long = df.selectExpr(f"stack({len(texts)}, {entries}) AS (column_pos, whole_text)").filter("whole_text IS NOT NULL")
-    heads = wanted.groupBy("column_pos", "value").agg(F.collect_set("digest").alias("digests"))
-    found = long.withColumn("value", F.expr(f"left(whole_text, {HEAD})")).join(F.broadcast(heads), ["column_pos", "value"])
-    found = found.withColumn("digest", F.expr(_digest("whole_text"))).filter(F.array_contains("digests", F.col("digest")))
-    return found.groupBy("column_pos", "digest").agg(F.first("whole_text").alias("whole_text"))
+    return _with_dataset(_named(counted, df, "cnt"), dataset_name)

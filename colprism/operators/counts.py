@@ -7,8 +7,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .typing import keys
 
 
-def column_counts(counts: DataFrame) -> DataFrame:
-    """Rows, non-empty and empty cells and distinct values of every column."""
+NUMBERS = ["n_rows", "n_non_empty", "n_empty", "n_distinct"]
+
+
+def column_counts(counts: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Rows, non-empty and empty cells and distinct values of every column.
+
+    With the ``source`` of the counts its columns are listed even if it has no rows.
+    """
+    if source is not None:
+        names = source.sparkSession.createDataFrame(list(enumerate(source.columns)), "column_pos int, column_name string")
+        found = column_counts(counts).drop("column_name")
+        return names.join(found, "column_pos", "left").fillna(0, NUMBERS)
     blank = F.col("is_blank")
     return counts.groupBy(*keys(counts)).agg(
         F.sum("cnt").alias("n_rows"),
@@ -29,11 +39,10 @@ def top_frequent(counts: DataFrame, k: int = 5) -> DataFrame:
     ``row_number() <= k`` lets Spark cut every map partition to k rows per
     column before the shuffle.
     """
-    digest = ["digest"] if "digest" in counts.columns else []
     column = [c for c in keys(counts) if c != "column_name"]
-    order = Window.partitionBy(*column).orderBy(F.desc("cnt"), "value", *digest)
+    order = Window.partitionBy(*column).orderBy(F.desc("cnt"), "value")
     return (
-        counts.select(*keys(counts), "value", *digest, "cnt")
+        counts.select(*keys(counts), "value", "cnt")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
     )

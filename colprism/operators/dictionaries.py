@@ -12,9 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import collapse_spaces, similarity
 
-# A dictionary is broadcast up to this many terms.
-MAX_BROADCAST_TERMS = 100_000
-
 
 def dictionary_union(*dictionaries: DataFrame) -> DataFrame:
     """Distinct terms of several dictionaries, in lower case with single blanks."""
@@ -22,13 +19,6 @@ def dictionary_union(*dictionaries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, terms).distinct()
 
 
-def match_exact(values: DataFrame, dictionary: DataFrame, value: str = "value", small: bool = False) -> DataFrame:
-    """Rows whose value is a dictionary term (left semi join).
-
-    ``small`` asks for a broadcast; it is granted after counting at most
-    ``MAX_BROADCAST_TERMS`` terms, otherwise Spark picks the join.
-    """
-    terms = dictionary.select(F.col("term").alias(value)).distinct()
-    if small and terms.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    return values.join(terms, value, "left_semi")
+def match_exact(values: DataFrame, dictionary: DataFrame, value: str = "value") -> DataFrame:
+    """Rows whose value is a dictionary term (left semi join; Spark sends small dictionaries to the values)."""
+    return values.join(dictionary.select(F.col("term").alias(value)).distinct(), value, "left_semi")

@@ -61,9 +61,10 @@ def type_set_frequency(columns: DataFrame) -> DataFrame:
 def histogram_equal_width(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """``bins`` equal bins from minimum to maximum, the last one closed; empty bins are listed.
 
-    If all values are equal the range is widened by 0.5 on both sides.
+    If all values are equal the range is widened by 0.5 on both sides. NaN and
+    infinite values lie in no bin and are left out, as nulls are.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+    x = df.select(F.col(column).cast("double").alias("x")).filter(F.abs("x") < float("inf"))
     span = x.agg(F.min("x").alias("low"), F.max("x").alias("high"))
     same = F.col("low") == F.col("high")
     span = span.select(

@@ -27,30 +27,19 @@ def _weight(df: DataFrame) -> Column:
     return F.col("cnt") if "cnt" in df.columns else F.lit(1).cast("bigint")
 
 
-def typed(cells: DataFrame, dates: str = "strict", empty_as_text: bool = True) -> DataFrame:
+def typed(cells: DataFrame, empty_as_text: bool = True) -> DataFrame:
     """Add ``type`` and the comparables ``number``, ``moment`` and ``length``.
 
-    ``dates`` is ``strict`` (native shapes) or ``compat`` (general parser for
-    what the native shapes leave over).  Blank cells are TEXT of length 0
-    unless ``empty_as_text`` is off, which leaves them without a type.
+    Blank cells are TEXT of length 0 unless ``empty_as_text`` is off, which
+    leaves them without a type.
     """
-    if dates not in ("strict", "compat"):
-        raise ValueError("dates must be 'strict' or 'compat'")
     value, text, from_schema = F.col("value"), F.col("text"), F.col("schema_type")
     # Each step is its own projection, so that no expression is computed twice.
     # Detection reads the text slot: columns typed by the schema render no value for it.
     open_text = ~F.col("is_blank") & (from_schema == D.TEXT)
-    digested = "digest" in cells.columns
-    if digested:
-        open_text = open_text & F.col("digest").isNull()
     rows = cells.withColumn("_number_tag", F.when(open_text, D.number_tag(text)))
-    compat = dates == "compat"
     rows = rows.withColumn("_open", open_text & F.col("_number_tag").isNull())
-    parsed = F.when(F.col("_open"), D.shaped_timestamp(text, clock_only=compat))
-    if compat:
-        rows = rows.withColumn("_lenient", D.lenient_timestamp(F.when(F.col("_open"), text)))
-        parsed = F.coalesce(F.col("_lenient"), parsed)
-    rows = rows.withColumn("_parsed", parsed)
+    rows = rows.withColumn("_parsed", F.when(F.col("_open"), D.shaped_timestamp(text)))
     tag = (
         F.when(F.col("is_blank"), D.TEXT if empty_as_text else UNTYPED)
         .when(from_schema != D.TEXT, from_schema)
@@ -64,14 +53,13 @@ def typed(cells: DataFrame, dates: str = "strict", empty_as_text: bool = True) -
         F.col("real"),
         F.when(F.col("_number_tag").isNotNull(), digits.try_cast("double")),
     )
-    length = F.coalesce("text_length", F.length(value)) if digested else F.length(value)
     return rows.select(
         *keys(cells), tag.alias("type"), "value",
         F.coalesce("whole", F.when(F.col("_number_tag") == D.INTEGER, digits.try_cast("bigint"))).alias("whole"),
         number.alias("number"),
         F.coalesce("moment", "_parsed").alias("moment"),
-        F.when(F.col("is_blank"), 0).otherwise(length).alias("length"),
-        *[c for c in ("cnt", "digest") if c in cells.columns],
+        F.when(F.col("is_blank"), 0).otherwise(F.length(value)).alias("length"),
+        *[c for c in ["cnt"] if c in cells.columns],
     )
 
 
@@ -206,10 +194,9 @@ def text_by_length(typed_cells: DataFrame, longest: bool, k: int = 5) -> DataFra
     and only those are repeated.
     """
     length = F.desc("length") if longest else F.asc("length")
-    digest = ["digest"] if "digest" in typed_cells.columns else []
-    order = Window.partitionBy(*_column(typed_cells)).orderBy(length, "value", *digest)
+    order = Window.partitionBy(*_column(typed_cells)).orderBy(length, "value")
     weighted = "cnt" in typed_cells.columns
-    shown = [*keys(typed_cells), "value", *digest, "length"]
+    shown = [*keys(typed_cells), "value", "length"]
     rows = _only(typed_cells, _is_text()).select(*shown, *(["cnt"] if weighted else []))
     rows = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if not weighted:

@@ -15,23 +15,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import counts as C, typing as Y
-from ..operators.cells import has_text, texts_of_digests, value_counts
+from ..operators.cells import value_counts
 from ..sources import results
 
 TOP = 5
-
-
-# Texts of more bytes than this cross the shuffle as digests.
-DIGEST_OVER = 256
 LISTS = ["frequent_values", "shortest_values", "longest_values"]
 
 
 def _shown_values(counts: DataFrame, typed: DataFrame, k: int) -> DataFrame:
-    """The values a profile shows, at most 3 k per column: column_pos, list, rank, value (and digest)."""
+    """The values a profile shows, at most 3 k per column: column_pos, list, rank, value."""
     frames = [C.top_frequent(counts, k), Y.text_by_length(typed, longest=False, k=k), Y.text_by_length(typed, longest=True, k=k)]
-    columns = [c for c in ("column_pos", "rank", "value", "digest") if c in counts.columns or c == "rank"]
     return reduce(
-        DataFrame.unionByName, [frame.select(F.lit(name).alias("list"), *columns) for name, frame in zip(LISTS, frames)]
+        DataFrame.unionByName, [frame.select(F.lit(name).alias("list"), "column_pos", "rank", "value") for name, frame in zip(LISTS, frames)]
     )
 
 
@@ -45,26 +40,17 @@ def _lists(shown: DataFrame) -> DataFrame:
 
 def column_profiles(
     df: DataFrame,
-    dates: str = "strict",
     empty_as_text: bool = True,
     k: int = TOP,
-    digest_over: int | None = DIGEST_OVER,
 ) -> DataFrame:
     """One row per column with counts, most frequent values and an array of type entries.
 
-    Ties are broken by value, between texts of more than ``digest_over`` bytes
-    by their first characters and then by digest (None: by the whole value).
+    Values are compared whole, whatever their length; ties are broken by value.
     """
-    if dates != "strict" or not has_text(df):  # the general date parser must see every text whole
-        digest_over = None
-    counts = value_counts(df, digest_over=digest_over)
-    typed = Y.typed(counts, dates, empty_as_text)
+    counts = value_counts(df)
+    typed = Y.typed(counts, empty_as_text)
     types = Y.full_stats(typed).join(Y.extremes(typed).drop("column_name"), ["column_pos", "type"], "left")
     shown = _shown_values(counts, typed, k)
-    if digest_over is not None:
-        whole = texts_of_digests(df, shown.filter(F.col("digest").isNotNull()), digest_over)
-        shown = shown.join(F.broadcast(whole), ["column_pos", "digest"], "left")
-        shown = shown.withColumn("value", F.coalesce("whole_text", "value"))
     lists = _lists(shown)
     types = types.join(lists.drop("frequent_values"), "column_pos", "left")
     is_text = F.col("type") == Y.D.TEXT
@@ -82,14 +68,12 @@ def column_profiles(
     entries = types.groupBy("column_pos").agg(F.array_sort(F.collect_list(entry)).alias("data_types"))
     entries = entries.withColumn("data_types", F.filter("data_types", lambda e: e["type"] != Y.UNTYPED))
     # Starts from the schema, so that a table without rows still lists its columns.
-    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "column_pos int, column_name string")
-    number = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     return (
-        names.join(C.column_counts(counts).drop("column_name"), "column_pos", "left")
+        C.column_counts(counts, df)
         .join(lists.select("column_pos", "frequent_values"), "column_pos", "left")
         .join(entries, "column_pos", "left")
         .select(
-            "column_pos", "column_name", number("n_rows"), number("n_non_empty"), number("n_empty"), number("n_distinct"),
+            "column_pos", "column_name", *C.NUMBERS,
             F.coalesce("frequent_values", F.array().cast("array<string>")).alias("frequent_values"),
             F.coalesce("data_types", F.array().cast(entries.schema["data_types"].dataType)).alias("data_types"),
         )
@@ -133,8 +117,8 @@ def profile_datasets(
     """Profile many datasets; one failing does not stop the others.
 
     ``readers`` maps a dataset name to a function that opens it.  Each profile
-    is written below ``out`` under its dataset id (with no ``out`` it is only
-    planned).  ``parallel`` jobs are in flight at a time, so small datasets
+    is written below ``out`` under its dataset's name; with no ``out`` it is only
+    planned, and its status says so.  ``parallel`` jobs are in flight at a time, so small datasets
     share the cluster.  Returns one row per dataset: name, status, error.
     """
 
@@ -142,11 +126,12 @@ def profile_datasets(
         name, open_dataset = item
         try:
             profile = profile_dataset(open_dataset(), name, **options)
-            if out is not None:
-                results.write_profile(profile, name, out)
+            if out is None:
+                return name, "planned", None
+            results.write_profile(profile, name, out)
             return name, "finished", None
         except Exception as problem:  # a dataset that cannot be read or typed is reported, not raised
-            return name, "failed", type(problem).__name__
+            return name, "failed", f"{type(problem).__name__}: {problem}"
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         rows = list(pool.map(one, readers.items()))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 ID_LENGTH = 9
 
@@ -15,24 +18,31 @@ def dataset_id(name: str) -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """Folder for data a job writes and reads back: the shared checkpoint folder.
+    """Folder for data a job writes and reads back: the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (a local test) is it a local temporary one.
+    Without one a cluster raises an error. A session on one machine gets a folder of its own, removed at exit.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="colprism-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="colprism-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def write_profile(profile: DataFrame, name: str, out: str) -> None:
-    """One folder per dataset, ``dataset_id=<first 9 characters>``.
+    """One folder per dataset, named by its whole name with special characters escaped.
 
     Overwriting the own folder makes a repeated run replace its result only.
     """
-    profile.write.mode("overwrite").json(os.path.join(out, f"dataset_id={dataset_id(name)}"))
+    profile.withColumn("dataset_id", F.lit(dataset_id(name))).write.mode("overwrite").json(os.path.join(out, quote(name, safe="")))
 
 
 PROFILE_SCHEMA = """
-    dataset_name string,
+    dataset_name string, dataset_id string,
     columns array<struct<
         column_name string, number_non_empty_cells bigint, number_empty_cells bigint, number_distinct_values bigint,
         frequent_values array<string>,
@@ -45,7 +55,8 @@ LABELS_SCHEMA = "column_name string, semantic_types array<struct<semantic_type s
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROFILE_SCHEMA).json(path)
+    """The result documents below ``path``, each in a folder of its own."""
+    return spark.read.schema(PROFILE_SCHEMA).option("recursiveFileLookup", True).json(path)
 
 
 def write_labels(nested: DataFrame, out: str) -> None:
@@ -65,15 +76,16 @@ def combined_document(records: DataFrame, key: str, root: str) -> DataFrame:
     """All records as the lines of one JSON document ``{"<root>": [ … ]}``.
 
     Rows (section, key, line); in order of (section, key) the lines are the
-    document.  ``key`` must be unique.  Nothing is gathered: the first record
+    document, also where a key repeats.  Nothing is gathered: the first record
     is the only one without a leading comma.
     """
     first = records.agg(F.min(key).alias("first")).scalar()
     item = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
-    body = records.select(
+    same = Window.partitionBy("key").orderBy("item")
+    body = records.select(F.col(key).alias("key"), item.alias("item")).withColumn("place", F.row_number().over(same)).select(
         F.lit(1).alias("section"),
-        F.col(key).alias("key"),
-        F.concat(F.when(F.col(key) == first, "").otherwise(","), item).alias("line"),
+        "key",
+        F.concat(F.when((F.col("key") == first) & (F.col("place") == 1), "").otherwise(","), "item").alias("line"),
     )
     frame = records.sparkSession.range(2).select(
         F.when(F.col("id") == 0, 0).otherwise(2).alias("section"),
@@ -88,4 +100,4 @@ def combined_document(records: DataFrame, key: str, root: str) -> DataFrame:
 def write_combined(records: DataFrame, key: str, root: str, out: str) -> None:
     """Text files that in order of their names make up one JSON document."""
     lines = combined_document(records, key, root)
-    lines.orderBy("section", "key").select("line").write.mode("overwrite").text(out)
+    lines.orderBy("section", "key", F.col("line").startswith(","), "line").select("line").write.mode("overwrite").text(out)

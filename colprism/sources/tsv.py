@@ -12,11 +12,11 @@ from ..functions.routing import column_of_file
 def has_multiline_fields(spark: SparkSession, path: str) -> bool:
     """Whether some quoted field may run over a line end.
 
-    Quoted fields that begin and end in their line are cut out; a quote that
+    Quoted fields that begin and end in their line, doubled quotes included, are cut out; a quote that
     is left may open a longer field.  A parallel scan that stops at the first
     such line.
     """
-    closed = r'(?<=^|\t)"[^"\\]*"(?=\t|$)'
+    closed = r'(?<=^|\t)"(?:[^"\\]|"")*+"(?=\t|$)'
     lines = spark.read.text(path).filter(F.col("value").contains('"'))
     return not lines.filter(F.regexp_replace("value", closed, "").contains('"')).isEmpty()
 

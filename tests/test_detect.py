@@ -1,21 +1,19 @@
-import pytest
-
 from colprism.functions.detect import DATETIME, INTEGER, REAL, TEXT
 from colprism.operators import typing as Y
 from colprism.operators.cells import cells
 
-# text, type in strict mode, type in compat mode
+# text, type
 CASES = [
-    ("0", INTEGER, INTEGER), ("123", INTEGER, INTEGER), ("+12", INTEGER, INTEGER), ("-5", INTEGER, INTEGER),
-    ("1,234", INTEGER, INTEGER), ("12,34", TEXT, None), (".5", REAL, REAL), ("5.", REAL, REAL), ("00.5", REAL, REAL),
-    ("1,234.56", REAL, REAL), ("1e5", TEXT, TEXT), ("10001-1234", TEXT, TEXT), ("212-555-0100", TEXT, TEXT),
-    ("00", TEXT, TEXT), ("N", TEXT, TEXT), ("007", TEXT, DATETIME), ("0123", TEXT, DATETIME), ("May", TEXT, DATETIME),
-    ("Friday", TEXT, DATETIME), ("3 PM", TEXT, DATETIME), ("5-10", TEXT, DATETIME), ("1.5.6", TEXT, DATETIME),
-    (" 123", TEXT, DATETIME), ("01/02/2017", DATETIME, DATETIME), ("2017-01-02T03:04:05.000Z", DATETIME, DATETIME),
-    ("12:30", DATETIME, DATETIME), ("Jan 2016", DATETIME, DATETIME), ("13/13/2013", TEXT, TEXT), ("2016-17", TEXT, TEXT),
-    ("0830A", DATETIME, DATETIME), ("1235P", DATETIME, DATETIME), ("0030A", TEXT, TEXT), ("", TEXT, TEXT), ("  ", TEXT, TEXT),
-    ("Jan 5, 2017 3:04 PM", DATETIME, DATETIME), ("5-Jan-99", DATETIME, DATETIME), ("2017-02-30", TEXT, TEXT),
-    ("13:04 PM", TEXT, None), (" \t", TEXT, TEXT),
+    ("0", INTEGER), ("123", INTEGER), ("+12", INTEGER), ("-5", INTEGER),
+    ("1,234", INTEGER), ("12,34", TEXT), (".5", REAL), ("5.", REAL), ("00.5", REAL),
+    ("1,234.56", REAL), ("1e5", TEXT), ("10001-1234", TEXT), ("212-555-0100", TEXT),
+    ("00", TEXT), ("N", TEXT), ("007", TEXT), ("0123", TEXT), ("May", TEXT),
+    ("Friday", TEXT), ("3 PM", TEXT), ("5-10", TEXT), ("1.5.6", TEXT),
+    (" 123", TEXT), ("01/02/2017", DATETIME), ("2017-01-02T03:04:05.000Z", DATETIME),
+    ("12:30", DATETIME), ("Jan 2016", DATETIME), ("13/13/2013", TEXT), ("2016-17", TEXT),
+    ("0830A", DATETIME), ("1235P", DATETIME), ("0030A", TEXT), ("", TEXT), ("  ", TEXT),
+    ("Jan 5, 2017 3:04 PM", DATETIME), ("5-Jan-99", DATETIME), ("2017-02-30", TEXT),
+    ("13:04 PM", TEXT), (" \t", TEXT),
 ]
 
 
@@ -26,24 +24,17 @@ def detected(spark, texts, **options):
 
 def test_strict(spark):
     found = detected(spark, [c[0] for c in CASES])
-    assert {t: found[t]["type"] for t, _, _ in CASES} == {t: kind for t, kind, _ in CASES}
-
-
-def test_compat(spark):
-    found = detected(spark, [c[0] for c in CASES], dates="compat")
-    known = {t: kind for t, _, kind in CASES if kind}
-    assert {t: found[t]["type"] for t in known} == known
+    assert {t: found[t]["type"] for t, _ in CASES} == dict(CASES)
 
 
-@pytest.mark.parametrize("dates", ["strict", "compat"])
-def test_moments(spark, dates):
+def test_moments(spark):
     want = {
         "01/02/2017": "2017-01-02 00:00:00", "13/01/2017": "2017-01-13 00:00:00", "12:30": "1900-01-01 12:30:00",
         "0830A": "1900-01-01 08:30:00", "1235P": "1900-01-01 12:35:00", "Jan 5, 2017 3:04 PM": "2017-01-05 15:04:00",
         "2017-01-02T03:04:05.250Z": "2017-01-02 03:04:05.250000", "2017-01-02 03:04:05 +02:00": "2017-01-02 03:04:05",
-        "5-Jan-99": "1999-01-05 00:00:00", "12:00 AM": "1900-01-01 00:00:00",
+        "5-Jan-99": "1999-01-05 00:00:00", "12:00 AM": "1900-01-01 00:00:00", "2017-01-02T03:04:59.9999999": "2017-01-02 03:04:59.999999",
     }
-    found = detected(spark, list(want), dates=dates)
+    found = detected(spark, list(want))
     assert {t: str(found[t]["moment"]) for t in want} == want
 
 
@@ -55,8 +46,3 @@ def test_numbers(spark):
 def test_blank_cells(spark):
     assert detected(spark, ["  "])["  "]["length"] == 0
     assert detected(spark, ["  "], empty_as_text=False)["  "]["type"] == Y.UNTYPED
-
-
-def test_unknown_mode(spark):
-    with pytest.raises(ValueError):
-        detected(spark, ["a"], dates="loose")

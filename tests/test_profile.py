@@ -124,9 +124,29 @@ def test_one_failure_does_not_stop_the_others(spark, tmp_path):
     )
     assert {r.dataset_name: r.status for r in status.collect()} == {
         "aaaa-bbbb.tsv": "finished", "bad": "failed", "gone": "failed"}
-    assert (tmp_path / "dataset_id=aaaa-bbbb").exists()
+    errors = {r.dataset_name: r.error for r in status.collect()}
+    assert errors["bad"].startswith("UnsupportedColumnType: column a") and errors["aaaa-bbbb.tsv"] is None
     back = results.read_profiles(spark, str(tmp_path)).first()
-    assert back.dataset_name == "aaaa-bbbb.tsv" and back.columns[0].frequent_values == ["a"]
+    assert (back.dataset_name, back.dataset_id, back.columns[0].frequent_values) == ("aaaa-bbbb.tsv", "aaaa-bbbb", ["a"])
+
+
+def test_datasets_of_one_id_are_both_kept(spark, tmp_path):
+    readers = {f"aaaa-bbbb.v{i}.tsv": (lambda i=i: column(spark, [f"x{i}"])) for i in (1, 2)} | {"a/b c.tsv": lambda: column(spark, ["y"])}
+    status = profile_datasets(spark, readers, str(tmp_path))
+    assert {r.status for r in status.collect()} == {"finished"}
+    got = {(r.dataset_name, r.dataset_id, r.columns[0].frequent_values[0]) for r in results.read_profiles(spark, str(tmp_path)).collect()}
+    assert got == {("aaaa-bbbb.v1.tsv", "aaaa-bbbb", "x1"), ("aaaa-bbbb.v2.tsv", "aaaa-bbbb", "x2"), ("a/b c.tsv", "a/b c.tsv", "y")}
+
+
+def test_without_folder_nothing_is_finished(spark):
+    status = profile_datasets(spark, {"a": lambda: column(spark, ["a"])}).collect()
+    assert [(r.status, r.error) for r in status] == [("planned", None)]
+
+
+def test_table_without_rows(spark):
+    empty = column(spark, []).limit(0)
+    counted = C.column_counts(value_counts(empty), empty)
+    assert [(r.n_rows, r.n_distinct) for r in C.key_candidates(counted).collect()] == [(0, 0)]
 
 
 def test_sums(spark, tiny):
@@ -154,6 +174,8 @@ def test_combined_document_is_json(spark):
     lines = results.combined_document(records, "name", "datasets").orderBy("section", "key").collect()
     assert json.loads("\n".join(r.line for r in lines)) == {
         "datasets": [{"name": "a", "n": 2}, {"name": "b", "n": 1}, {"name": "c", "n": 3}]}
+    twice = results.combined_document(records.union(records), "name", "datasets").orderBy("section", "key", F.col("line").startswith(","), "line").collect()
+    assert len(json.loads("\n".join(r.line for r in twice))["datasets"]) == 6
 
 
 def test_combined_files_are_one_document(spark, tmp_path):
@@ -163,25 +185,14 @@ def test_combined_files_are_one_document(spark, tmp_path):
     assert [r["name"] for r in json.loads(text)["datasets"]] == [f"{i:04d}" for i in range(200)]
 
 
-def test_long_texts_are_counted_by_digest_and_shown_whole(spark):
+def test_long_texts_are_ranked_whole(spark):
     head = "word " * 100
-    texts = [head + "b"] * 3 + [head + "a"] + ["x" * 300, "9" * 300, " " * 300, "Jan 5, 2017" + " " * 300 + "x", "short", None, "é" * 200]
-    frame = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, n int")
-    counts = value_counts(frame, digest_over=256)
-    assert counts.filter("digest IS NOT NULL").count() == 5
-    by_digest, whole = (
-        [json.loads(r[0]) for r in column_profiles(frame, digest_over=size).orderBy("column_pos")
-         .select(F.to_json(F.struct("*"))).collect()] for size in (256, None)
-    )
-    for one, other in zip(by_digest, whole):
-        assert one["n_distinct"] == other["n_distinct"]
-        assert one["frequent_values"][0] == other["frequent_values"][0]
-        assert {e["type"]: e["count"] for e in one["data_types"]} == {e["type"]: e["count"] for e in other["data_types"]}
-        for mine, theirs in zip(one["data_types"], other["data_types"]):
-            for name in ("shortest_values", "longest_values"):
-                assert [len(v) for v in mine.get(name, [])] == [len(v) for v in theirs.get(name, [])]
-                assert set(mine.get(name, [])) <= {t or "" for t in texts}
-            assert mine.get("average_length") == theirs.get("average_length")
+    texts = [head + "b"] * 3 + [head + c for c in "hgfedca"] + ["x" * 300, "9" * 300, " " * 300, "Jan 5, 2017" + " " * 300, "short", None, "é" * 200]
+    row = column_profiles(spark.createDataFrame([(t,) for t in texts], "t string")).first()
+    assert list(row.frequent_values) == [head + "b", ""] + sorted({t for t in texts if t} - {head + "b"})[:3]
+    kinds = {e["type"]: e for e in row.data_types}
+    assert kinds["DATE/TIME"]["count"] == 1 and kinds["INTEGER(LONG)"]["count"] == 1
+    assert list(kinds["TEXT"]["longest_values"]) == [head + c for c in ("a", "b", "b", "b", "c")]
 
 
 def test_documents_profile(spark, tiny):

@@ -126,7 +126,17 @@ def test_own_type(spark):
 def test_dictionaries(spark):
     values = spark.createDataFrame([("a",), ("b",), ("a",)], "value string")
     terms = spark.createDataFrame([("a",), ("a",)], "term string")
-    for small in (True, False):
-        assert [r.value for r in D.match_exact(values, terms, small=small).collect()] == ["a", "a"]
+    assert [r.value for r in D.match_exact(values, terms).collect()] == ["a", "a"]
     union = D.dictionary_union(terms, spark.createDataFrame([(" A ",), ("B  c",)], "term string"))
     assert sorted(r.term for r in union.collect()) == ["a", "b c"]
+
+
+def test_many_terms(spark):
+    """Any number of literal terms: exact, keyword and fuzzy."""
+    terms = [f"term{i:05d}" for i in range(2500)]
+    values = spark.createDataFrame([("term02400",), ("has term01234 inside",), ("term99x99",), ("zzz",)], "v string")
+    v = F.col("v")
+    got = values.select("v", P.one_of(terms)(v), P.contains_any(terms)(v), P.contains_any(terms[:40] + ["term01234"])(v), P.similar_to(terms)(v)).collect()
+    assert [tuple(r) for r in got] == [
+        ("term02400", True, True, False, True), ("has term01234 inside", False, True, True, False),
+        ("term99x99", False, False, False, True), ("zzz", False, False, False, False)]
