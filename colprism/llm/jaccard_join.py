@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import SPACED, map_arrow, mix64, raw_texts, shingles, slices, words_of, written
 from .components import connected
 
-#: Shared prefix shingles that a link must show, and how many shingles more a prefix holds for that.
-SHARED = 3
 #: Lists up to this length compare all their sets at once.
 SHORT = 8
 #: Counters of the sketch of shingle frequencies, and of a part of it.
@@ -65,10 +63,12 @@ def _least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _possible(entries, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of entries of one list that sizes and positions allow."""
+    """Pairs of entries of one list that sizes and positions allow, if the list's shingle is the first they share.
+
+    A link passes in the list of its first shared shingle, so it need not pass in others.
+    """
     a, b = entries["size"][x].astype(np.int64), entries["size"][y].astype(np.int64)
-    i, j = entries["pos"][x], entries["pos"][y]
-    most = np.minimum(i, j) + 1 + np.minimum(a - 1 - i, b - 1 - j)
+    most = np.minimum(a - entries["pos"][x], b - entries["pos"][y])
     return (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (most >= _least_overlap(a, b, percent))
 
 
@@ -155,9 +155,8 @@ def _rest(table: pa.Table, percent: int) -> pa.Table:
             j = np.arange(i, len(low))
             skip = (root[0][j] == root[1][j]) & (root[0][i] == root[1][i]) & (root[0][i] == root[0][j])
             skip |= (100 * size[1][i] < percent * size[0][j]) | (100 * size[1][j] < percent * size[0][i])
-            apart = np.maximum(pos[0][j] - pos[1][i], pos[0][i] - pos[1][j])
-            # Positions that are apart by d leave at least d shingles of one set unmatched.
-            skip |= apart > np.maximum(size[1][i], size[1][j]) - _least_overlap(size[0][i], size[0][j], percent)
+            # From its first shared shingle on, the smaller rest of a pair must hold the overlap.
+            skip |= np.minimum(size[1][i] - pos[0][i], size[1][j] - pos[0][j]) < _least_overlap(size[0][i], size[0][j], percent)
             for other in j[~skip]:
                 x, y = np.divmod(np.arange((high[i] - low[i]) * (high[other] - low[other])), high[other] - low[other])
                 x, y = x + low[i], y + low[other]
@@ -205,11 +204,12 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
 
     1. One pass over the texts gives size and digest of every set and a sketch of shingle frequencies of fixed size.
        Documents of one set are one node from here on, however many.
-    2. A second pass indexes prefixes: a set's shingles in the order of their frequency class, then of their hash; the
-       share that a link must reach, and ``SHARED`` more. Sets that link share ``SHARED`` shingles there, or all they have to.
-    3. Short lists give all their pairs, long ones pairs with their leader; pairs that share enough are verified with
-       the whole texts and links join components. Long lists that still hold several components are walked block by block
-       for pairs across components, which are verified in turn. A pair within a component needs no test; no other is lost.
+    2. A second pass indexes prefixes: of a set's shingles, in the order of their frequency class, then of their hash,
+       so many that sets which link share one of them.
+    3. Short lists give all their pairs, long ones pairs with their leader; the pairs that sizes and positions allow are
+       verified with the whole texts, and links join components. Long lists that still hold several components are walked
+       block by block for pairs across components, which are verified in turn. A pair within a component needs no test;
+       no other is lost.
 
     Nulls and texts without words have no shingles, link with nothing and are their own component. Repeated rows are in
     one group. Rows with a null id belong to groups, but give no ``component_id`` unless nothing else is there (null).
@@ -250,7 +250,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     mean = total / _COUNTERS
     # Frequency classes: what stands out of the counters' noise, in powers of two.
     level = np.clip(np.floor(np.log2(np.maximum(1, (sketch - mean - 3 * np.sqrt(mean)) + 1))), 0, 15).astype(np.uint8)
-    groups = max(1, -(-int(total * (100 - percent) / 100 + SHARED * 2 + 1) // _GROUP))
+    groups = max(1, -(-int(total * (100 - percent) / 100 + 1) // _GROUP))
 
     def index(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for low, high, tokens, row, borders in sets_of(batch.column(0), shingle_words):
@@ -263,7 +263,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
             order = level[(tokens & np.uint64(_COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
             packed = np.sort((row.astype(np.uint64) << np.uint64(48)) | (order << np.uint64(44)) | (tokens >> np.uint64(4)))
             place = np.arange(len(packed)) - borders[row]
-            length = np.minimum(size, size - (-(-percent * size // 100)) + SHARED)
+            length = size - (-(-percent * size // 100)) + 1
             keep = (place < length[row]) & once[row]
             entries = np.zeros(int(keep.sum()), _ENTRY)
             entries["token"] = packed[keep] & np.uint64((1 << 44) - 1)
@@ -280,11 +280,8 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     listed = posted.groupBy("group").applyInArrow(lambda table: _lists(table, percent), _LISTED)
     listed = written(listed, "lists")
 
-    need = F.ceil(percent * (F.col("a_size") + F.col("b_size")) / (100 + percent))
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        summed = pairs.groupBy("a", "b").agg(F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"), F.sum("n").alias("n"))
-        return summed.where(F.col("n") >= F.least(F.lit(SHARED), need)).drop("n")
+    def distinct(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a", "b").agg(F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
 
     linked = 100 * F.col("overlap") >= percent * (F.col("a_size") + F.col("b_size") - F.col("overlap"))
     owners = known.where(F.col("n") > 0).groupBy("set").agg(F.min(F.struct("id", "n")).alias("one"))
@@ -307,7 +304,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
         texts = written(text_of(nodes), "texts")
         return written(_verify(pairs, texts, shingle_words), "overlaps")
 
-    first = verified(enough(listed.where("kind < 2")), "pairs")
+    first = verified(distinct(listed.where("kind < 2")), "pairs")
     links = first.where(linked).select("a", "b")
     roots = written(connected(links), "roots")
 
@@ -321,9 +318,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     open_ = open_.withColumn("group", F.pmod(F.xxhash64("token"), F.lit(groups)).cast("int")).select("group", "token", "set", "size", "pos", "root", "gap")
     rest = open_.groupBy("group").applyInArrow(lambda table: _rest(table, percent), _LISTED)
     rest = written(rest, "rest")
-    # What long lists show, and what short lists showed of the same pairs before.
-    shown = rest.unionByName(listed.where("kind = 0").join(rest.select("a", "b").distinct(), ["a", "b"], "left_semi"))
-    second = enough(shown).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = distinct(rest).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = verified(second, "more-pairs")
     new = second.where(linked).select("a", "b")
     if not new.isEmpty():
