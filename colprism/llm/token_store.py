@@ -12,6 +12,7 @@ document ids, so no task holds more than a share of the store, and reading needs
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -21,13 +22,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import raw_texts, scratch, written
+from .common import SPACED, raw_texts, scratch, slices, words_of, written
 
 BLOCK_IDS = 65536
 CHUNK_IDS = 1 << 20
 END_ID = 2
 #: Distinct words that a process remembers as its latest; as many before them stay until they are older.
-_WORDS = 600_000
+_WORDS = 500_000
 #: Bytes of text that one part of the store stands for.
 PART_BYTES = 32_000_000
 
@@ -61,70 +62,100 @@ def unpack(blocks: list[list[bytes]], n: int, block_ids: int) -> np.ndarray:
 
 
 _LOADED: dict = {}
-#: A full stop or comma between an ASCII letter and white space is a piece of its own for these tokenizers.
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=[\x20\x09-\x0D]|$)")
-_BETWEEN = "0"
+#: Words that no normalising step changes and that are one piece, with a full stop or comma, a piece of its own.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file, the words that this process encoded lately, and those before; by word the ids as bytes."""
+def _tokenizer(path: str) -> list:
+    """The tokenizer of a file; one that only spells and merges words; the words that this process encoded lately, and
+    those before: by word the ids as bytes."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = [Tokenizer.from_file(path), {}, {}]
+        with open(path, encoding="utf-8") as file:
+            bare = json.load(file)
+        spell = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spell]}}
+        _LOADED[path] = [Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(bare)), {}, {}]
     return _LOADED[path]
 
 
-def _encode_each(tokenizer, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """The ids of each word. Words without a 0 are encoded in one text, between zeros, which is a piece of its own."""
-    simple = [w for w in words if b"0" not in w and b"<|" not in w]
-    mark = tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
-    if len(mark) != 1:
-        simple = []
-    for i in range(0, len(simple), 64 * 256):
-        rows = [simple[j : j + 64] for j in range(i, min(i + 64 * 256, len(simple)), 64)]
-        texts = [f" {_BETWEEN} ".join([w.decode() for w in row]) for row in rows]
-        for row, found in zip(rows, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+def _merged(bare, words: list[str]) -> Iterator[bytes]:
+    """The ids of plain words: many in one text, with zeros between them, whose id tells where a word ends."""
+    mark = bare.encode("0", add_special_tokens=False).ids
+    for i in range(0, len(words), 1 << 14):
+        rows = [words[j : j + 512] for j in range(i, min(i + (1 << 14), len(words)), 512)]
+        for row, found in zip(rows, bare.encode_batch_fast([" 0 ".join(row) for row in rows], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
-            cuts = np.flatnonzero(ids == mark[0])
-            data, begin = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
-            for word, a, b in zip(row, begin, [*(4 * cuts).tolist(), len(data)], strict=True):
-                yield word, data[a:b]
-    rest = [w for w in words if b"0" in w or b"<|" in w] if simple or len(mark) == 1 else words
+            cuts = (4 * np.flatnonzero(ids == mark[0])).tolist()
+            data = ids.tobytes()
+            yield from (data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True))
+
+
+def _learn(loaded: list, words: list[bytes]) -> None:
+    """Remember the ids of new words: plain ones by their merges, all others by every step of the tokenizer."""
+    tokenizer, bare, known, before = loaded
+    cores, ends, rest = {}, [], []
+    for word in words:
+        if plain := _PLAIN.fullmatch(text := word.decode()):
+            core, stop = plain.groups()
+            name = word[:-1] if stop else word
+            if name not in known:
+                cores[name] = core
+            if stop:
+                ends.append((word, name, stop))
+        else:
+            rest.append(word)
+    known.update(zip(cores, _merged(bare, list(cores.values()))))
+    stops = {stop: np.array(tokenizer.encode(stop, add_special_tokens=False).ids, "<u4").tobytes() for stop in ".,"}
+    known.update((word, known[name] + stops[stop]) for word, name, stop in ends)
     for i in range(0, len(rest), 4096):
-        for word, found in zip(rest[i : i + 4096], tokenizer.encode_batch_fast([w.decode() for w in rest[i : i + 4096]], add_special_tokens=False)):
-            yield word, np.array(found.ids, "<u4").tobytes()
+        texts = [w.decode() for w in rest[i : i + 4096]]
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest[i:], tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
 
 
-def encode_words(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """The ids of each text as little-endian 32-bit integers.
+def encode_words(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
+    """The ids of each text, for tokenizers that lower-case and treat ASCII white space as a border only.
 
-    For tokenizers that lower-case and treat ASCII white space as a border only: the words between are encoded once and
-    remembered. A-Z are lower-cased first, but not where a text may hold the name of a special token.
+    Words are told apart by 64-bit hashes; each word of a batch is looked up once, and encoded once while it is remembered.
+    Texts that may hold the name of a special token, which is no matter of words, are encoded as they are.
     """
     loaded = _tokenizer(path)
-    split = [(_STOP.sub(rb" \1", t.lower()) if b"<|" not in t else t).split() for t in texts]
-    unknown = set().union(*split).difference(loaded[1])
-    if len(loaded[1]) + len(unknown) > _WORDS:
-        loaded[1], loaded[2] = {}, loaded[1]
-        unknown = set().union(*split)
-    known, before = loaded[1], loaded[2]
-    again = unknown.intersection(before) if before else ()
-    known.update((w, before[w]) for w in again)
-    known.update(_encode_each(loaded[0], list(unknown.difference(again))))
-    for words in split:
-        yield b"".join(map(known.__getitem__, words))
+    hashes, first, last, counts = words_of(data, offsets, SPACED)
+    _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    low = data.tobytes().lower()
+    words = [low[a:b] for a, b in zip(first[index].tolist(), last[index].tolist())]
+    unknown = [w for w in words if w not in loaded[2]]
+    if len(loaded[2]) + len(unknown) > _WORDS:
+        loaded[2], loaded[3] = {}, loaded[2]
+        unknown = words
+    again = [w for w in unknown if w in loaded[3]]
+    loaded[2].update((w, loaded[3][w]) for w in again)
+    _learn(loaded, [w for w in unknown if w not in loaded[2]])
+    found = list(map(loaded[2].__getitem__, words))
+    ids = np.frombuffer(b"".join(found), "<u4")
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    begin = np.cumsum(size) - size
+    each = size[inverse]
+    total = np.concatenate(([0], np.cumsum(each)))
+    flat = ids[np.repeat(begin[inverse] - total[:-1], each) + np.arange(total[-1])]
+    cuts = total[counts]
+    out = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    if b"<|" in low:
+        for i in range(len(out)):
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
+            if b"<|" in text:
+                out[i] = np.array(loaded[0].encode(text.decode(), add_special_tokens=False).ids, "<u4")
+    return out
 
 
 def _spaces_are_borders(path: str) -> bool:
-    import json
-
     with open(path, encoding="utf-8") as file:
         kind = json.load(file)
     steps = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or [kind.get("pre_tokenizer") or {}]
     lower = any(n.get("type") == "Lowercase" for n in (kind.get("normalizer") or {}).get("normalizers", []))
-    return lower and any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in s["pattern"].get("Regex", "") for s in steps)
+    return lower and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and any(s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert") and "[^\\s" in s["pattern"].get("Regex", "") for s in steps)
 
 
 def _encoded(documents: DataFrame, id_column: str, text_column: str, tokenizer_path: str, end_id: int, bounds: list[int]) -> DataFrame:
@@ -133,7 +164,7 @@ def _encoded(documents: DataFrame, id_column: str, text_column: str, tokenizer_p
     edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, press = np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1)
+        end, press = np.uint32(end_id), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             data, offsets = raw_texts(batch.column(1))
             numbers, marks = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
@@ -141,14 +172,13 @@ def _encoded(documents: DataFrame, id_column: str, text_column: str, tokenizer_p
             low, high = np.searchsorted(edges, ids, "left"), np.searchsorted(edges, ids, "right")
             share = (marks.astype(np.float64) / 2.0**64 + 0.5) * (high - low + 1)
             part = low + np.minimum(share.astype(np.int64), high - low)
-            for first in range(0, batch.num_rows, 512):
-                last = min(first + 512, batch.num_rows)
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(first, last)]
+            for first, last in slices(offsets, 2 << 20):
                 if by_word:
-                    found = encode_words(texts, tokenizer_path)
+                    found = encode_words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], tokenizer_path)
                 else:
-                    found = (np.array(e.ids, "<u4").tobytes() for e in _tokenizer(tokenizer_path)[0].encode_batch([t.decode() for t in texts], add_special_tokens=False))
-                rows = [np.frombuffer(x + end, "<u4") for x in found]
+                    texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(first, last)]
+                    found = [np.array(e.ids, "<u4") for e in _tokenizer(tokenizer_path)[0].encode_batch(texts, add_special_tokens=False)]
+                rows = [np.append(x, end).astype("<u4") for x in found]
                 yield pa.RecordBatch.from_arrays([
                     numbers[first:last], batch.column(2)[first:last], pa.array(part[first:last].astype(np.int32)),
                     pa.array([press.compress(b"".join(split_planes(x, "byte"))) for x in rows], pa.binary()),

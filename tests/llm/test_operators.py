@@ -184,8 +184,10 @@ def test_words_as_whole_texts():
     tokenizer, random_ = Tokenizer.from_file(path), random.Random(3)
     pieces = [*"aA.,!0 1\n\té€İǅKKΣß\x1c\x85中\U0001F600_-#٠'", "é", "<|endoftext|>", "<|EndOfText|>", "don't", "I'LL", "10.5", "...", "a.", "b,", "é."]
     texts = ["".join(random_.choices(pieces, k=random_.randint(0, 30))) for _ in range(2000)]
-    for text, ids in zip(texts, token_store.encode_words([t.encode() for t in texts], path)):
-        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    raw = [t.encode() for t in texts]
+    found = token_store.encode_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), path)
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
 def test_mixing(docs, rows, none):
