@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..operators import cells as L, counts as C, typing as Y
 from ..plans.profile import column_profiles, profile_dataset, profile_datasets
 from ..sources import results
 from ..sources.listing import list_datasets
-from ..sources.tsv import date_like_sample, parse_column_list, read_tsv
+from ..sources.tsv import date_like_sample, name_files, parse_column_list, read_tsv
 from . import inputs as I
 from .registry import query, table
 
@@ -33,9 +33,21 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.typed(L.value_counts(I.mixed(spark, sf_dir), "orders"))
 
 
-@query()
+@query("""SELECT *, CAST(row_number() OVER (ORDER BY length, dataset_name) AS INTEGER) AS place FROM (
+    SELECT rpad(c_mktsegment, greatest(9, length(c_mktsegment)), '-') || '.tsv' AS dataset_name, rpad(c_mktsegment, 9, '-') AS dataset_id,
+        CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) + strlen(c_name) + 2) AS BIGINT) AS length FROM customer GROUP BY c_mktsegment)""")
 def dataset_listing(spark, sf_dir):
-    return list_datasets(spark, sf_dir, "*.parquet").select("dataset_name", "dataset_id", "length")
+    """Files of the customers of each market segment, written first, next to a catalogue file that the listing skips."""
+    folder = os.path.join(results.scratch_folder(spark), f"listing-{os.urandom(8).hex()}")
+    customers = table(spark, sf_dir, "customer")
+    lines = customers.select("c_mktsegment", F.concat_ws("\t", "c_custkey", "c_name").alias("line"))
+    segments = lines.select("c_mktsegment").distinct()
+    listed = segments.select(F.lit("datasets").alias("c_mktsegment"), F.col("c_mktsegment").alias("line"))
+    lines.unionByName(listed).repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(f"{folder}/parts")
+    names = {f"c_mktsegment={r[0]}": f"{r[0]:-<9}.tsv" for r in segments.collect()} | {"c_mktsegment=datasets": "datasets.tsv"}
+    name_files(spark, f"{folder}/parts", names, f"{folder}/files")
+    files = list_datasets(spark, f"{folder}/files").select("dataset_name", "dataset_id", "length")
+    return files.withColumn("place", F.row_number().over(Window.orderBy("length", "dataset_name")))
 
 
 @query(f"SELECT dataset_name, column_name, value FROM ({CELLS})")
@@ -219,15 +231,24 @@ def profile_tsv_roundtrip(spark, sf_dir):
     return _flat(results.read_profiles(spark, f"{folder}/profiles"))
 
 
-@query("""SELECT * FROM (VALUES ('region', 'finished', NULL), ('nation', 'finished', NULL), ('supplier', 'finished', NULL),
-    ('part', 'finished', NULL), ('embeddings', 'failed', 'UnsupportedColumnType'), ('missing', 'failed', 'AnalysisException'))
-    AS t(dataset_name, status, error)""")
+ALL_TABLES = {
+    "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
+    "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,
+}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{name}' AS dataset_name, 'finished' AS status, NULL AS error, {n} AS n_columns, {n} * count(*) AS n_cells FROM {name}"
+    for name, n in ALL_TABLES.items()) + " UNION ALL SELECT 'embeddings', 'failed', 'UnsupportedColumnType', NULL, NULL"
+    " UNION ALL SELECT 'missing', 'failed', 'AnalysisException', NULL, NULL")
 def dataset_status(spark, sf_dir):
-    """All tables and one that is missing; a table with an array column cannot be profiled."""
-    names = ["region", "nation", "supplier", "part", "embeddings", "missing"]
-    readers = {name: (lambda name=name: table(spark, sf_dir, name)) for name in names}
+    """All tables and one that is missing, with what their stored profiles count; an array column cannot be profiled."""
+    readers = {name: (lambda name=name: table(spark, sf_dir, name)) for name in [*ALL_TABLES, "embeddings", "missing"]}
     folder = os.path.join(results.scratch_folder(spark), f"status-{os.urandom(8).hex()}")
-    return profile_datasets(spark, readers, folder)
+    status = profile_datasets(spark, readers, folder).withColumn("error", F.split_part("error", F.lit(":"), F.lit(1)))
+    cells_of = F.aggregate("columns", F.lit(0).cast("long"), lambda n, c: n + c["number_non_empty_cells"] + c["number_empty_cells"])
+    stored = results.read_profiles(spark, folder).select("dataset_name", F.size("columns").alias("n_columns"), cells_of.alias("n_cells"))
+    return status.join(stored, "dataset_name", "left")
 
 
 def _sample_sql() -> str:

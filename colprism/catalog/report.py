@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import report as Q, typing as Y
 from ..operators.cells import cells
+from ..sources import results
 from . import inputs as I
 from .registry import query, table
 
-# All tables with the kinds of their columns; the array column of embeddings is left out.
+# All tables with the kinds of their columns. The array column of embeddings has no profile type: profiles refuse it.
 TABLES = {
     "region": {"r_regionkey": "whole", "r_name": "text"},
     "nation": {"n_nationkey": "whole", "n_name": "text", "n_regionkey": "whole"},
@@ -53,6 +55,21 @@ def column_types(spark, sf_dir, empty_as_text: bool = True) -> DataFrame:
     return Y.types_per_column(typed)
 
 
+_STORED: dict[tuple[str, str, bool], str] = {}
+
+
+def stored_types(spark, sf_dir, empty_as_text: bool = True) -> DataFrame:
+    """The types of all columns, from stored result documents: one JSON document per table, written once per session."""
+    key = spark.sparkContext.applicationId, sf_dir, empty_as_text
+    if key not in _STORED:
+        entry = F.struct("column_name", F.transform("types", lambda t: F.struct(t.alias("type"))).alias("data_types"))
+        nested = column_types(spark, sf_dir, empty_as_text).groupBy("dataset_name").agg(F.array_sort(F.collect_list(entry)).alias("columns"))
+        folder = os.path.join(results.scratch_folder(spark), f"types-{os.urandom(8).hex()}")
+        nested.write.json(folder)
+        _STORED[key] = folder
+    return Q.column_types(results.read_profiles(spark, _STORED[key]))
+
+
 def _types_sql() -> str:
     return f"SELECT DISTINCT dataset_name, column_name, type FROM ({I.typed_sql(I.cells_sql(COLUMNS))})"
 
@@ -64,13 +81,13 @@ BY_DATASET = f"""SELECT dataset_name, count(*) FILTER (WHERE type = 'INTEGER(LON
 
 @query(BY_DATASET)
 def type_counts_by_dataset(spark, sf_dir):
-    return Q.type_counts_by_dataset(column_types(spark, sf_dir))
+    return Q.type_counts_by_dataset(stored_types(spark, sf_dir))
 
 
 @query(f"""SELECT CAST(sum(n_integer) AS BIGINT) AS n_integer, CAST(sum(n_real) AS BIGINT) AS n_real,
     CAST(sum(n_datetime) AS BIGINT) AS n_datetime, CAST(sum(n_text) AS BIGINT) AS n_text FROM ({BY_DATASET})""")
 def type_totals(spark, sf_dir):
-    return Q.type_totals(Q.type_counts_by_dataset(column_types(spark, sf_dir)))
+    return Q.type_totals(Q.type_counts_by_dataset(stored_types(spark, sf_dir)))
 
 
 @query(f"""SELECT code, count(*) AS n_columns FROM (
@@ -79,13 +96,13 @@ def type_totals(spark, sf_dir):
         || CASE WHEN bool_or(type = 'TEXT') THEN 'T' ELSE '' END AS code
     FROM ({_types_sql()}) GROUP BY dataset_name, column_name) GROUP BY code""")
 def type_set_frequency(spark, sf_dir):
-    return Q.type_set_frequency(column_types(spark, sf_dir))
+    return Q.type_set_frequency(stored_types(spark, sf_dir))
 
 
 @query(rf"""SELECT dataset_name, column_name FROM ({I.cells_sql(COLUMNS)}) GROUP BY ALL
     HAVING bool_and(regexp_matches(value, '^\s*$'))""")
 def untyped_columns(spark, sf_dir):
-    return Q.untyped_columns(column_types(spark, sf_dir, empty_as_text=False))
+    return Q.untyped_columns(stored_types(spark, sf_dir, empty_as_text=False))
 
 
 def _equal_width_sql(tab: str, column: str, bins: int = 50) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import predicates as P, routing as R, terms as W
 from ..operators import dictionaries as D, evaluation as E, report as Q, semantic as S
 from ..sources import labels as M, results
+from ..sources.tsv import read_value_files, write_value_files
 from .registry import QUERIES, ORACLES, query, table
 
 # table -> {column: expression}
@@ -65,7 +66,18 @@ VALUES = {
         "Upcoming_Project_Name": "p_name",
     },
     "pages": {"WEBSITE": "url"},
-    "documents": {"Contact_Phone": "regexp_extract(text, '[(][0-9]{3}[)] [0-9]{3}-[0-9]{4}', 0)"},
+    "documents": {"Contact_Phone": "phone"},
+}
+
+# Tables that are prepared in each engine's own words: every phone number of a text is a row, a text without one an empty row.
+_PHONES = "'[(][0-9]{3}[)] [0-9]{3}-[0-9]{4}'"
+DUCK_TABLES = {
+    "documents": f"""(SELECT unnest(CASE WHEN len(p) = 0 THEN [''] ELSE p END) AS phone
+        FROM (SELECT regexp_extract_all(text, {_PHONES}) AS p FROM documents))""",
+}
+SPARK_TABLES = {
+    "documents": lambda df: df.selectExpr(f"regexp_extract_all(text, {_PHONES}, 0) AS p").selectExpr(
+        "explode(CASE WHEN size(p) = 0 THEN array('') ELSE p END) AS phone"),
 }
 
 # The semantic types each column tries, spelled out for the oracle.
@@ -100,6 +112,7 @@ def _has(words) -> str:
     return "(" + " OR ".join(f"contains(v, '{w}')" for w in words) + ")"
 
 
+# Street words and patterns that the predicates must match.
 _STREETS = "street|st|avenue|ave|road|rd|highway|hwy|square|sq|trail|trl|drive|dr|court|ct|park|parkway|pkwy|circle|cir|boulevard|blvd"
 _SPACED = "trim(regexp_replace(v, '\\s+', ' ', 'g'))"
 PREDICATES_SQL = {
@@ -137,7 +150,7 @@ def _values_sql(columns) -> str:
     for name, expressions in VALUES.items():
         for column, expression in expressions.items():
             if column in columns:
-                parts.append(f"SELECT '{column}' AS column_name, {expression} AS value, count(*) AS freq FROM {name} GROUP BY ALL")
+                parts.append(f"SELECT '{column}' AS column_name, {expression} AS value, count(*) AS freq FROM {DUCK_TABLES.get(name, name)} GROUP BY ALL")
     return f"""SELECT *, lower(regexp_replace(value, '^\\s+|\\s+$', '', 'g')) AS v FROM ({' UNION ALL '.join(parts)})"""
 
 
@@ -157,7 +170,7 @@ def column_values(spark, sf_dir, columns=None) -> DataFrame:
     for name, expressions in VALUES.items():
         chosen = {c: e for c, e in expressions.items() if columns is None or c in columns}
         if chosen:
-            wide = table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, e in chosen.items()])
+            wide = SPARK_TABLES.get(name, lambda df: df)(table(spark, sf_dir, name)).selectExpr(*[f"{e} AS {c}" for c, e in chosen.items()])
             frames.append(wide.unpivot([], list(chosen), "column_name", "value"))
     united = reduce(DataFrame.unionByName, frames)
     return united.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("freq"))
@@ -208,38 +221,46 @@ def semantic_labels(spark, sf_dir):
     return S.label_counts(labelled(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_labels(spark, sf_dir) -> DataFrame:
+    """The label documents of all columns: value files written, read by their names, labelled, nested and stored as JSON.
+
+    Empty values stand in the files as nulls; one file has no counts. Stored once per session.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        folder = os.path.join(results.scratch_folder(spark), f"semantic-{os.urandom(8).hex()}")
+        values = column_values(spark, sf_dir).withColumn("value", F.nullif("value", F.lit("")))
+        write_value_files(values, f"{folder}/values", "abcd-1234", without_counts=["WEBSITE"])
+        counted = S.label_counts(S.label_values(read_value_files(spark, f"{folder}/values")))
+        results.write_labels(S.nest_labels(counted), f"{folder}/labels")
+        _STORED[key] = f"{folder}/labels"
+    stored = results.read_labels(spark, _STORED[key])
+    return stored.withColumn("column_name", F.split_part("column_name", F.lit("."), F.lit(2)))
+
+
+def stored_label_counts(spark, sf_dir) -> DataFrame:
+    return stored_labels(spark, sf_dir).select("column_name", F.inline("semantic_types"))
+
+
 @query(NESTED)
 def semantic_nested(spark, sf_dir):
-    """Value files of all columns written and read back, labelled, nested, written and read back."""
-    folder = os.path.join(results.scratch_folder(spark), f"semantic-{os.urandom(8).hex()}")
-    values = column_values(spark, sf_dir)
-    (
-        values.filter("value <> ''").select("column_name", "value", F.col("freq").cast("string"))
-        .write.partitionBy("column_name").option("compression", "gzip").csv(f"{folder}/values", sep="\t")
-    )
-    blank = values.filter("value = ''")
-    partitioned = (
-        spark.read.schema("value string, freq string, column_name string").csv(f"{folder}/values", sep="\t")
-        .select("column_name", "value", F.col("freq").try_cast("bigint").alias("freq"))
-    )
-    counted = S.label_counts(S.label_values(partitioned.unionByName(blank)))
-    results.write_labels(S.nest_labels(counted), f"{folder}/labels")
-    back = results.read_labels(spark, f"{folder}/labels")
     entry = lambda e: F.concat(e["semantic_type"], F.lit("="), e["count"].cast("string"))
+    back = stored_labels(spark, sf_dir)
     return back.select("column_name", F.array_join(F.transform("semantic_types", entry), "|").alias("semantic_types"))
 
 
 @query(f"""
-    WITH item AS (SELECT column_name AS key, '{{"column_name":"' || column_name || '","n_types":' || CAST(count(*) AS VARCHAR)
-            || ',"n_values":' || CAST(CAST(sum(count) AS BIGINT) AS VARCHAR) || '}}' AS line FROM ({LABEL_COUNTS}) GROUP BY column_name)
+    WITH item AS (SELECT column_name AS key, '{{"column_name":"' || column_name || '","semantic_types":['
+            || string_agg('{{"semantic_type":"' || semantic_type || '","count":' || CAST(count AS VARCHAR) || '}}', ',' ORDER BY semantic_type)
+            || ']}}' AS line FROM ({LABEL_COUNTS}) GROUP BY column_name)
     SELECT 1 AS section, key, CASE WHEN key = (SELECT min(key) FROM item) THEN '' ELSE ',' END || line AS line FROM item
     UNION ALL SELECT 0, '', '{{"predicted_types":[' UNION ALL SELECT 2, '', ']}}'""")
 def combined_document(spark, sf_dir):
-    counts = S.label_counts(labelled(spark, sf_dir))
-    records = counts.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_types"), F.sum("count").alias("n_values")
-    )
-    return results.combined_document(records, "column_name", "predicted_types")
+    """The stored label documents, in full, as the lines of one document."""
+    return results.combined_document(stored_labels(spark, sf_dir), "column_name", "predicted_types")
 
 
 def _route_sql(key: str) -> str:
@@ -359,18 +380,22 @@ def _manual(spark, sf_dir) -> DataFrame:
     return M.flatten_manual_labels(_manual_documents(spark, sf_dir))
 
 
-def _rates_sql(rule: str) -> str:
-    types = ", ".join(f"({i}, '{t}')" for i, t in enumerate(EVALUATED))
+def _rates_sql_of(predicted: str, manual: str, types) -> str:
+    listed = ", ".join(f"({i}, '{t}')" for i, t in enumerate(types))
     return f"""
         SELECT t.type_pos, t.semantic_type, coalesce(m.n, 0) AS match, coalesce(p.n, 0) AS pred, coalesce(h.n, 0) AS manual,
             coalesce(m.n / p.n, 0.0) AS precision, coalesce(m.n / h.n, 0.0) AS recall
-        FROM (VALUES {types}) AS t(type_pos, semantic_type)
-        LEFT JOIN (SELECT semantic_type, count(*) AS n FROM (SELECT DISTINCT * FROM ({_predicted_sql(rule)})) p
-            WHERE EXISTS (SELECT 1 FROM ({MANUAL}) h WHERE h.column_name = p.column_name AND h.semantic_type = p.semantic_type)
+        FROM (VALUES {listed}) AS t(type_pos, semantic_type)
+        LEFT JOIN (SELECT semantic_type, count(*) AS n FROM (SELECT DISTINCT * FROM ({predicted})) p
+            WHERE EXISTS (SELECT 1 FROM ({manual}) h WHERE h.column_name = p.column_name AND h.semantic_type = p.semantic_type)
             GROUP BY ALL) m USING (semantic_type)
-        LEFT JOIN (SELECT semantic_type, count(*) AS n FROM (SELECT DISTINCT * FROM ({_predicted_sql(rule)}))
-            WHERE column_name IN (SELECT column_name FROM ({MANUAL})) GROUP BY ALL) p USING (semantic_type)
-        LEFT JOIN (SELECT semantic_type, count(*) AS n FROM ({MANUAL}) GROUP BY ALL) h USING (semantic_type)"""
+        LEFT JOIN (SELECT semantic_type, count(*) AS n FROM (SELECT DISTINCT * FROM ({predicted}))
+            WHERE column_name IN (SELECT column_name FROM ({manual})) GROUP BY ALL) p USING (semantic_type)
+        LEFT JOIN (SELECT semantic_type, count(*) AS n FROM ({manual}) GROUP BY ALL) h USING (semantic_type)"""
+
+
+def _rates_sql(rule: str) -> str:
+    return _rates_sql_of(_predicted_sql(rule), MANUAL, EVALUATED)
 
 
 def _rates(spark, sf_dir, rule) -> DataFrame:
@@ -402,6 +427,21 @@ def precision_recall(spark, sf_dir):
     return rates.withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
 
 
+# Manual labels of the composed columns: the first type that each tries, and Other where a table has many odd values.
+CASCADE_MANUAL = [(c, kinds[0] if kinds else "Other") for c, kinds in TRIES.items()] + [("Borough", "Other"), ("Address", "Other")]
+_CASCADE_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in CASCADE_MANUAL) + ") AS m(column_name, semantic_type)"
+
+
+@query("SELECT semantic_type, match, pred, manual, round(precision, 6) AS precision, round(recall, 6) AS recall FROM ("
+       + _rates_sql_of(f"SELECT column_name, semantic_type FROM ({LABEL_COUNTS})", _CASCADE_SQL, R.SEMANTIC_TYPES) + ")")
+def cascade_precision_recall(spark, sf_dir):
+    """Precision and recall of the stored labels of all columns, for the whole list of types."""
+    manual = spark.createDataFrame(CASCADE_MANUAL, "column_name string, semantic_type string")
+    predicted = stored_label_counts(spark, sf_dir).select("column_name", "semantic_type")
+    rates = E.precision_recall(predicted, manual, R.SEMANTIC_TYPES).drop("type_pos")
+    return rates.withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
+
+
 def _macro(measure: str) -> str:
     return f"""SELECT '{measure}' AS measure, round(avg(a.{measure}), 6) AS first, round(avg(b.{measure}), 6) AS second,
         round(avg(b.{measure} - a.{measure}), 6) AS change FROM ({_rates_sql('first')}) a JOIN ({_rates_sql('second')}) b USING (semantic_type)"""
@@ -426,9 +466,9 @@ LABELS_PER_COLUMN = f"SELECT column_name, count(*) AS n_types FROM ({LABEL_COUNT
 
 @query(LABELS_PER_COLUMN)
 def labels_per_column(spark, sf_dir):
-    return Q.labels_per_column(S.label_counts(labelled(spark, sf_dir)))
+    return Q.labels_per_column(stored_label_counts(spark, sf_dir))
 
 
 @query(f"SELECT n_types, count(*) AS n_columns FROM ({LABELS_PER_COLUMN}) GROUP BY ALL")
 def heterogeneity(spark, sf_dir):
-    return Q.heterogeneity(Q.labels_per_column(S.label_counts(labelled(spark, sf_dir))))
+    return Q.heterogeneity(Q.labels_per_column(stored_label_counts(spark, sf_dir)))

@@ -69,7 +69,7 @@ def write_labels(nested: DataFrame, out: str) -> None:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LABELS_SCHEMA).json(path)
+    return spark.read.schema(LABELS_SCHEMA).json(path).select("column_name", "semantic_types")
 
 
 def combined_document(records: DataFrame, key: str, root: str) -> DataFrame:

@@ -44,6 +44,38 @@ def read_value_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     )
 
 
+def name_files(spark: SparkSession, folder: str, names: dict[str, str], out: str) -> None:
+    """Move the one file of each partition folder (``key=value``) of ``folder`` to ``out`` under a name of its own.
+
+    One move per file, on the file system that holds them; contents are not read.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(out))
+    for part, name in names.items():
+        written = [f.getPath() for f in files.listStatus(path(f"{folder}/{part}")) if f.getPath().getName().startswith("part-")]
+        if len(written) != 1 or not files.rename(written[0], path(f"{out}/{name}")):
+            raise OSError(f"{folder}/{part} does not hold one file that can be moved")
+
+
+def write_value_files(values: DataFrame, out: str, dataset_id: str, without_counts: Sequence[str] = ()) -> None:
+    """A gzip file ``<dataset id>.<column>.txt.gz`` per column, as ``read_value_files`` reads them.
+
+    Takes column_name, value and freq; a file holds one column and is written by one task. Columns
+    ``without_counts`` have their values repeated instead.
+    """
+    spark, work = values.sparkSession, f"{out}-parts"
+    lone = F.col("column_name").isin(list(without_counts))
+    repeated = values.filter(lone).select("column_name", "value", F.explode(F.sequence(F.lit(1), F.col("freq").cast("int")))).drop("col")
+    for rows, name in ((values.filter(~lone), "counted"), (repeated, "plain")):
+        (
+            rows.repartition("column_name").write.partitionBy("column_name").option("compression", "gzip")
+            .csv(f"{work}/{name}", sep="\t", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        )
+        columns = [r.column_name for r in rows.select("column_name").distinct().collect()]
+        name_files(spark, f"{work}/{name}", {f"column_name={c}": f"{dataset_id}.{c}.txt.gz" for c in columns}, out)
+
+
 def parse_column_list(lines: DataFrame) -> DataFrame:
     """``['a.txt.gz', 'b.txt.gz']`` in column ``value`` -> distinct file names."""
     items = lines.select(F.explode(F.split("value", r",\s*")).alias("item"))

@@ -6,7 +6,7 @@ import pytest
 from colprism.catalog import ORACLES, QUERIES
 from check import TABLES, compare
 
-WITHOUT_ORACLE = {"dataset_listing"}
+WITHOUT_ORACLE = set()
 
 
 @pytest.fixture(scope="module")

@@ -28,6 +28,14 @@ def test_quotes_in_one_line_stay_splittable(spark, tmp_path):
     assert [tuple(r) for r in read_tsv(spark, str(path), raw=True).collect()] == [("p\tq", "1"), ("r", "s")]
 
 
+def test_doubled_quotes_stay_splittable(spark, tmp_path):
+    path = tmp_path / "x.tsv"
+    path.write_text('a\tb\n"say ""hi"""\t1\n"r"\t"s""t"\n')
+    assert not has_multiline_fields(spark, str(path))
+    (tmp_path / "y.tsv").write_text('a\tb\n"p\nq"\t1\n')
+    assert has_multiline_fields(spark, str(tmp_path / "y.tsv"))
+
+
 def test_listing(spark, tmp_path):
     for name, size in [("datasets.tsv", 1), ("bbbb-cccc.tsv", 9), ("aaaa-bbbb.tsv", 4)]:
         (tmp_path / name).write_text("x" * size)
