@@ -34,7 +34,7 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT *, CAST(row_number() OVER (ORDER BY length, dataset_name) AS INTEGER) AS place FROM (
-    SELECT rpad(c_mktsegment, greatest(9, length(c_mktsegment)), '-') || '.tsv' AS dataset_name, rpad(c_mktsegment, 9, '-') AS dataset_id,
+    SELECT rpad(c_mktsegment, CAST(greatest(9, length(c_mktsegment)) AS INTEGER), '-') || '.tsv' AS dataset_name, rpad(c_mktsegment, 9, '-') AS dataset_id,
         CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) + strlen(c_name) + 2) AS BIGINT) AS length FROM customer GROUP BY c_mktsegment)""")
 def dataset_listing(spark, sf_dir):
     """Files of the customers of each market segment, written first, next to a catalogue file that the listing skips."""
