@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.results import scratch_folder
+
 #: Bytes of text that the numpy helpers work on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -21,31 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared folder that the cluster names in ``spark.checkpoint.dir``.
+    """The path of a new folder below the shared one that the cluster names in ``spark.checkpoint.dir``."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Only where the setting is missing (tests on one machine) it is set to a temporary folder of its own.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system that holds a folder remove it when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` as a table in the shared folder: computed once, its lineage cut, kept when executors are lost."""
     spark, path = frame.sparkSession, scratch(frame.sparkSession, name)
     frame.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Remove tables that ``scratch`` named, with the file system that holds them."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fold(id_column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; null for a null id."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 3

@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import SPACED, raw_texts, scratch, slices, words_of, written
+from .common import SPACED, drop_at_exit, raw_texts, scratch, slices, words_of, written
 
 BLOCK_IDS = 65536
 CHUNK_IDS = 1 << 20
@@ -288,8 +288,11 @@ def tokens_of(documents: DataFrame, *, tokenizer_path: str, path: str | None = N
 
     Rows: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``, read back from the store.
     """
+    own = path is None
     path = path or scratch(documents.sparkSession, "tokens")
     write_store(documents, path, tokenizer_path=tokenizer_path, **options)
+    if own:
+        drop_at_exit(documents.sparkSession, path)
     back = read_store(documents.sparkSession, path)
 
     return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
