@@ -77,16 +77,24 @@ def types_per_column(typed_cells: DataFrame) -> DataFrame:
     return found.groupBy(*keys(found)).agg(F.array_sort(F.collect_set(kind)).alias("types"))
 
 
+def _digits() -> Column:
+    return F.regexp_replace(F.col("value"), r"[^0-9]", "")
+
+
+def _huge_size() -> Column:
+    """Number of digits of a whole number that no 64-bit number holds, with its sign; 0 for all others."""
+    size = F.length(_digits())
+    huge = (F.col("type") == D.INTEGER) & F.col("whole").isNull()
+    return F.when(huge, F.when(F.col("value").startswith("-"), -size).otherwise(size)).otherwise(0)
+
+
 def _order_key() -> Column:
     """Comparable of a number or date; exact for whole numbers of any length."""
-    digits = F.regexp_replace(F.col("value"), r"[^0-9]", "")
-    huge = (F.col("type") == D.INTEGER) & F.col("whole").isNull()
-    negative = F.col("value").startswith("-")
-    size = F.length(digits)
+    digits = F.when(F.col("value").startswith("-"), F.translate(_digits(), "0123456789", "9876543210")).otherwise(_digits())
     return F.struct(
         F.col("moment"),
-        F.when(huge, F.when(negative, -size).otherwise(size)).otherwise(0).alias("size"),
-        F.when(huge, F.when(negative, F.translate(digits, "0123456789", "9876543210")).otherwise(digits)).alias("digits"),
+        F.col("size"),
+        F.when(F.col("size") != 0, digits).alias("digits"),
         F.col("whole"),
         F.col("number"),
     )
@@ -125,9 +133,20 @@ def extremes(typed_cells: DataFrame) -> DataFrame:
     Among equal ones the maximum takes the lexically largest text, the minimum
     the smallest: the order of a struct of comparable and text.
     """
+    by = keys(typed_cells, "type")
     rows = _only(typed_cells, ~F.col("type").isin(D.TEXT, UNTYPED))
-    rows = rows.select(*keys(rows, "type"), F.struct(_order_key().alias("key"), "value").alias("_pair"))
-    return rows.groupBy(*keys(rows, "type")).agg(
+    rows = rows.select(*by, "value", "moment", _huge_size().alias("size"), "whole", "number")
+    # First the extremes of the parts, which a hash aggregation finds; only rows that hold one are ordered by text.
+    parts = ["moment", "size", "whole", "number"]
+    bounds = rows.groupBy(*by).agg(*[f(c).alias(f"{name}_{c}") for name, f in (("high", F.max), ("low", F.min)) for c in parts])
+    rows = rows.join(F.broadcast(bounds), by)  # at most four rows per column of the table
+
+    def at(name: str) -> Column:
+        is_end = lambda c: F.col(c).eqNullSafe(F.col(f"{name}_{c}"))
+        return is_end("moment") & is_end("size") & ((F.col("size") != 0) | F.when(F.col("type") == D.INTEGER, is_end("whole")).otherwise(is_end("number")))
+
+    ends = rows.filter(at("high") | at("low")).select(*by, F.struct(_order_key().alias("key"), "value").alias("_pair"))
+    return ends.groupBy(*by).agg(
         F.max("_pair").getField("value").alias("max_value"), F.min("_pair").getField("value").alias("min_value")
     )
 
