@@ -15,6 +15,8 @@ UNDETERMINED = "und"
 _SPACE = 32
 #: Texts whose counts stand in one dense matrix at a time, and most n-grams (columns) of one.
 _ROWS, _COLUMNS = 512, 8192
+#: Bytes of text whose trigrams are listed at a time: a trigram takes some forty times the byte's room.
+_SLICE = 1 << 20
 
 
 _TABLE: list[np.ndarray] = []
@@ -53,7 +55,7 @@ def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
     """Per slice of rows: first and last row, (row, trigram) of all trigrams around a letter, letters per row."""
     data, offsets = raw_texts(column)
     table = _letters()
-    for first, last in slices(offsets):
+    for first, last in slices(offsets, _SLICE):
         part = data[offsets[first] : offsets[last]]
         borders = offsets[first : last + 1] - offsets[first]
         codes = table[np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
