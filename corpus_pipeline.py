@@ -16,6 +16,15 @@ from colprism.llm.common import fold, table, written
 LEAST_SCORE = 0.05
 
 
+def _set_aside(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` with other names for its own columns that an operator's columns would replace."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in names})
+
+
+def _given_back(found: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
+    return found.select(*[F.col(f"__own_{c}").alias(c) if c in names else F.col(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or like no learned language, go; all others stay as they are.
 
@@ -24,9 +33,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     prototypes = language.train_prototypes(docs.where(fold() != 1))
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language.identify(docs.withColumn("__text", F.col("text")), prototypes, text_column="__text")
+    names = ["lang_pred", "score"]
+    found = language.identify(_set_aside(docs, names), prototypes)
     kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    return _given_back(kept, docs, names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +54,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Wu-Manber search: documents with a twentieth of their words inside benchmark passages go."""
-    found = decontaminate.find_occurrences(docs.withColumn("__text", F.col("text")), table(spark, sf_dir, "benchmark"), text_column="__text")
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    names = ["n_words", "n_hit", "hit_words", "items", "hit_more", "items_more"]
+    found = decontaminate.find_occurrences(_set_aside(docs, names), table(spark, sf_dir, "benchmark"))
+    return _given_back(found.where(~decontaminate.contaminated()), docs, names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
