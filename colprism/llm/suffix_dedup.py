@@ -159,37 +159,50 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int
     return np.concatenate([[len(text) - 1], *(part for i in range(letters) for part in (falling[i], rising[i][::-1]))]).astype(np.int32)
 
 
-def _rank_tuples(names: np.ndarray, rounds: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, by ranks of tuples that double; only ties are sorted again."""
-    _, rank = np.unique(names, return_inverse=True)
-    rank = rank.astype(np.int64)
-    first = np.searchsorted(np.sort(rank), rank)
-    rank = first
+def _rank_tuples(names: np.ndarray, rounds: int, alike: np.ndarray | None) -> np.ndarray:
+    """Order of the suffixes of a string of names, by ranks of tuples that double; only ties are sorted again.
+
+    Suffixes that tie and are ``alike`` (as far as the order matters) stay tied.
+    """
+    order = np.argsort(names, kind="stable")
+    new = np.append(True, names[order][1:] != names[order][:-1])
+    rank = np.zeros(len(names), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     n, step = len(rank), 1
+
+    def open_ties(live: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """Of suffixes in order, with the first of each tie marked, those of ties that must be sorted on."""
+        heads = np.flatnonzero(new)
+        size = np.diff(np.append(heads, len(live)))
+        going = size > 1
+        if alike is not None:
+            going &= np.minimum.reduceat(alike[live], heads) != np.maximum.reduceat(alike[live], heads)
+        return live[np.repeat(going, size)]
+
+    live = open_ties(order, new)
     for _ in range(rounds):
-        count = np.bincount(rank, minlength=n)
-        tied = np.flatnonzero(count[rank] > 1)
-        if not len(tied):
+        if not len(live):
             break
-        then = np.where(tied + step < n, rank[np.minimum(tied + step, n - 1)] + 1, 0)
-        order = np.lexsort((then, rank[tied]))
-        group, key = rank[tied][order], then[order]
+        then = np.where(live + step < n, rank[np.minimum(live + step, n - 1)] + 1, 0)
+        order = np.lexsort((then, rank[live]))
+        live, key = live[order], then[order]
+        group = rank[live]
         opens = np.append(True, group[1:] != group[:-1])
         new = opens | np.append(True, key[1:] != key[:-1])
-        at = np.arange(len(order))
-        base = np.maximum.accumulate(np.where(opens, at, 0))
-        place = np.maximum.accumulate(np.where(new, at, 0))
-        rank[tied[order]] = group + place - base
+        at = np.arange(len(live))
+        rank[live] = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(opens, at, 0))
+        live = open_ties(live, new)
         step *= 2
     return np.argsort(rank, kind="stable")
 
 
-def suffix_order(text: np.ndarray, letters: int, depth: int, limit: int = QUEUE_BYTES) -> np.ndarray:
+def suffix_order(text: np.ndarray, letters: int, depth: int, limit: int = QUEUE_BYTES, alike: np.ndarray | None = None) -> np.ndarray:
     """The suffixes of ``text`` in the order of their first ``depth`` letters, at least. The last letter must be 0, and no other.
 
     Induced sorting: seeds are the suffixes that rise where the one before falls. A first induction sorts the pieces
     between seeds and names them; the string of names, a third as long or less, is sorted in turn by tuples of ranks (its
-    alphabet is too large for queues by letter); a second induction takes the seeds' order to all suffixes.
+    alphabet is too large for queues by letter); a second induction takes the seeds' order to all suffixes. Suffixes of
+    equal ``alike`` values share their first ``depth`` letters: their order among each other is left open.
     """
     n = len(text)
     step = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
@@ -216,27 +229,10 @@ def suffix_order(text: np.ndarray, letters: int, depth: int, limit: int = QUEUE_
             live = live[~unlike & (length[live] > i)]
         names = np.zeros(len(inner), np.int64)
         names[number[order]] = np.cumsum(differ)
-        inner = inner[_rank_tuples(names, max(1, int(np.ceil(np.log2(depth / 2 + 2))) + 1))]
+        inner = inner[_rank_tuples(names, max(1, int(np.ceil(np.log2(depth / 2 + 2))) + 1), None if alike is None else alike[inner])]
     return _induce(text, small, np.append(inner, n - 1).astype(np.int32), letters, limit)
 
 
-def repeated_runs(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """For suffixes in order, all at least ``length`` long: True where one shares its first ``length`` bytes with the one before."""
-    same = np.zeros(len(order), bool)
-    if len(order) < 2:
-        return same
-    whole = np.append(data, np.zeros(8, np.uint8))
-    words = np.lib.stride_tricks.as_strided(whole, (len(data), 8), (1, 1))
-    live = np.arange(1, len(order))
-    for at in [length - 8, *range(0, length - 8, 8)]:
-        a, b = order[live] + at, order[live - 1] + at
-        live = live[(words[a] == words[b]).all(axis=1)]
-        if not len(live):
-            break
-    same[live] = True
-    return same
-
-
 def shard_spans(owner: np.ndarray, start: np.ndarray, texts: list[bytes], length: int, limit: int = QUEUE_BYTES) -> Iterator[tuple[int, int, int]]:
     """(entry, first byte, byte after the last) that repeated strings cover in each entry of a shard.
 
@@ -247,9 +243,8 @@ def shard_spans(owner: np.ndarray, start: np.ndarray, texts: list[bytes], length
     which = np.array([place.setdefault(t, len(place)) for t in texts], np.int64)
     distinct = list(place)
     sizes = np.array([len(t) for t in distinct], np.int64)
-    where = np.stack([owner, start], axis=1)
-    _, spot = np.unique(where, axis=0, return_inverse=True)
-    spot = spot.ravel()
+    _, numbers = np.unique(owner, return_inverse=True)
+    spot = (numbers.ravel().astype(np.int64) << 40) + start
     low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), -1)
     np.minimum.at(low, which, spot)
     np.maximum.at(high, which, spot)
@@ -258,17 +253,25 @@ def shard_spans(owner: np.ndarray, start: np.ndarray, texts: list[bytes], length
     begins = np.cumsum(sizes + 1) - (sizes + 1)
     letters = data.astype(np.uint16) + 2
     letters[begins + sizes] = 1
-    order = suffix_order(np.append(letters, 0).astype(np.uint16), 258, length, limit)
+    # Strings of the wanted length inside an entry go by their hash; no other place is like another.
+    inside = np.zeros(len(data) + 1, np.int8)
+    whole = sizes >= length
+    inside[begins[whole]] += 1
+    inside[(begins + sizes - length + 1)[whole]] -= 1
+    inside = np.cumsum(inside, dtype=np.int8).astype(bool)
+    places = np.flatnonzero(inside)
+    alike = mix64(np.arange(1, len(data) + 2, dtype=np.uint64)) >> np.uint64(1)
+    alike[places] = window_hashes(data, length)[places] | np.uint64(1 << 63)
+    order = suffix_order(np.append(letters, 0).astype(np.uint16), 258, length, limit, alike)
+    order = order[inside[order]].astype(np.int64)
     entry = np.searchsorted(begins, order, "right") - 1
-    offset = order - begins[np.minimum(entry, len(begins) - 1)]
-    valid = offset + length <= sizes[entry]
-    order, entry, offset = order[valid].astype(np.int64), entry[valid], offset[valid]
-    same = repeated_runs(data, order, length)
+    offset = order - begins[entry]
+    same = np.zeros(len(order), bool)
+    same[1:] = alike[order[1:]] == alike[order[:-1]]
     # A run of equal strings is repeated if it lies at two places: (document, byte) of one of each entry.
     one = np.zeros(len(distinct), np.int64)
     one[which] = np.arange(len(which))
-    documents, numbers = np.unique(owner, return_inverse=True)
-    at = (numbers.ravel()[one[entry]].astype(np.int64) << 40) + start[one[entry]] + offset
+    at = spot[one[entry]] + offset
     run = np.cumsum(~same) - 1
     heads = np.flatnonzero(~same)
     if not len(heads):
@@ -292,8 +295,8 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
        for all from here on, so groups of copies cost one text.
     2. Anchors whose hash occurs twice go, with ``length - gram`` bytes before and ``length`` after, to the shard of
        their hash. The strings of an anchor overlap in it, so what they cover is one span.
-    3. Each shard is suffix-sorted by induction; runs of suffixes that share ``length`` bytes and lie at two places are
-       repeated. Spans return to the documents and are united.
+    3. Each shard is suffix-sorted by induction; runs of suffixes that share ``length`` bytes (by a 64-bit hash of them) and
+       lie at two places are repeated. Spans return to the documents and are united.
 
     Null and empty texts have no bytes. Repeated rows are copies of each other. Ids may be null or repeat.
     """
