@@ -52,13 +52,14 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     return mix64((total[width:] - total[:n]) * inverse[:n])
 
 
-def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's anchors: every string of ``length`` bytes holds one, at the same place in each copy.
+def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's anchors in order: hash, and the first and last start of the strings that they stand for.
 
-    Of the grams of each such string the one of smallest hash, the first of equals. Long texts are done in stretches.
+    The anchor of a string of ``length`` bytes is its gram of smallest hash, the first of equals; so equal strings have
+    equal anchors at equal places, and an anchor stands for a stretch of starts. Long texts are done in pieces.
     """
     width = length - gram + 1
-    places, hashes = [], []
+    where, hashes = [], []
     for begin in range(0, max(0, len(data) - length + 1), _STRETCH):
         part = data[begin : begin + _STRETCH + length - 1]
         found = window_hashes(part, gram)
@@ -71,13 +72,14 @@ def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray
         behind = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
         windows = len(part) - length + 1
         least = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows])
-        at = np.unique(least[np.append(True, least[1:] != least[:-1])] & np.uint64((1 << 22) - 1)).astype(np.int64)
-        places.append(at + begin)
+        at = (least & np.uint64((1 << 22) - 1)).astype(np.int64)
+        where.append(at + begin)
         hashes.append(found[at])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, first = np.unique(np.concatenate(places), return_index=True)
-    return at, np.concatenate(hashes)[first]
+    if not where:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, found = np.concatenate(where), np.concatenate(hashes)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    return found[first], first, np.append(first[1:], len(place)) - 1
 
 
 class Queues:
@@ -293,8 +295,8 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
 
     1. One pass lists digest and anchors of each text. Texts that occur twice are repeated as a whole; one of them stands
        for all from here on, so groups of copies cost one text.
-    2. Anchors whose hash occurs twice go, with ``length - gram`` bytes before and ``length`` after, to the shard of
-       their hash. The strings of an anchor overlap in it, so what they cover is one span.
+    2. Anchors whose hash occurs twice go, with the text of the strings that they stand for, to the shard of their hash.
+       The strings of an anchor overlap in it, so what they cover is one span.
     3. Each shard is suffix-sorted by induction; runs of suffixes that share ``length`` bytes (by a 64-bit hash of them) and
        lie at two places are repeated. Spans return to the documents and are united.
 
@@ -312,21 +314,21 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
                 rows[seen[digest]][1] += 1
                 continue
             seen[digest] = len(rows)
-            at, found = anchors(data[offsets[i] : offsets[i + 1]], length, gram)
-            rows.append([digest, 1, at, found.view(np.int64)])
+            found, first, last = anchors(data[offsets[i] : offsets[i + 1]], length, gram)
+            rows.append([digest, 1, found.view(np.int64), first, last])
         yield pa.RecordBatch.from_arrays([
             pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
-            pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.int64())),
-        ], names=["digest", "copies", "places", "hashes"])
+            *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (2, 3, 4)),
+        ], names=["digest", "copies", "hash", "first", "last"])
 
-    marked = map_arrow(docs.select("digest", "text"), mark, "digest binary, copies bigint, places array<bigint>, hashes array<bigint>")
-    marked = marked.groupBy("digest").agg(F.sum("copies").alias("copies"), F.any_value("places").alias("places"), F.any_value("hashes").alias("hashes"))
+    marked = map_arrow(docs.select("digest", "text"), mark, "digest binary, copies bigint, hash array<bigint>, first array<bigint>, last array<bigint>")
+    marked = marked.groupBy("digest").agg(F.sum("copies").alias("copies"), *[F.any_value(c).alias(c) for c in ("hash", "first", "last")])
     marked = written(marked, "anchors")
-    each = marked.select("digest", F.explode(F.arrays_zip("places", "hashes")).alias("x")).select("digest", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
+    each = marked.select("digest", F.inline(F.arrays_zip("hash", "first", "last")))
     twice = written(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
     total = twice.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, -(-total * (2 * length - gram) // SHARD_BYTES))
-    wanted = each.join(twice.select("hash"), "hash").groupBy("digest").agg(F.collect_list(F.struct("place", "hash")).alias("marks"))
+    shards = max(1, -(-total * (length + length // 2) // SHARD_BYTES))
+    wanted = each.join(twice.select("hash"), "hash").groupBy("digest").agg(F.collect_list(F.struct("hash", "first", "last")).alias("marks"))
     owners = docs.groupBy("digest").agg(F.min("id").alias("owner"))
     wanted = written(wanted.join(owners, "digest"), "repeated-anchors")
 
@@ -335,13 +337,12 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
         for i, marks in enumerate(batch.column(2)):
             text = data[offsets[i] : offsets[i + 1]]
             marks = marks.values
-            place, found = marks.field("place").to_numpy(), marks.field("hash").to_numpy()
-            for some in range(0, len(place), 4096):
-                at = place[some : some + 4096]
-                start, stop = np.maximum(0, at - (length - gram)), np.minimum(len(text), at + length)
+            found, first, last = (marks.field(c).to_numpy() for c in ("hash", "first", "last"))
+            for some in range(0, len(found), 4096):
+                start, stop = first[some : some + 4096], last[some : some + 4096] + length
                 yield pa.RecordBatch.from_arrays([
                     pa.array((mix64(found[some : some + 4096].view(np.uint64)) % np.uint64(shards)).astype(np.int32)),
-                    pa.array([batch.column(0)[i].as_py()] * len(at), pa.binary()), pa.array(start),
+                    pa.array([batch.column(0)[i].as_py()] * len(start), pa.binary()), pa.array(start),
                     pa.array([text[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()),
                 ], names=["shard", "digest", "start", "body"])
 
