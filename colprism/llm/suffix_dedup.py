@@ -21,6 +21,8 @@ GRAM = 32
 #: Bytes of text that a shard holds, about; and bytes of queues that a task keeps in memory before they go to its disk.
 SHARD_BYTES = 6_000_000
 QUEUE_BYTES = 256_000_000
+#: An anchor of more occurrences than this is no shard's: its strings are counted one by one, over all tasks.
+HOT = 50_000
 _STRETCH = 2 << 20
 _BASE = 0xD1342543DE82EF95
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -287,7 +289,26 @@ def shard_spans(owner: np.ndarray, start: np.ndarray, texts: list[bytes], length
         yield i, int(start[i] + first[which[i]]), int(start[i] + last[which[i]])
 
 
-def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _counted_spans(texts: DataFrame, length: int) -> DataFrame:
+    """(digest, a, b): the spans of very common anchors, from counts of the strings that they stand for."""
+
+    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = raw_texts(batch.column(1))
+        for i, marks in enumerate(batch.column(2)):
+            text = data[offsets[i] : offsets[i + 1]]
+            for first, last in zip(marks.values.field("first").to_pylist(), marks.values.field("last").to_pylist()):
+                found = window_hashes(text[first : last + length], length)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([batch.column(0)[i].as_py()] * len(found), pa.binary()), pa.array(np.full(len(found), first)),
+                    pa.array(first + np.arange(len(found))), pa.array(found.view(np.int64)),
+                ], names=["digest", "anchor", "start", "hash"])
+
+    each = written(map_arrow(texts, strings, "digest binary, anchor bigint, start bigint, hash bigint"), "common-strings")
+    repeated = written(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "common-repeats")
+    return each.join(repeated, "hash").groupBy("digest", "anchor").agg(F.min("start").alias("a"), (F.max("start") + length).alias("b")).drop("anchor")
+
+
+def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Texts, as UTF-8 bytes, without each byte that a string of ``length`` bytes covers that also starts elsewhere.
 
     Rows: id, ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs). Strings never cross
@@ -300,6 +321,10 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     3. Each shard is suffix-sorted by induction; runs of suffixes that share ``length`` bytes (by a 64-bit hash of them) and
        lie at two places are repeated. Spans return to the documents and are united.
 
+    An anchor that occurs over ``hot`` times, as in a passage that a third of the documents share, would make one shard
+    of any length. The strings of its occurrences are counted by their hashes instead, first within tasks, so that
+    common strings collapse before they are shuffled; its first and last repeated string bound its span as in a shard.
+
     Null and empty texts have no bytes. Repeated rows are copies of each other. Ids may be null or repeat.
     """
     docs = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -326,11 +351,16 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     marked = written(marked, "anchors")
     each = marked.select("digest", F.inline(F.arrays_zip("hash", "first", "last")))
     twice = written(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
-    total = twice.agg(F.sum("n")).first()[0] or 0
+    many = twice.where(F.col("n") > hot).select("hash")
+    total = twice.where(F.col("n") <= hot).agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total * (length + length // 2) // SHARD_BYTES))
-    wanted = each.join(twice.select("hash"), "hash").groupBy("digest").agg(F.collect_list(F.struct("hash", "first", "last")).alias("marks"))
     owners = docs.groupBy("digest").agg(F.min("id").alias("owner"))
-    wanted = written(wanted.join(owners, "digest"), "repeated-anchors")
+
+    def texts_of(hashes: DataFrame) -> DataFrame:
+        """One text of each digest that holds one of the hashes, with the anchors that have them."""
+        wanted = each.join(hashes, "hash").groupBy("digest").agg(F.collect_list(F.struct("hash", "first", "last")).alias("marks"))
+        wanted = written(wanted.join(owners, "digest"), "repeated-anchors")
+        return docs.join(wanted, "digest").where(F.col("id").eqNullSafe(F.col("owner"))).select("digest", "text", "marks")
 
     def around(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = raw_texts(batch.column(1))
@@ -346,8 +376,7 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
                     pa.array([text[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()),
                 ], names=["shard", "digest", "start", "body"])
 
-    texts = docs.join(wanted, "digest").where(F.col("id").eqNullSafe(F.col("owner"))).select("digest", "text", "marks")
-    pieces = map_arrow(texts, around, "shard int, digest binary, start bigint, body binary")
+    pieces = map_arrow(texts_of(twice.where(F.col("n") <= hot).select("hash")), around, "shard int, digest binary, start bigint, body binary")
 
     def sort(table: pa.Table) -> pa.Table:
         digest = table.column("digest").to_pylist()
@@ -357,6 +386,8 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
         return pa.table({"digest": pa.array([digest[i] for i, _, _ in found], pa.binary()), "a": pa.array([a for _, a, _ in found], pa.int64()), "b": pa.array([b for _, _, b in found], pa.int64())})
 
     spans = written(pieces.groupBy("shard").applyInArrow(sort, "digest binary, a bigint, b bigint"), "spans")
+    if not many.isEmpty():
+        spans = spans.unionByName(_counted_spans(texts_of(many), length))
     listed = spans.groupBy("digest").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     copied = marked.where("copies > 1").select("digest", F.lit(True).alias("copied"))
     judged = written(listed.join(copied, "digest", "full"), "judged")

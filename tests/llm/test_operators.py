@@ -289,7 +289,7 @@ def test_jaccard_join_long_lists(spark):
 
 
 def test_suffix_dedup(docs, rows, none, spark):
-    for length, gram in ((400, 32), (40, 8)):
+    for length, gram, hot in ((400, 32, 50_000), (40, 8, 50_000), (40, 8, 5)):
         texts = [(r[1] or "").encode() for r in rows]
         count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
         want = []
@@ -302,7 +302,7 @@ def test_suffix_dedup(docs, rows, none, spark):
             cover = np.cumsum(cover)[:-1] > 0
             kept = np.frombuffer(t, np.uint8)[~cover].tobytes()
             want.append(str((r[0], len(t), int(cover.sum()), int((np.diff(np.append(0, cover.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest())))
-        got = suffix_dedup.remove_repeats(docs, length=length, gram=gram).collect()
+        got = suffix_dedup.remove_repeats(docs, length=length, gram=gram, hot=hot).collect()
         assert sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest())) for r in got) == sorted(want)
     assert suffix_dedup.remove_repeats(none).count() == 0
 
