@@ -27,6 +27,8 @@ _COUNTERS, _PART = 1 << 22, 1 << 16
 #: Entries of the index that one group holds, about.
 _GROUP = 400_000
 _BLOCK = 64
+#: Bits of a set's sign: bit i tells whether an odd number of its shingles falls on i.
+_SIGN = 1024
 _PAIRS = 2_000_000
 _ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
@@ -57,6 +59,13 @@ def digests(tokens: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def signs(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Signs of sets, as 64-bit words. Two signs differ in no more bits than their sets do in shingles."""
+    bit = (mix64(tokens + np.uint64(7)) % np.uint64(_SIGN)).astype(np.int64)
+    odd = (np.bincount(row * _SIGN + bit, minlength=rows * _SIGN) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(rows, _SIGN), axis=1).view(np.int64)
+
+
 def _least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The overlap that sets of sizes a and b need: 100 * overlap >= percent * (a + b - overlap)."""
     return -((-percent * (a.astype(np.int64) + b)) // (100 + percent))
@@ -207,7 +216,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     2. A second pass indexes prefixes: of a set's shingles, in the order of their frequency class, then of their hash,
        so many that sets which link share one of them.
     3. Short lists give all their pairs, long ones pairs with their leader; the pairs that sizes and positions allow are
-       verified with the whole texts, and links join components. Long lists that still hold several components are walked
+       verified with the whole texts, unless 1,024 bits of each set already tell them apart, and links join components. Long lists that still hold several components are walked
        block by block for pairs across components, which are verified in turn. A pair within a component needs no test;
        no other is lost.
 
@@ -220,20 +229,22 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(_COUNTERS, np.uint32)
-        names = ["id", "n", "set", "part", "counts"]
+        names = ["id", "n", "set", "sign", "part", "counts"]
         for batch in batches:
-            for low, high, tokens, _, borders in sets_of(batch.column(1), shingle_words):
+            for low, high, tokens, row, borders in sets_of(batch.column(1), shingle_words):
                 counters += np.bincount((tokens & np.uint64(_COUNTERS - 1)).astype(np.int64), minlength=_COUNTERS).astype(np.uint32)
                 size = high - low
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[low:high], pa.array(np.diff(borders)), pa.array(digests(tokens, borders)), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()),
+                    batch.column(0)[low:high], pa.array(np.diff(borders)), pa.array(digests(tokens, borders)),
+                    pa.FixedSizeListArray.from_arrays(pa.array(signs(tokens, row, size).ravel()), _SIGN // 64).cast(pa.list_(pa.int64())),
+                    pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()),
                 ], names=names)
         parts = [p for p in range(_COUNTERS // _PART) if counters[p * _PART : (p + 1) * _PART].any()]
         blobs = [zlib.compress(counters[p * _PART : (p + 1) * _PART].tobytes(), 1) for p in parts]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
 
-    seen = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe, "id bigint, n bigint, set bigint, part int, counts binary")
+    seen = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe, "id bigint, n bigint, set bigint, sign array<bigint>, part int, counts binary")
     seen = written(seen, "sets")
     known = seen.where(F.col("part").isNull()).select("id", "n", "set")
 
@@ -298,7 +309,16 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
 
         return map_arrow(found, check, "set bigint, text string").dropDuplicates(["set"])
 
+    sign_of = seen.where(F.col("n") > 0).groupBy("set").agg(F.any_value("sign").alias("sign"))
+    sign_of = written(sign_of, "signs")
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        # Signs that differ in more bits than linked sets can differ in shingles rule a pair out before texts are fetched.
+        signed = pairs.join(sign_of.select(F.col("set").alias("a"), F.col("sign").alias("a_sign")), "a")
+        signed = signed.join(sign_of.select(F.col("set").alias("b"), F.col("sign").alias("b_sign")), "b")
+        apart = F.aggregate(F.zip_with("a_sign", "b_sign", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        both = F.col("a_size") + F.col("b_size")
+        pairs = signed.where(apart <= both - 2 * F.ceil(percent * both / (100 + percent))).select("a", "b", "a_size", "b_size")
         pairs = written(pairs, name)
         nodes = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
         texts = written(text_of(nodes), "texts")
