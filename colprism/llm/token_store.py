@@ -28,7 +28,7 @@ BLOCK_IDS = 65536
 CHUNK_IDS = 1 << 20
 END_ID = 2
 #: Distinct words that a process remembers as its latest; as many before them stay until they are older.
-_WORDS = 300_000
+_WORDS = 200_000
 #: Bytes of text that one part of the store stands for.
 PART_BYTES = 32_000_000
 
