@@ -290,22 +290,42 @@ def shard_spans(owner: np.ndarray, start: np.ndarray, texts: list[bytes], length
 
 
 def _counted_spans(texts: DataFrame, length: int) -> DataFrame:
-    """(digest, a, b): the spans of very common anchors, from counts of the strings that they stand for."""
+    """(digest, a, b): the spans of very common anchors, without any shard.
 
-    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    Equal pieces around an anchor are counted first, within tasks; those at two places are repeated as a whole. The
+    strings of the distinct pieces that are left are counted by their hashes.
+    """
+
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, offsets = raw_texts(batch.column(1))
         for i, marks in enumerate(batch.column(2)):
             text = data[offsets[i] : offsets[i + 1]]
-            for first, last in zip(marks.values.field("first").to_pylist(), marks.values.field("last").to_pylist()):
-                found = window_hashes(text[first : last + length], length)
+            first, last = (marks.values.field(c).to_numpy() for c in ("first", "last"))
+            for some in range(0, len(first), 4096):
+                start, stop = first[some : some + 4096], last[some : some + 4096] + length
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column(0)[i].as_py()] * len(found), pa.binary()), pa.array(np.full(len(found), first)),
-                    pa.array(first + np.arange(len(found))), pa.array(found.view(np.int64)),
-                ], names=["digest", "anchor", "start", "hash"])
+                    pa.array([batch.column(0)[i].as_py()] * len(start), pa.binary()), pa.array(start), pa.array(stop),
+                    pa.array([text[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()),
+                ], names=["digest", "a", "b", "body"])
 
-    each = written(map_arrow(texts, strings, "digest binary, anchor bigint, start bigint, hash bigint"), "common-strings")
-    repeated = written(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "common-repeats")
-    return each.join(repeated, "hash").groupBy("digest", "anchor").agg(F.min("start").alias("a"), (F.max("start") + length).alias("b")).drop("anchor")
+    def strings(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for digest, a, lone, body in zip(*(c.to_pylist() for c in batch.columns)):
+            found = window_hashes(np.frombuffer(body, np.uint8), length)
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([digest] * n, pa.binary()), pa.array(np.full(n, a)), pa.array(a + np.arange(n)), pa.array(np.full(n, lone)), pa.array(found.view(np.int64)),
+            ], names=["digest", "piece", "start", "lone", "hash"])
+
+    each = written(map_arrow(texts, pieces, "digest binary, a bigint, b bigint, body binary"), "common-pieces")
+    counted = each.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("digest").alias("digest"))
+    counted = written(counted, "distinct-pieces")
+    whole = each.join(counted.where("n > 1").select("body"), "body").select("digest", "a", "b")
+    # A piece that occurs once carries its own place; of others any will do, as only their strings matter.
+    found = map_arrow(counted.select("digest", "a", (F.col("n") == 1).alias("lone"), "body"), strings, "digest binary, piece bigint, start bigint, lone boolean, hash bigint")
+    found = written(found, "common-strings")
+    repeated = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "common-repeats")
+    rest = found.where("lone").join(repeated, "hash").groupBy("digest", "piece").agg(F.min("start").alias("a"), (F.max("start") + length).alias("b"))
+    return whole.unionByName(rest.drop("piece"))
 
 
 def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -322,8 +342,8 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
        lie at two places are repeated. Spans return to the documents and are united.
 
     An anchor that occurs over ``hot`` times, as in a passage that a third of the documents share, would make one shard
-    of any length. The strings of its occurrences are counted by their hashes instead, first within tasks, so that
-    common strings collapse before they are shuffled; its first and last repeated string bound its span as in a shard.
+    of any length. Its pieces, then the strings of distinct pieces, are counted instead, first within tasks, so that
+    what is common collapses before it is shuffled; the first and last repeated string bound a span as in a shard.
 
     Null and empty texts have no bytes. Repeated rows are copies of each other. Ids may be null or repeat.
     """
