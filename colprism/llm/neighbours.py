@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import mix64
+from .common import mix64, written
 
 TABLES = 8
 #: Width of a hash cell, in standard deviations of the projections of vectors of length 1.
@@ -18,6 +18,8 @@ WIDTH = 2.0
 RECALL = 0.95
 #: Queries whose true neighbours set the number of probes.
 SAMPLE_QUERIES = 200
+#: Probes of a table at most; where they are too few for the recall, cells get larger.
+PROBES = 1 << 14
 #: Most candidate rows and most queries that meet in one task.
 SLICE_ROWS, QUERY_ROWS = 131072, 16384
 #: Blocks of rows at least, whatever their number, so that small inputs run in parallel.
@@ -32,6 +34,8 @@ def probe_order(hashes: int, probes: int) -> np.ndarray:
     ranks, for cell borders at random, orders the sets; a set never holds both steps of one hash (ranks r and 2m + 1 - r).
     """
     m = hashes
+    if not m:
+        return np.zeros((1, 0), np.int64)
     cost = [j * (j + 1) / (4 * (m + 1) * (m + 2)) if j <= m else 1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(1, 2 * m + 1)]
     out, heap = [()], [(cost[0], (0,))]
     while heap and len(out) < probes:
@@ -155,31 +159,43 @@ def fit(rows: DataFrame, queries: DataFrame, n: int, longest: float, dimension:
     """The index for ``n`` rows and the number of probes a table that finds ``recall`` of the neighbours.
 
     Buckets get smaller as rows get more. The number of probes is measured: of at most ``sample`` queries (those of the
-    smallest hash) the true neighbours are looked up, and for each the first probe that would meet it in any table.
+    smallest hash) the true neighbours are looked up, and for each the first probe that would meet it in any table. Where
+    ``PROBES`` probes meet too few of them, a table takes one hash less, until they are met; a table of no hash is one
+    bucket of all rows.
     """
     hashes = max(2, round(math.log2(max(n, 2)) - 7.5))
-    index = Index(dimension, longest, hashes, tables, width)
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    order = probe_order(hashes, min(3**hashes, 1 << 14))
     if not some:
-        return index, 1
+        return Index(dimension, longest, hashes, tables, width), 1
     true = exact_neighbours([(r[0], r[1]) for r in some], rows, k)
     true = true.join(rows.select("vec_id", "embedding"), "vec_id").select("query_id", "embedding").collect()
-    place = {r[0]: i for i, r in enumerate(some)}
     if not true:
-        return index, 1
-    first = np.full(len(true), len(order))
-    keys = index.keys(np.array([r[1] for r in true], np.float64))
+        return Index(dimension, longest, hashes, tables, width), 1
+    place = {r[0]: i for i, r in enumerate(some)}
     owner = np.array([place[r[0]] for r in true])
+    vectors, wanted = np.array([r[1] for r in true], np.float64), np.array([r[1] for r in some], np.float64)
+    for fewer in range(hashes, -1, -1):
+        index, order = Index(dimension, longest, fewer, tables, width), probe_order(fewer, min(3**fewer, PROBES))
+        first = np.sort(_first_probes(index, order, vectors, owner, wanted))
+        need = int(first[min(len(first) - 1, math.ceil(recall * len(first)) - 1)])
+        if need < len(order):
+            return index, need + 1
+    raise AssertionError("a bucket of all rows holds all neighbours")
+
+
+def _first_probes(index: Index, order: np.ndarray, vectors: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """For each vector the first probe at which its query (``owner``, a place in ``wanted``) meets it in any table; ``len(order)`` if none does."""
+    first = np.full(len(vectors), len(order))
+    keys = index.keys(vectors)
     for q in np.unique(owner):
-        probes = index.probes(np.array([some[q][1]], np.float64), order)[0]
+        probes = index.probes(wanted[q : q + 1], order)[0]
         mine = np.flatnonzero(owner == q)
-        for t in range(tables):
+        for t in range(index.tables):
             sort = np.argsort(probes[t], kind="stable")
             at = np.minimum(np.searchsorted(probes[t][sort], keys[mine, t]), len(order) - 1)
             hit = probes[t][sort][at] == keys[mine, t]
             first[mine] = np.minimum(first[mine], np.where(hit, sort[at], len(order)))
-    return index, int(min(len(order), np.sort(first)[min(len(first) - 1, math.ceil(recall * len(first)) - 1)] + 1))
+    return first
 
 
 def nearest(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding", is_query=None, k: int = 20,
@@ -187,7 +203,8 @@ def nearest(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str
     """The ``k`` nearest rows of each query by inner product: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Queries are the rows of ``vectors`` that ``is_query`` (a condition on the id) names, by default every id divisible
-    by 20. A query's candidates are the rows in the buckets that it probes in any table; their scores are exact.
+    by 20. A query's candidates are the rows in the buckets that it probes in any table; their scores are exact. A query
+    that meets fewer than k candidates is scored against every row.
 
     Rows and queries are cut into blocks of bounded size, whatever keys they hash to, and each block of rows builds its
     own buckets; so no bucket, however full, is one task's alone, and none is capped. Of rows with equal vectors only
@@ -216,7 +233,20 @@ def nearest(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str
 
 def _search(rows: DataFrame, asked: DataFrame, n: int, n_queries: int, longest: float, dimension: int, *, k: int, recall: float, tables: int, width: float) -> DataFrame:
     index, probes = fit(rows, asked, n, longest, dimension, k=k, recall=recall, tables=tables, width=width)
-    order = probe_order(index.hashes, probes)
+    if not index.hashes:
+        return _top(_meet(rows, asked, n, n_queries, None, probes, k), k)
+    found = written(_top(_meet(rows, asked, n, n_queries, index, probes, k), k), "nearest")
+    whole = found.where(F.col("rank") == k).select("query_id")
+    few = written(asked.join(whole, F.col("vec_id") == F.col("query_id"), "left_anti"), "few")
+    n_few = few.count()
+    if not n_few:
+        return found
+    return found.join(whole, "query_id", "left_semi").unionByName(_top(_meet(rows, few, n, n_few, None, probes, k), k))
+
+
+def _meet(rows: DataFrame, asked: DataFrame, n: int, n_queries: int, index: Index | None, probes: int, k: int) -> DataFrame:
+    """The k best candidates of each query in each block of rows; without an index all rows are candidates."""
+    order = probe_order(index.hashes, probes) if index else None
     slices = max(SLICES, -(-n // SLICE_ROWS))
     blocks = max(1, -(-n_queries // QUERY_ROWS))
 
@@ -231,19 +261,24 @@ def _search(rows: DataFrame, asked: DataFrame, n: int, n_queries: int, longest:
         wanted, query_ids = _matrix(right.column("embedding")), right.column("vec_id").to_numpy()
         parts = []
         if len(ids) and len(query_ids):
-            keys = index.keys(vectors)
-            sort = np.argsort(keys, axis=0, kind="stable")
-            keys = np.take_along_axis(keys, sort, axis=0)
-            step = max(1, min(_PAIRS // len(ids), _PAIRS // (len(order) * tables)))
+            step = _PAIRS // len(ids)
+            if index:
+                keys = index.keys(vectors)
+                sort = np.argsort(keys, axis=0, kind="stable")
+                keys = np.take_along_axis(keys, sort, axis=0)
+                step = min(step, _PAIRS // (len(order) * index.tables))
+            step = max(1, step)
             for first in range(0, len(query_ids), step):
                 some = wanted[first : first + step]
-                visit = index.probes(some, order)
-                found = np.zeros((len(some), len(ids)), bool)
-                for t in range(tables):
-                    low, high = (np.searchsorted(keys[:, t], visit[:, t].ravel(), side) for side in ("left", "right"))
-                    size = high - low
-                    at = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    found[np.repeat(np.arange(len(size)) // len(order), size), sort[at, t]] = True
+                found = None
+                if index:
+                    visit = index.probes(some, order)
+                    found = np.zeros((len(some), len(ids)), bool)
+                    for t in range(index.tables):
+                        low, high = (np.searchsorted(keys[:, t], visit[:, t].ravel(), side) for side in ("left", "right"))
+                        size = high - low
+                        at = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                        found[np.repeat(np.arange(len(size)) // len(order), size), sort[at, t]] = True
                 parts.append(_batch(_best(some, query_ids[first : first + step], vectors, ids, k, found)))
         return pa.Table.from_batches(parts, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 

@@ -439,6 +439,39 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.limit(0)).count() == 0
 
 
+def test_recall_where_the_probes_are_few(spark):
+    """As many hashes as a hundred million rows would get; the list of probes is far shorter than their cells."""
+    random_ = np.random.default_rng(5)
+    vectors = random_.normal(size=(1500, 24))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    index, probes = neighbours.fit(rows, rows.where("vec_id % 20 = 0"), 100_000_000, float(np.linalg.norm(vectors, axis=1).max()), 24, k=20)
+    keys, order = index.keys(vectors), neighbours.probe_order(index.hashes, probes)
+    hits = total = 0
+    for q in range(0, 1500, 20):
+        visit = index.probes(vectors[q : q + 1], order)[0]
+        met = np.any([np.isin(keys[:, t], visit[t]) for t in range(index.tables)], axis=0)
+        true = [i for i in np.argsort(-(vectors @ vectors[q]), kind="stable") if i != q][:20]
+        hits += met[true].sum()
+        total += 20
+    assert hits / total >= 0.95
+
+
+def test_queries_without_enough_candidates(spark):
+    random_ = np.random.default_rng(6)
+    main = np.array([1.0] + [0.0] * 11)
+    vectors = [(i, (main + random_.normal(scale=1e-3, size=12)).tolist()) for i in range(2000)]
+    vectors += [(2000 + 20 * i, (-main + random_.normal(scale=0.1, size=12)).tolist()) for i in range(4)]  # far from all others
+    frame = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in neighbours.nearest(frame, k=20).collect():
+        got[r["query_id"]][r["rank"]] = r["vec_id"]
+    assert all(sorted(got[q]) == list(range(1, 21)) for q, _ in vectors if q % 20 == 0)
+    ids, flat = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors])
+    for q in range(2000, 2080, 20):
+        score = np.where(ids == q, -np.inf, (flat * flat[ids == q]).sum(axis=1))
+        assert [got[q][r] for r in range(1, 21)] == ids[np.lexsort((ids, -score))[:20]].tolist()
+
+
 def test_probe_order():
     order = neighbours.probe_order(4, 50)
     assert order[0].sum() == 0 and len({tuple(r) for r in order.tolist()}) == len(order)
