@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import SPACED, drop_at_exit, raw_texts, scratch, slices, words_of, written
+from .common import SPACED, drop_at_exit, mix64, raw_texts, scratch, slices, words_of, written
 
 BLOCK_IDS = 65536
 CHUNK_IDS = 1 << 20
@@ -62,7 +62,7 @@ def unpack(blocks: list[list[bytes]], n: int, block_ids: int) -> np.ndarray:
 
 
 _LOADED: dict = {}
-#: Words that no normalising step changes and that are one piece, with a full stop or comma, a piece of its own.
+#: Words, after A-Z are lower-cased, that no normalising step changes and that are one piece, with a full stop or comma, a piece of its own.
 _PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
 
 
@@ -98,7 +98,7 @@ def _learn(loaded: list, words: list[bytes]) -> None:
     tokenizer, bare, known, before = loaded
     cores, ends, rest = {}, [], []
     for word in words:
-        if plain := _PLAIN.fullmatch(text := word.decode()):
+        if plain := _PLAIN.fullmatch(word.lower().decode()):
             core, stop = plain.groups()
             name = word[:-1] if stop else word
             if name not in known:
@@ -119,13 +119,23 @@ def encode_words(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.nd
     """The ids of each text, for tokenizers that lower-case and treat ASCII white space as a border only.
 
     Words are told apart by 64-bit hashes; each word of a batch is looked up once, and encoded once while it is remembered.
+    Only words of ASCII are lower-cased before: NFC joins some marks with small letters alone (h, j, t, w and y have such),
+    so a word with a byte beyond ASCII stays as it is.
     Texts that may hold the name of a special token, which is no matter of words, are encoded as they are.
     """
     loaded = _tokenizer(path)
     hashes, first, last, counts = words_of(data, offsets, SPACED)
+    wide = np.logical_or.reduceat(data > 0x7F, first) if len(first) else np.zeros(0, bool)
+    capitals = np.flatnonzero((data >= 65) & (data <= 90))
+    owner = np.searchsorted(first, capitals, "right") - 1
+    capitals, owner = capitals[wide[owner]], owner[wide[owner]]
+    cased = np.zeros(len(hashes), np.uint64)
+    np.add.at(cased, owner, mix64((capitals - first[owner] + 1).astype(np.uint64)))
+    hashes = np.where(cased != 0, mix64(hashes ^ cased), hashes)
     _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    low = data.tobytes().lower()
-    words = [low[a:b] for a, b in zip(first[index].tolist(), last[index].tolist())]
+    raw = data.tobytes()
+    low = raw.lower()
+    words = [raw[a:b] if w else low[a:b] for a, b, w in zip(first[index].tolist(), last[index].tolist(), wide[index].tolist())]
     unknown = [w for w in words if w not in loaded[2]]
     if len(loaded[2]) + len(unknown) > _WORDS:
         loaded[2], loaded[3] = {}, loaded[2]
@@ -142,7 +152,7 @@ def encode_words(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.nd
     flat = ids[np.repeat(begin[inverse] - total[:-1], each) + np.arange(total[-1])]
     cuts = total[counts]
     out = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-    if b"<|" in low:
+    if b"<|" in raw:
         for i in range(len(out)):
             text = data[offsets[i] : offsets[i + 1]].tobytes()
             if b"<|" in text:

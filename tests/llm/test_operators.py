@@ -190,6 +190,22 @@ def test_words_as_whole_texts():
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_marks_that_join_small_letters_only():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    words = [x + mark + "adith" for x, mark in zip("HJTWY", "\u0331\u030c\u0308\u030a\u030a")]
+    texts = [t for w in words for t in (w, w.lower(), w.upper(), f"{w.lower()} {w}", f"{w}. {w.lower()},")]
+    texts += ["Größe größe GRÖSSE GRÖße", "ẞ ß Übung. übung, É e\u0301 E\u0301", "", "A\u030a a\u030a"]
+    for some in (texts, texts[::-1], *([t] for t in texts)):
+        raw = [t.encode() for t in some]
+        found = token_store.encode_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), path)
+        for text, ids in zip(some, found, strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_mixing(docs, rows, none):
     size = lambda t: len((t or "").encode().split())
     got = mixing.mix(docs).collect()
