@@ -295,19 +295,27 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
         return pairs.groupBy("a", "b").agg(F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"))
 
     linked = 100 * F.col("overlap") >= percent * (F.col("a_size") + F.col("b_size") - F.col("overlap"))
-    owners = known.where(F.col("n") > 0).groupBy("set").agg(F.min(F.struct("id", "n")).alias("one"))
+    owners = known.where(F.col("n") > 0).groupBy("set").agg(F.min("id").alias("id"))  # null where no row of the set has an id
 
     def text_of(nodes: DataFrame) -> DataFrame:
         """(set, text) of one document for each of the nodes."""
-        wanted = nodes.join(owners, "set").select("set", F.col("one.id").alias("wanted"))
-        found = docs.join(wanted, F.col("id").cast("long").eqNullSafe(F.col("wanted"))).select("set", "text")
+        wanted = nodes.join(owners, "set").select("set", F.col("id").alias("wanted"))
+        number = F.col("id").cast("long")
+        found = docs.join(wanted, number == F.col("wanted")).select("set", "text")
 
         def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for low, high, tokens, _, borders in sets_of(batch.column(1), shingle_words):
                 right = digests(tokens, borders) == batch.column(0)[low:high].to_numpy()  # rows of one id may have several texts
                 yield batch.slice(low, high - low).filter(pa.array(right))
 
-        return map_arrow(found, check, "set bigint, text string").dropDuplicates(["set"])
+        def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for low, high, tokens, _, borders in sets_of(batch.column(0), shingle_words):
+                yield pa.RecordBatch.from_arrays([pa.array(digests(tokens, borders)), batch.column(0)[low:high]], names=["set", "text"])
+
+        # Rows without id are many to one null: their sets are told by digest.
+        nameless = map_arrow(docs.where(number.isNull()).select("text"), name, "set bigint, text string")
+        nameless = nameless.join(wanted.where(F.col("wanted").isNull()).select("set"), "set", "left_semi")
+        return map_arrow(found, check, "set bigint, text string").unionByName(nameless).dropDuplicates(["set"])
 
     sign_of = seen.where(F.col("n") > 0).groupBy("set").agg(F.any_value("sign").alias("sign"))
     sign_of = written(sign_of, "signs")
@@ -344,7 +352,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     if not new.isEmpty():
         roots = written(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
 
-    rooted = owners.select("set", F.col("one.id").alias("id")).join(roots.withColumnRenamed("node", "set"), "set", "left")
+    rooted = owners.join(roots.withColumnRenamed("node", "set"), "set", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("id").alias("least"))
     named = written(rooted.join(least, "root").select(F.col("set").alias("of"), "least"), "components")

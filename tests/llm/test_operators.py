@@ -275,6 +275,16 @@ def test_jaccard_join(docs, rows, none):
     assert jaccard_join.similar_groups(none).count() == 0
 
 
+def test_jaccard_join_copies_without_id(spark):
+    texts = {name: " ".join(f"{name}{i}" for i in range(60)) for name in "abc"}
+    rows = [(None, texts["a"]), (1, texts["a"]), (2, texts["a"] + " end"), (7, texts["b"]), (None, texts["b"])]
+    rows += [(None, texts["c"]), (None, texts["c"] + " end"), (9, texts["c"] + " other end")]  # sets without any id
+    rows += [(None, f"only{i} a few words that no one else has {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.similar_groups(docs).collect())
+    assert got == {(1, 1): 1, (2, 1): 1, (7, 7): 1, (9, 9): 1, (None, 1): 1, (None, 7): 1, (None, 9): 2, (None, None): 30}
+
+
 def test_jaccard_join_long_lists(spark):
     """A large group of near copies, chained beyond the threshold, and a passage shared by unlike texts."""
     random_ = random.Random(2)
