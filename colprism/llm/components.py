@@ -12,7 +12,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round is a large star and a small star: nodes pass their smallest neighbour on, so paths halve. Minima are
     taken before rows are shuffled, and edges are never gathered: a hub of many links costs its links. Each round's
-    edges are a table in the shared folder.
+    edges are a table in the shared folder. Rounds that run out before two agree raise an error.
     """
     now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
@@ -29,5 +29,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if seen == state:
             break
         state = seen
+    else:
+        raise RuntimeError(f"components are not final after {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colprism.llm import decontaminate, jaccard_join, language, line_dedup, mixing, neighbours, pii, suffix_dedup, token_store, toxicity
+from colprism.llm import components, decontaminate, jaccard_join, language, line_dedup, mixing, neighbours, pii, suffix_dedup, token_store, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string, score string, size string, base string, items string"
 
@@ -314,6 +314,13 @@ def test_jaccard_join_long_lists(spark):
         assert got == dict(enumerate(root))
 
 
+def test_components_need_all_rounds(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    assert {(r["node"], r["root"]) for r in components.connected(chain).collect()} == {(i, 0) for i in range(41)}
+    with pytest.raises(RuntimeError):
+        components.connected(chain, rounds=2)
+
+
 def test_suffix_dedup(docs, rows, none, spark):
     for length, gram, hot in ((400, 32, 50_000), (40, 8, 50_000), (40, 8, 5)):
         texts = [(r[1] or "").encode() for r in rows]
