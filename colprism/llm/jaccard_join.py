@@ -205,7 +205,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """Every document's ``n_shingles``, ``component_id`` and ``links``-connected group, exactly.
+    """Every document's ``n_shingles`` and ``component_id``, the group that links connect, exactly; not the links themselves.
 
     Words lie between ASCII white space, without regard to A-Z or a-z. A set holds the distinct shingles of
     ``shingle_words`` words; a text of fewer words has one shingle of all. Two documents link if
