@@ -1,4 +1,4 @@
-"""Operators of a training-data pipeline: ten operators, their queries, and the stages of ``corpus_pipeline``.
+"""Operators of a training-data pipeline: thirteen operators, their queries, and the stages of ``corpus_pipeline``.
 
 Nothing outside this folder imports it.
 """
