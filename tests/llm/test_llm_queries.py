@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_ngram_jaccard_join": ["doc_id", "n_shingles", "component_id"],
     "op9_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op10_nearest_neighbours": ["query_id", "rank", "vec_id", "score"],
+    "op11_embedding_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op12_document_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op13_spelling_variants": ["word", "form", "root", "n", "n_near", "form_n"],
 }
 
 
@@ -36,8 +39,8 @@ def test_sql(spark, tiny, name):
 def test_columns(spark, tiny, name):
     frame = Q.QUERIES[name](spark, tiny)
     assert frame.columns == COLUMNS[name]
-    rows = table(spark, tiny, "embeddings" if name.startswith("op10") else "documents").count()
-    assert frame.count() == (rows if name[2] != "1" or name.startswith("op1_") else 20 * -(-rows // 20))
+    rows = table(spark, tiny, "embeddings" if name.startswith(("op10", "op11")) else "documents").count()
+    assert frame.count() == {"op10_nearest_neighbours": 20 * -(-rows // 20), "op11_embedding_whitening": 32 * rows}.get(name, rows)
 
 
 def test_registered():
