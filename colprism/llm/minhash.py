@@ -18,8 +18,8 @@ HASHES, BAND = 128, 4
 SHINGLE_WORDS = 5
 #: The sign of an empty set in every place.
 EMPTY = np.uint32(0xFFFFFFFF)
-#: Bytes of text in one part of the order of ids.
-PART_BYTES = 64 << 20
+#: Bytes of text in one part of the order of ids, up to so many parts; beyond that parts grow with the input.
+PART_BYTES, MOST_PARTS = 32 << 20, 20_000
 #: Shingles that the hash functions go over at a time, so that they stay in the processor's cache.
 _STRETCH = 1 << 15
 _LEAST = -(1 << 63)
@@ -92,7 +92,7 @@ def with_next(documents: DataFrame, *, id_column: str = "doc_id", text_column: s
     parts. Null ids come first. Texts are shuffled once.
     """
     size, rows = documents.select(F.sum(F.octet_length(text_column)), F.count(F.lit(1))).first()
-    parts = max(1, min(-(-(size or 0) // part_bytes), rows))
+    parts = max(1, min(-(-(size or 0) // part_bytes), rows, MOST_PARTS))
     cuts = [i / parts for i in range(1, parts)]
     docs = documents.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(F.coalesce(text_column, F.lit(""))).alias("mark"), F.coalesce(text_column, F.lit("")).alias("text"))
     bounds = docs.select(F.percentile_approx("id", cuts, max(10_000, 20 * parts)).alias("p")).first()[0] or [] if cuts else []
