@@ -331,6 +331,44 @@ def dict_keyword_match(spark, sf_dir):
     )
 
 
+# Dictionaries of any size, as tables: words of other tables.
+_WORDS_OF = "SELECT DISTINCT unnest(regexp_extract_all(lower({1}), '[a-z]{{{2},}}')) AS term FROM {0}"
+KEYWORDS = [("benchmark", "text", 5), ("conversations", "text", 7), ("part", "p_name", 3), ("events", "event_type", 4)]
+
+
+def _words(spark, sf_dir, name, column, least) -> DataFrame:
+    found = F.regexp_extract_all(F.lower(column), F.lit(f"[a-z]{{{least},}}"), 0)
+    return table(spark, sf_dir, name).select(F.explode(found).alias("term")).distinct()
+
+
+@query(f"""SELECT doc_id, count(term) AS n_terms, min(term) AS first_term FROM documents LEFT JOIN (
+    {' UNION '.join(_WORDS_OF.format(*k) for k in KEYWORDS)}) ON contains(lower(text), term) GROUP BY doc_id""")
+def dict_keyword_table(spark, sf_dir):
+    """How many terms of a dictionary that is a table each document contains."""
+    terms = reduce(DataFrame.unionByName, [_words(spark, sf_dir, *k) for k in KEYWORDS])
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("value"))
+    hits = D.keyword_hits(texts, terms).groupBy("value").agg(F.count(F.lit(1)).alias("n_terms"), F.min("term").alias("first_term"))
+    return texts.join(hits, "value", "left").select("doc_id", F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "first_term")
+
+
+@query(f"""
+    WITH words AS ({_WORDS_OF.format('benchmark', 'text', 1)}), talk AS ({_WORDS_OF.format('conversations', 'text', 4)}),
+    names AS ({_WORDS_OF.format('part', 'p_name', 1)}),
+    close AS (SELECT w.term AS value, count(*) AS n_close, min(t.term) AS first_close FROM words w JOIN talk t
+        ON abs(length(w.term) - length(t.term)) <= 4 AND 1 - levenshtein(w.term, t.term) / greatest(length(w.term), length(t.term)) >= 0.8 - 1e-9 GROUP BY ALL)
+    SELECT w.term AS value, coalesce(n_close, 0) AS n_close, first_close,
+        EXISTS (SELECT 1 FROM names n WHERE 2 * levenshtein(w.term, n.term) <= greatest(length(w.term), length(n.term))) AS like_name
+    FROM words w LEFT JOIN close c ON c.value = w.term""")
+def dict_fuzzy_table(spark, sf_dir):
+    """The benchmark's words against two dictionaries that are tables: how many terms are 0.8 similar, and whether one is 0.5 similar."""
+    words = _words(spark, sf_dir, "benchmark", "text", 1).withColumnRenamed("term", "value")
+    close = D.similar_terms(words, _words(spark, sf_dir, "conversations", "text", 4), 0.8)
+    close = close.groupBy("value").agg(F.count(F.lit(1)).alias("n_close"), F.min("term").alias("first_close"))
+    like = D.match_similar(words, _words(spark, sf_dir, "part", "p_name", 1), 0.5).select("value", F.lit(True).alias("like_name"))
+    found = words.join(close, "value", "left").join(like, "value", "left")
+    return found.select("value", F.coalesce("n_close", F.lit(0)).alias("n_close"), "first_close", F.coalesce("like_name", F.lit(False)).alias("like_name"))
+
+
 @query("SELECT DISTINCT lower(term) AS term FROM (SELECT c_mktsegment AS term FROM customer UNION ALL SELECT p_type FROM part "
        "UNION ALL SELECT p_name FROM part UNION ALL SELECT event_type FROM events UNION ALL SELECT o_orderpriority FROM orders)")
 def dictionary_union(spark, sf_dir):

@@ -33,6 +33,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return own
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written to the shared folder and read back: computed once for several readers, gone with the application."""
+    spark, path = frame.sparkSession, f"{scratch_folder(frame.sparkSession)}/{name}-{os.urandom(8).hex()}"
+    frame.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def write_profile(profile: DataFrame, name: str, out: str) -> None:
     """One folder per dataset, named by its whole name with special characters escaped.
 
