@@ -206,4 +206,7 @@ def match_similar(values: DataFrame, dictionary: DataFrame, threshold: float = 0
     rest = distinct.join(terms.withColumnRenamed("term", "word"), "word", "left_anti")
     same = distinct.join(terms.withColumnRenamed("term", "word"), "word", "left_semi")
     near = similar_terms(rest, terms, threshold, "word").select("word").distinct()
-    return values.join(same.unionByName(near).withColumnRenamed("word", "_hit"), values[value].cast("string") == F.col("_hit"), "left_semi")
+    # Spark 4.1 takes the union of frames dealt alike for one dealt alike, but merges their partitions differently: the key is an expression.
+    hit = F.concat("word", F.lit("")).alias("_hit")
+    found = same.select(hit).unionByName(near.select(hit))
+    return values.join(found, values[value].cast("string") == F.col("_hit"), "left_semi")

@@ -27,8 +27,8 @@ def _weight(df: DataFrame) -> Column:
     return F.col("cnt") if "cnt" in df.columns else F.lit(1).cast("bigint")
 
 
-def typed(cells: DataFrame, empty_as_text: bool = True) -> DataFrame:
-    """Add ``type`` and the comparables ``number``, ``moment`` and ``length``.
+def typed(cells: DataFrame, empty_as_text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``type`` and the comparables ``number``, ``moment`` and ``length``; columns in ``keep`` stay as they are.
 
     Blank cells are TEXT of length 0 unless ``empty_as_text`` is off, which
     leaves them without a type.
@@ -59,7 +59,7 @@ def typed(cells: DataFrame, empty_as_text: bool = True) -> DataFrame:
         number.alias("number"),
         F.coalesce("moment", "_parsed").alias("moment"),
         F.when(F.col("is_blank"), 0).otherwise(F.length(value)).alias("length"),
-        *[c for c in ["cnt"] if c in cells.columns],
+        *[c for c in ["cnt", *keep] if c in cells.columns],
     )
 
 
@@ -117,79 +117,103 @@ def _only(df: DataFrame, test: Column) -> DataFrame:
     return df.filter(F.when(test, F.col("cnt")) > 0) if "cnt" in df.columns else df.filter(test)
 
 
+#: What the extremes of a type are told by, each a number that a hash aggregation holds.
+_PARTS = ["moment", "size", "whole", "number"]
+
+
+def _base(number: Column) -> Column:
+    """A number cut to its first nine bits; 0 for those that have none so near."""
+    size = F.abs(number)
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(size)) - 8)
+    return F.when((size > 1e-290) & (size < 1e300), F.signum(number) * F.floor(size / unit) * unit).otherwise(0.0)
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """The state (n, base, mean, m2) of two disjoint sets of numbers, means counted from their bases; n is never 0."""
+    n, off = a["n"] + b["n"], (b["base"] - a["base"]) + (b["mean"] - a["mean"])
+    return F.struct(n.alias("n"), a["base"].alias("base"), (a["mean"] + off * (b["n"] / n)).alias("mean"),
+                    (a["m2"] + b["m2"] + off * off * (a["n"] * (b["n"] / n))).alias("m2"))
+
+
+def summaries(typed_cells: DataFrame) -> DataFrame:
+    """A row per column and type, in one pass: cells, mean, deviation, average length, and the parts of both extremes.
+
+    A value that occurs cnt times counts with each power of two in cnt, and a number counts from its first nine bits on.
+    So the values of one power weigh the same and the built-in moments apply to them, without cancelling where large
+    values lie close together; the states (n, base, mean, second moment) of a column and type, at most 512 for each power
+    of two among its numbers and each among its counts, are then merged pairwise.
+    """
+    by, number = keys(typed_cells, "type"), _number()
+    rows = typed_cells.select(
+        *by, number.alias("number"), F.when(~F.col("type").isin(D.TEXT, UNTYPED), F.col("moment")).alias("moment"),
+        _huge_size().alias("size"), "whole", F.when(_is_text(), F.col("length")).alias("length"), _weight(typed_cells).alias("cnt"))
+    power = lambda b: F.call_function("shiftleft", F.lit(1).cast("bigint"), b)
+    some = F.filter(F.sequence(F.lit(0), F.floor(F.log2("cnt")).cast("int") + 1), lambda b: F.col("cnt").bitwiseAND(power(b)) != 0)
+    rows = rows.select("*", _base(F.col("number")).alias("base"), F.explode(F.when(F.col("cnt") == 1, F.array(F.lit(0))).otherwise(some)).alias("bit"))
+    rows = rows.select(*by, *_PARTS, "length", "bit", "base", (F.col("number") - F.col("base")).alias("off"))
+    ends = [f(c).alias(f"{name}_{c}") for name, f in (("high", F.max), ("low", F.min)) for c in _PARTS]
+    powers = rows.groupBy(*by, "bit", "base").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("length").alias("length"), F.count("off").alias("n"), F.avg("off").alias("mean"),
+        F.var_pop("off").alias("variance"), *ends)
+    heavy = (F.col("n") * power(F.col("bit"))).cast("double")
+    state = F.when(F.col("n") > 0, F.struct(heavy.alias("n"), F.col("base"), F.col("mean"), (F.col("variance") * heavy).alias("m2")))
+    again = [f(f"{name}_{c}").alias(f"{name}_{c}") for name, f in (("high", F.max), ("low", F.min)) for c in _PARTS]
+    one = powers.groupBy(*by).agg(
+        F.sum(F.col("rows") * power(F.col("bit"))).alias("count"), F.sum(F.col("length") * power(F.col("bit"))).alias("length"),
+        F.array_sort(F.collect_list(state)).alias("states"), *again)
+    whole = F.aggregate(F.slice("states", F.lit(2), F.size("states")), F.get("states", F.lit(0)), _merged)
+    one = one.withColumn("state", F.when(F.size("states") > 0, whole))
+    return one.select(
+        *by, "count", (F.col("state.base") + F.col("state.mean")).alias("mean"), F.sqrt(F.col("state.m2") / F.col("state.n")).alias("stddev"),
+        (F.col("length") / F.col("count")).alias("average_length"), *[f"{name}_{c}" for name in ("high", "low") for c in _PARTS])
+
+
+STATS = ["count", "mean", "stddev", "average_length"]
+
+
+def full_stats(typed_cells: DataFrame) -> DataFrame:
+    """Cells, mean, population standard deviation and average length, a row per column and type."""
+    return summaries(typed_cells).select(*keys(typed_cells, "type"), *STATS)
+
+
 def type_stats(typed_cells: DataFrame) -> DataFrame:
-    """Cells, mean and average length, a row per column and type; a plain hash aggregation."""
-    weight, number = _weight(typed_cells), _number()
-    return typed_cells.groupBy(*keys(typed_cells, "type")).agg(
-        F.sum(weight).alias("count"),
-        (F.sum(number * weight) / F.sum(F.when(number.isNotNull(), weight))).alias("mean"),
-        (F.sum(F.when(_is_text(), F.col("length") * weight)) / F.sum(weight)).alias("average_length"),
-    )
+    return full_stats(typed_cells).drop("stddev")
+
+
+def deviations(typed_cells: DataFrame) -> DataFrame:
+    return full_stats(typed_cells).select(*keys(typed_cells, "type"), "stddev")
 
 
 def extremes(typed_cells: DataFrame) -> DataFrame:
-    """Text of the largest and the smallest number or date, a row per column and type.
+    """Text of the largest and the smallest number or date with ``full_stats``, a row per column and type of numbers or dates.
 
-    Among equal ones the maximum takes the lexically largest text, the minimum
-    the smallest: the order of a struct of comparable and text.
+    Among equal ones the maximum takes the lexically largest text, the minimum the smallest.  ``summaries`` finds the
+    parts of the extremes; a second read compares texts of those cells only that hold one.  Both are hash aggregations.
     """
     by = keys(typed_cells, "type")
     rows = _only(typed_cells, ~F.col("type").isin(D.TEXT, UNTYPED))
     rows = rows.select(*by, "value", "moment", _huge_size().alias("size"), "whole", "number")
-    # First the extremes of the parts, which a hash aggregation finds; only rows that hold one are ordered by text.
-    parts = ["moment", "size", "whole", "number"]
-    bounds = rows.groupBy(*by).agg(*[f(c).alias(f"{name}_{c}") for name, f in (("high", F.max), ("low", F.min)) for c in parts])
-    rows = rows.join(F.broadcast(bounds), by)  # at most four rows per column of the table
+    rows = rows.join(F.broadcast(summaries(typed_cells)), by)  # at most five rows per column of the table
 
     def at(name: str) -> Column:
         is_end = lambda c: F.col(c).eqNullSafe(F.col(f"{name}_{c}"))
         return is_end("moment") & is_end("size") & ((F.col("size") != 0) | F.when(F.col("type") == D.INTEGER, is_end("whole")).otherwise(is_end("number")))
 
-    ends = rows.filter(at("high") | at("low")).select(*by, F.struct(_order_key().alias("key"), "value").alias("_pair"))
-    return ends.groupBy(*by).agg(
-        F.max("_pair").getField("value").alias("max_value"), F.min("_pair").getField("value").alias("min_value")
-    )
-
-
-def full_stats(typed_cells: DataFrame) -> DataFrame:
-    """``type_stats`` with the population standard deviation of the numbers.
-
-    Over cells the deviation is the built-in.  Over value counts it is weighted, around the mean: a second pass, as sums of
-    squares would cancel.
-    """
-    by, number = keys(typed_cells, "type"), _number()
-    if "cnt" not in typed_cells.columns:
-        spread = typed_cells.groupBy(*by).agg(F.stddev_pop(number).alias("stddev"))
-        return type_stats(typed_cells).join(spread, by)
-    # At most five rows per column of the table are broadcast.
-    means = F.broadcast(type_stats(typed_cells))
-    off = number - F.col("mean")
-    weight = F.when(off.isNotNull(), F.col("cnt"))
-    once = [F.first(c).alias(c) for c in ("count", "mean", "average_length")]
-    around = typed_cells.select(*by, "number", "cnt").join(means, by)
-    return around.groupBy(*by).agg(*once, F.sqrt(F.sum(weight * off * off) / F.sum(weight)).alias("stddev"))
-
-
-def deviations(typed_cells: DataFrame) -> DataFrame:
-    return full_stats(typed_cells).select(*keys(typed_cells, "type"), "stddev")
+    ends = rows.filter(at("high") | at("low")).select(*by, *STATS, F.struct(_order_key().alias("key"), "value").alias("_pair"))
+    # A list (of nothing) makes Spark keep structs in a hash table; by themselves they would be sorted.
+    nothing = F.size(F.collect_list(F.lit(None).cast("int"))).alias("_nothing")
+    found = ends.groupBy(*by).agg(F.max("_pair").alias("high"), F.min("_pair").alias("low"), nothing, *[F.max(c).alias(c) for c in STATS])
+    return found.filter("_nothing = 0").select(*by, *STATS, F.col("high.value").alias("max_value"), F.col("low.value").alias("min_value"))
 
 
 def numeric_stats(typed_cells: DataFrame) -> DataFrame:
     """Count, extremes, mean and deviation of INTEGER(LONG) and REAL cells."""
-    by = keys(typed_cells, "type")
-    joined = full_stats(typed_cells).join(extremes(typed_cells), by)
-    return joined.filter(F.col("mean").isNotNull()).select(*by, "count", "max_value", "min_value", "mean", "stddev")
+    return extremes(typed_cells).filter(F.col("mean").isNotNull()).select(*keys(typed_cells, "type"), "count", "max_value", "min_value", "mean", "stddev")
 
 
 def datetime_stats(typed_cells: DataFrame) -> DataFrame:
     """Count and extremes of DATE/TIME cells."""
-    rows = _only(typed_cells, F.col("type") == D.DATETIME)
-    pair = F.struct("moment", "value")
-    return rows.groupBy(*keys(rows, "type")).agg(
-        F.sum(_weight(rows)).alias("count"),
-        F.max(pair).getField("value").alias("max_value"),
-        F.min(pair).getField("value").alias("min_value"),
-    )
+    return extremes(typed_cells).filter(F.col("type") == D.DATETIME).select(*keys(typed_cells, "type"), "count", "max_value", "min_value")
 
 
 def text_stats(typed_cells: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Profile of a whole dataset as one nested row, and of many datasets.
 
-All parts of a profile hang on one ``(column, value)`` exchange, which Spark
-reuses; they meet again in one group per column.  What is collected into
-arrays is bounded: k values, at most four types per column, the columns of a
-schema.
+Distinct values are counted in one ``(column, value)`` exchange, typed once and
+stored; all parts of a profile read that store, each only the columns it needs,
+and meet again in one group per column.  What is collected into arrays is
+bounded: k values, at most four types per column, the columns of a schema.
 """
 
 from __future__ import annotations
@@ -23,10 +23,14 @@ LISTS = ["frequent_values", "shortest_values", "longest_values"]
 
 
 def _shown_values(counts: DataFrame, typed: DataFrame, k: int) -> DataFrame:
-    """The values a profile shows, at most 3 k per column: column_pos, list, rank, value."""
+    """The values a profile shows, at most 3 k per column: column_pos, list, rank, value.
+
+    Spark 4.1 takes a union of frames dealt alike for one dealt alike, and then merges the partitions of each at run
+    time in another way; so the column's number is an expression, by which the frames are not dealt.
+    """
     frames = [C.top_frequent(counts, k), Y.text_by_length(typed, longest=False, k=k), Y.text_by_length(typed, longest=True, k=k)]
     return reduce(
-        DataFrame.unionByName, [frame.select(F.lit(name).alias("list"), "column_pos", "rank", "value") for name, frame in zip(LISTS, frames)]
+        DataFrame.unionByName, [frame.select(F.lit(name).alias("list"), F.expr("column_pos | 0").alias("column_pos"), "rank", "value") for name, frame in zip(LISTS, frames)]
     )
 
 
@@ -42,14 +46,17 @@ def column_profiles(
     df: DataFrame,
     empty_as_text: bool = True,
     k: int = TOP,
+    store: bool = True,
 ) -> DataFrame:
     """One row per column with counts, most frequent values and an array of type entries.
 
-    Values are compared whole, whatever their length; ties are broken by value.
+    Values are compared whole, whatever their length; ties are broken by value.  The typed values are written to the
+    shared folder at once; without ``store`` nothing runs yet, and every part of the profile will type them anew.
     """
-    counts = value_counts(df)
-    typed = Y.typed(counts, empty_as_text)
-    types = Y.full_stats(typed).join(Y.extremes(typed).drop("column_name"), ["column_pos", "type"], "left")
+    counts = Y.typed(value_counts(df), empty_as_text, keep=("is_blank",))
+    counts = typed = results.stored(counts, "typed") if store else counts
+    ends = Y.extremes(typed).select("column_pos", "type", "max_value", "min_value")
+    types = Y.full_stats(typed).join(ends, ["column_pos", "type"], "left")
     shown = _shown_values(counts, typed, k)
     lists = _lists(shown)
     types = types.join(lists.drop("frequent_values"), "column_pos", "left")
@@ -125,7 +132,7 @@ def profile_datasets(
     def one(item):
         name, open_dataset = item
         try:
-            profile = profile_dataset(open_dataset(), name, **options)
+            profile = profile_dataset(open_dataset(), name, **{"store": out is not None, **options})
             if out is None:
                 return name, "planned", None
             results.write_profile(profile, name, out)

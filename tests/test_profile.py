@@ -1,4 +1,5 @@
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -160,13 +161,39 @@ def test_sums(spark, tiny):
 
 
 def test_values_are_shuffled_once(spark, tiny):
-    """The branches of a profile share the exchange of the value counts, and top-k is cut before its shuffle."""
+    """The branches of a profile read the stored values, typed once, and top-k is cut before its shuffle."""
     frame = column_profiles(spark.read.parquet(f"{tiny}/orders.parquet"))
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
-    assert final.count("ReusedExchange") >= 4
+    assert "orders.parquet" not in final and "try_to_timestamp" not in final and "RLIKE" not in final
     assert "WindowGroupLimit" in final
+    unstored = column_profiles(spark.read.parquet(f"{tiny}/orders.parquet"), store=False)
+    assert "orders.parquet" in unstored._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, unstored.collect())) == sorted(map(str, frame.collect()))
+
+
+def test_statistics_need_no_sort(spark, tiny):
+    typed = Y.typed(value_counts(spark.read.parquet(f"{tiny}/orders.parquet")))
+    for operator in (Y.numeric_stats, Y.datetime_stats, Y.full_stats):
+        frame = operator(typed)
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "Sort" not in plan
+        assert plan.count("FileScan") + plan.count("ReusedExchange") <= 2  # two reads of the values
+
+
+@pytest.mark.parametrize("middle", [0.0, 1e9, -1e9, 1e12])
+def test_merged_moments(spark, middle):
+    random_ = random.Random(3)
+    values = [round(middle + random_.uniform(-1, 1), 3) for _ in range(300)]
+    values = [v for v in values for _ in range(random_.choice([1, 1, 2, 3, 7, 100]))]
+    row = Y.full_stats(Y.typed(value_counts(column(spark, values, "double")))).first()
+    exact = [Decimal(v) for v in values]
+    mean = sum(exact) / len(exact)
+    deviation = (sum((v - mean) ** 2 for v in exact) / len(exact)).sqrt()
+    assert row["count"] == len(values)
+    assert row["mean"] == pytest.approx(float(mean), rel=1e-14, abs=1e-12) and row["stddev"] == pytest.approx(float(deviation), rel=1e-9 if abs(middle) < 1e10 else 1e-6)
 
 
 def test_combined_document_is_json(spark):
