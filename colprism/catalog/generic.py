@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..operators import cells as L, counts as C, typing as Y
-from ..plans.profile import column_profiles, profile_dataset, profile_datasets
+from ..plans.folder import profile_files
+from ..plans.profile import profile_dataset, profile_datasets
 from ..sources import results
 from ..sources.listing import list_datasets
 from ..sources.tsv import date_like_sample, name_files, parse_column_list, read_tsv
@@ -231,6 +232,35 @@ def profile_tsv_roundtrip(spark, sf_dir):
     return _flat(results.read_profiles(spark, f"{folder}/profiles"))
 
 
+_MANY = """SELECT dataset_name, column_name, schema_type, value FROM (
+    SELECT c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS dataset_name, * FROM customer),
+    LATERAL (VALUES ('c_custkey', 'INTEGER(LONG)', CAST(c_custkey AS VARCHAR)), ('c_name', 'TEXT', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END),
+        ('c_acctbal', 'REAL', CAST(c_acctbal AS VARCHAR)), ('c_mktsegment', 'TEXT', c_mktsegment)) AS t(column_name, schema_type, value)"""
+
+
+@query(f"""SELECT dataset_name, column_name, count(*) FILTER (WHERE value <> '') AS n_non_empty, count(*) FILTER (WHERE value = '') AS n_empty,
+    count(DISTINCT value) AS n_distinct, count(DISTINCT value) = count(*) AS is_key,
+    string_agg(DISTINCT CASE WHEN value = '' THEN 'TEXT' ELSE schema_type END, '|') AS types,
+    CASE WHEN min(schema_type) <> 'TEXT' THEN round(avg(TRY_CAST(value AS DOUBLE)), 4) END AS mean,
+    CASE WHEN min(schema_type) <> 'TEXT' THEN round(stddev_pop(TRY_CAST(value AS DOUBLE)), 4) END AS stddev,
+    CASE WHEN min(schema_type) <> 'TEXT' THEN arg_max(value, ROW(TRY_CAST(value AS DOUBLE), value)) END AS max_value
+    FROM ({_MANY}) GROUP BY ALL""")
+def profile_many(spark, sf_dir):
+    """A TSV dataset for the customers of each segment and nation, all profiled in one job."""
+    folder = os.path.join(results.scratch_folder(spark), f"many-{os.urandom(8).hex()}")
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "concat(c_mktsegment, '-', CAST(c_nationkey AS STRING)) AS dataset", "c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS c_name", "c_acctbal", "c_mktsegment")
+    customers.write.partitionBy("dataset").csv(folder, sep="\t", header=True, emptyValue="")
+    profiles = profile_files(spark, folder, lambda path: F.regexp_extract(path, "dataset=([^/]+)", 1))
+    flat = profiles.select("dataset_name", F.explode("columns").alias("c"), "key_column_candidates")
+    entry = F.get(F.filter("c.data_types", lambda t: t["mean"].isNotNull()), F.lit(0))
+    return flat.select(
+        "dataset_name", "c.column_name", F.col("c.number_non_empty_cells").alias("n_non_empty"), F.col("c.number_empty_cells").alias("n_empty"),
+        F.col("c.number_distinct_values").alias("n_distinct"), F.array_contains("key_column_candidates", F.col("c.column_name")).alias("is_key"),
+        F.array_join(F.transform("c.data_types", lambda t: t["type"]), "|").alias("types"),
+        F.round(entry["mean"], 4).alias("mean"), F.round(entry["stddev"], 4).alias("stddev"), entry["max_value"].alias("max_value"))
+
+
 ALL_TABLES = {
     "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
     "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,

@@ -73,6 +73,16 @@ def _slot_rows(df: DataFrame) -> DataFrame:
     return df.selectExpr(f"stack({len(df.columns)}, {', '.join(entries)}) AS (column_pos, {', '.join(SLOTS)})")
 
 
+def value_text() -> Column:
+    """The text of a cell from its slots."""
+    return F.expr(f"coalesce(text, CAST(whole AS string), {render_double('real')}, {render_timestamp('moment')}, '')")
+
+
+def blank_cell() -> Column:
+    """Whether a cell is blank; only texts are searched for a character that is not white space."""
+    return F.expr("whole IS NULL AND real IS NULL AND moment IS NULL") & F.coalesce(is_blank(F.col("text")), F.lit(True))
+
+
 def _lookup(entries: list[str]) -> Column:
     quoted = ", ".join("'" + e.replace("\\", "\\\\").replace("'", "\\'") + "'" for e in entries)
     return F.expr(f"coalesce(element_at(array({quoted}), column_pos + 1), '')")
@@ -80,16 +90,13 @@ def _lookup(entries: list[str]) -> Column:
 
 def _named(rows: DataFrame, source: DataFrame, *more: str) -> DataFrame:
     fields = source.schema.fields
-    value = f"coalesce(text, CAST(whole AS string), {render_double('real')}, {render_timestamp('moment')}, '')"
     # Keys are never null: else Spark would add null filters to every join and push them under the count.
     return rows.select(
         F.expr("coalesce(column_pos, -1)").alias("column_pos"),
         _lookup([f.name for f in fields]).alias("column_name"),
         _lookup([profile_type(f) for f in fields]).alias("schema_type"),
-        F.expr(value).alias("value"),
-        # Only texts are searched for a character that is not white space.
-        (F.expr("whole IS NULL AND real IS NULL AND moment IS NULL") & F.coalesce(is_blank(F.col("text")), F.lit(True)))
-        .alias("is_blank"),
+        value_text().alias("value"),
+        blank_cell().alias("is_blank"),
         *SLOTS, *more,
     )
 

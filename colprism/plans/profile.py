@@ -22,44 +22,43 @@ TOP = 5
 LISTS = ["frequent_values", "shortest_values", "longest_values"]
 
 
-def _shown_values(counts: DataFrame, typed: DataFrame, k: int) -> DataFrame:
-    """The values a profile shows, at most 3 k per column: column_pos, list, rank, value.
+def _by(df: DataFrame) -> list[str]:
+    """The key of a column: its place, and its dataset where a table holds the columns of several."""
+    return [c for c in ("dataset_name", "column_pos") if c in df.columns]
+
+
+def _shown_values(typed: DataFrame, k: int) -> DataFrame:
+    """The values a profile shows, at most 3 k per column: list, rank, value.
 
     Spark 4.1 takes a union of frames dealt alike for one dealt alike, and then merges the partitions of each at run
     time in another way; so the column's number is an expression, by which the frames are not dealt.
     """
-    frames = [C.top_frequent(counts, k), Y.text_by_length(typed, longest=False, k=k), Y.text_by_length(typed, longest=True, k=k)]
-    return reduce(
-        DataFrame.unionByName, [frame.select(F.lit(name).alias("list"), F.expr("column_pos | 0").alias("column_pos"), "rank", "value") for name, frame in zip(LISTS, frames)]
-    )
+    frames = [C.top_frequent(typed, k), Y.text_by_length(typed, longest=False, k=k), Y.text_by_length(typed, longest=True, k=k)]
+    by = [c for c in _by(typed) if c != "column_pos"]
+    return reduce(DataFrame.unionByName, [
+        frame.select(F.lit(name).alias("list"), *by, F.expr("column_pos | 0").alias("column_pos"), "rank", "value")
+        for name, frame in zip(LISTS, frames)
+    ])
 
 
 def _lists(shown: DataFrame) -> DataFrame:
     """One row per column with the shown values as arrays in order of rank."""
     member = lambda name: F.when(F.col("list") == name, F.struct("rank", "value"))
-    return shown.groupBy("column_pos").agg(
+    return shown.groupBy(*_by(shown)).agg(
         *[F.transform(F.array_sort(F.collect_list(member(name))), lambda r: r["value"]).alias(name) for name in LISTS]
     )
 
 
-def column_profiles(
-    df: DataFrame,
-    empty_as_text: bool = True,
-    k: int = TOP,
-    store: bool = True,
-) -> DataFrame:
-    """One row per column with counts, most frequent values and an array of type entries.
+def assembled(typed: DataFrame, names: DataFrame, k: int = TOP) -> DataFrame:
+    """One row per column of ``names`` (key, column_name) with counts, most frequent values and an array of type entries.
 
-    Values are compared whole, whatever their length; ties are broken by value.  The typed values are written to the
-    shared folder at once; without ``store`` nothing runs yet, and every part of the profile will type them anew.
+    ``typed`` holds the typed distinct values of one dataset or, with ``dataset_name``, of many.
     """
-    counts = Y.typed(value_counts(df), empty_as_text, keep=("is_blank",))
-    counts = typed = results.stored(counts, "typed") if store else counts
-    ends = Y.extremes(typed).select("column_pos", "type", "max_value", "min_value")
-    types = Y.full_stats(typed).join(ends, ["column_pos", "type"], "left")
-    shown = _shown_values(counts, typed, k)
-    lists = _lists(shown)
-    types = types.join(lists.drop("frequent_values"), "column_pos", "left")
+    by = _by(typed)
+    ends = Y.extremes(typed).select(*by, "type", "max_value", "min_value")
+    types = Y.full_stats(typed).join(ends, [*by, "type"], "left")
+    lists = _lists(_shown_values(typed, k))
+    types = types.join(lists.drop("frequent_values"), by, "left")
     is_text = F.col("type") == Y.D.TEXT
     entry = F.struct(
         F.col("type"),
@@ -72,22 +71,39 @@ def column_profiles(
         F.when(is_text, F.col("longest_values")).alias("longest_values"),
         F.col("average_length"),
     )
-    entries = types.groupBy("column_pos").agg(F.array_sort(F.collect_list(entry)).alias("data_types"))
+    entries = types.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("data_types"))
     entries = entries.withColumn("data_types", F.filter("data_types", lambda e: e["type"] != Y.UNTYPED))
-    # Starts from the schema, so that a table without rows still lists its columns.
+    counted = names.join(C.column_counts(typed).drop("column_name"), by, "left").fillna(0, C.NUMBERS)
     return (
-        C.column_counts(counts, df)
-        .join(lists.select("column_pos", "frequent_values"), "column_pos", "left")
-        .join(entries, "column_pos", "left")
+        counted.join(lists.select(*by, "frequent_values"), by, "left")
+        .join(entries, by, "left")
         .select(
-            "column_pos", "column_name", *C.NUMBERS,
+            *by, "column_name", *C.NUMBERS,
             F.coalesce("frequent_values", F.array().cast("array<string>")).alias("frequent_values"),
             F.coalesce("data_types", F.array().cast(entries.schema["data_types"].dataType)).alias("data_types"),
         )
     )
 
 
-def _nested(columns: DataFrame, dataset_name: str) -> DataFrame:
+def column_profiles(
+    df: DataFrame,
+    empty_as_text: bool = True,
+    k: int = TOP,
+    store: bool = True,
+) -> DataFrame:
+    """One row per column with counts, most frequent values and an array of type entries.
+
+    Values are compared whole, whatever their length; ties are broken by value.  The typed values are written to the
+    shared folder at once; without ``store`` nothing runs yet, and every part of the profile will type them anew.
+    """
+    typed = Y.typed(value_counts(df), empty_as_text, keep=("is_blank",))
+    # Starts from the schema, so that a table without rows still lists its columns.
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "column_pos int, column_name string")
+    return assembled(results.stored(typed, "typed") if store else typed, names, k)
+
+
+def nested(columns: DataFrame) -> DataFrame:
+    """Column profiles -> one row per dataset: columns[], key_column_candidates[]."""
     record = F.struct(
         F.col("column_pos"),
         F.struct(
@@ -100,10 +116,11 @@ def _nested(columns: DataFrame, dataset_name: str) -> DataFrame:
         ).alias("column"),
         (F.col("n_rows") == F.col("n_distinct")).alias("is_key"),
     )
-    gathered = columns.agg(F.array_sort(F.collect_list(record)).alias("records"))
+    by = [c for c in _by(columns) if c != "column_pos"]
+    gathered = columns.groupBy(*by).agg(F.array_sort(F.collect_list(record)).alias("records"))
     keys: Column = F.transform(F.filter("records", lambda r: r["is_key"]), lambda r: r["column"]["column_name"])
     return gathered.select(
-        F.lit(dataset_name).alias("dataset_name"),
+        *by,
         F.transform("records", lambda r: r["column"]).alias("columns"),
         keys.alias("key_column_candidates"),
     )
@@ -111,7 +128,7 @@ def _nested(columns: DataFrame, dataset_name: str) -> DataFrame:
 
 def profile_dataset(df: DataFrame, dataset_name: str, **options) -> DataFrame:
     """The whole profile as one row: dataset_name, columns[], key_column_candidates[]."""
-    return _nested(column_profiles(df, **options), dataset_name)
+    return nested(column_profiles(df, **options)).select(F.lit(dataset_name).alias("dataset_name"), "*")
 
 
 def profile_datasets(

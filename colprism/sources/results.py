@@ -50,6 +50,15 @@ def write_profile(profile: DataFrame, name: str, out: str) -> None:
     profile.withColumn("dataset_id", F.lit(dataset_id(name))).write.mode("overwrite").json(os.path.join(out, quote(name, safe="")))
 
 
+def write_profiles(profiles: DataFrame, out: str) -> None:
+    """Documents of many datasets in one job, each in a folder of its own, ``dataset=<name>``.
+
+    Only the folders of these datasets are replaced.
+    """
+    named = profiles.withColumn("dataset_id", F.substring("dataset_name", 1, ID_LENGTH)).withColumn("dataset", F.col("dataset_name"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").json(out)
+
+
 PROFILE_SCHEMA = """
     dataset_name string, dataset_id string,
     columns array<struct<
