@@ -238,20 +238,25 @@ _MANY = """SELECT dataset_name, column_name, schema_type, value FROM (
         ('c_acctbal', 'REAL', CAST(c_acctbal AS VARCHAR)), ('c_mktsegment', 'TEXT', c_mktsegment)) AS t(column_name, schema_type, value)"""
 
 
-@query(f"""SELECT dataset_name, column_name, count(*) FILTER (WHERE value <> '') AS n_non_empty, count(*) FILTER (WHERE value = '') AS n_empty,
+MANY = f"""SELECT dataset_name, column_name, count(*) FILTER (WHERE value <> '') AS n_non_empty, count(*) FILTER (WHERE value = '') AS n_empty,
     count(DISTINCT value) AS n_distinct, count(DISTINCT value) = count(*) AS is_key,
     string_agg(DISTINCT CASE WHEN value = '' THEN 'TEXT' ELSE schema_type END, '|') AS types,
     CASE WHEN min(schema_type) <> 'TEXT' THEN round(avg(TRY_CAST(value AS DOUBLE)), 4) END AS mean,
     CASE WHEN min(schema_type) <> 'TEXT' THEN round(stddev_pop(TRY_CAST(value AS DOUBLE)), 4) END AS stddev,
     CASE WHEN min(schema_type) <> 'TEXT' THEN arg_max(value, ROW(TRY_CAST(value AS DOUBLE), value)) END AS max_value
-    FROM ({_MANY}) GROUP BY ALL""")
-def profile_many(spark, sf_dir):
+    FROM ({_MANY}) GROUP BY ALL"""
+
+
+def _many(spark, sf_dir) -> DataFrame:
     """A TSV dataset for the customers of each segment and nation, all profiled in one job."""
     folder = os.path.join(results.scratch_folder(spark), f"many-{os.urandom(8).hex()}")
     customers = table(spark, sf_dir, "customer").selectExpr(
         "concat(c_mktsegment, '-', CAST(c_nationkey AS STRING)) AS dataset", "c_custkey", "CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS c_name", "c_acctbal", "c_mktsegment")
     customers.write.partitionBy("dataset").csv(folder, sep="\t", header=True, emptyValue="")
-    profiles = profile_files(spark, folder, lambda path: F.regexp_extract(path, "dataset=([^/]+)", 1))
+    return profile_files(spark, folder, lambda path: F.regexp_extract(path, "dataset=([^/]+)", 1))
+
+
+def _many_flat(profiles: DataFrame) -> DataFrame:
     flat = profiles.select("dataset_name", F.explode("columns").alias("c"), "key_column_candidates")
     entry = F.get(F.filter("c.data_types", lambda t: t["mean"].isNotNull()), F.lit(0))
     return flat.select(
@@ -261,6 +266,19 @@ def profile_many(spark, sf_dir):
         F.round(entry["mean"], 4).alias("mean"), F.round(entry["stddev"], 4).alias("stddev"), entry["max_value"].alias("max_value"))
 
 
+@query(MANY)
+def profile_many(spark, sf_dir):
+    return _many_flat(_many(spark, sf_dir))
+
+
+@query(MANY)
+def combined_profiles(spark, sf_dir):
+    """The nested profiles of many datasets written as one document under ``datasets``, in order over several files, and read back."""
+    folder = os.path.join(results.scratch_folder(spark), f"combined-{os.urandom(8).hex()}")
+    results.write_combined(_many(spark, sf_dir), "dataset_name", "datasets", folder)
+    return _many_flat(results.read_combined(spark, folder, "datasets"))
+
+
 ALL_TABLES = {
     "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
     "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,

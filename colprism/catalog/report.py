@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -11,7 +10,7 @@ from ..operators import report as Q, typing as Y
 from ..operators.cells import cells
 from ..sources import results
 from . import inputs as I
-from .registry import query, table
+from .registry import query, stored_once, table
 
 # All tables with the kinds of their columns. The array column of embeddings has no profile type: profiles refuse it.
 TABLES = {
@@ -55,19 +54,14 @@ def column_types(spark, sf_dir, empty_as_text: bool = True) -> DataFrame:
     return Y.types_per_column(typed)
 
 
-_STORED: dict[tuple[str, str, bool], str] = {}
-
-
 def stored_types(spark, sf_dir, empty_as_text: bool = True) -> DataFrame:
-    """The types of all columns, from stored result documents: one JSON document per table, written once per session."""
-    key = spark.sparkContext.applicationId, sf_dir, empty_as_text
-    if key not in _STORED:
+    """The types of all columns, from stored result documents: one JSON document per table, written anew when a table has changed."""
+    def store(folder: str) -> None:
         entry = F.struct("column_name", F.transform("types", lambda t: F.struct(t.alias("type"))).alias("data_types"))
         nested = column_types(spark, sf_dir, empty_as_text).groupBy("dataset_name").agg(F.array_sort(F.collect_list(entry)).alias("columns"))
-        folder = os.path.join(results.scratch_folder(spark), f"types-{os.urandom(8).hex()}")
         nested.write.json(folder)
-        _STORED[key] = folder
-    return Q.column_types(results.read_profiles(spark, _STORED[key]))
+
+    return Q.column_types(results.read_profiles(spark, stored_once(spark, sf_dir, f"types-{empty_as_text}", COLUMNS, store)))
 
 
 def _types_sql() -> str:

@@ -15,7 +15,7 @@ from ..functions import predicates as P, routing as R, terms as W
 from ..operators import dictionaries as D, evaluation as E, report as Q, semantic as S
 from ..sources import labels as M, results
 from ..sources.tsv import read_value_files, write_value_files
-from .registry import QUERIES, ORACLES, query, table
+from .registry import QUERIES, ORACLES, query, stored_once, table
 
 # table -> {column: expression}
 _n = lambda expression: f"CAST({expression} AS STRING)"
@@ -221,23 +221,19 @@ def semantic_labels(spark, sf_dir):
     return S.label_counts(labelled(spark, sf_dir))
 
 
-_STORED: dict[tuple[str, str], str] = {}
-
-
 def stored_labels(spark, sf_dir) -> DataFrame:
     """The label documents of all columns: value files written, read by their names, labelled, nested and stored as JSON.
 
-    Empty values stand in the files as nulls; one file has no counts. Stored once per session.
+    Empty values stand in the files as nulls; one file has no counts. Written anew when a table has changed.
     """
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _STORED:
-        folder = os.path.join(results.scratch_folder(spark), f"semantic-{os.urandom(8).hex()}")
+    def store(folder: str) -> None:
         values = column_values(spark, sf_dir).withColumn("value", F.nullif("value", F.lit("")))
         write_value_files(values, f"{folder}/values", "abcd-1234", without_counts=["WEBSITE"])
         counted = S.label_counts(S.label_values(read_value_files(spark, f"{folder}/values")))
         results.write_labels(S.nest_labels(counted), f"{folder}/labels")
-        _STORED[key] = f"{folder}/labels"
-    stored = results.read_labels(spark, _STORED[key])
+
+    folder = stored_once(spark, sf_dir, "semantic", VALUES, store)
+    stored = results.read_labels(spark, f"{folder}/labels")
     return stored.withColumn("column_name", F.split_part("column_name", F.lit("."), F.lit(2)))
 
 
@@ -442,10 +438,14 @@ def _rates(spark, sf_dir, rule) -> DataFrame:
 
 @query(MANUAL)
 def manual_labels_flat(spark, sf_dir):
-    """The labels written as manual-label JSON, read back and flattened."""
+    """The labels written as manual-label documents of many lines, some thousand columns each, and read back."""
     folder = os.path.join(results.scratch_folder(spark), f"manual-{os.urandom(8).hex()}")
-    _manual_documents(spark, sf_dir).write.json(folder)
-    return M.flatten_manual_labels(spark.read.schema(M.MANUAL_SCHEMA).json(folder))
+    single = _manual_documents(spark, sf_dir)
+    number = F.pmod(F.xxhash64(F.col("actual_types")[0]["column_name"]), F.lit(max(1, -(-single.count() // 2000))))
+    documents = single.groupBy(number.alias("document")).agg(F.flatten(F.collect_list("actual_types")).alias("actual_types"))
+    text = F.to_json(F.struct("actual_types"), {"pretty": "true"})
+    documents.select("document", text.alias("text")).repartition("document").write.partitionBy("document").text(folder)
+    return M.read_manual_labels(spark, f"{folder}/*")
 
 
 @query(f"""SELECT DISTINCT p.column_name, p.semantic_type FROM ({_predicted_sql('first')}) p JOIN ({MANUAL}) h

@@ -116,6 +116,15 @@ def combined_document(records: DataFrame, key: str, root: str) -> DataFrame:
 
 
 def write_combined(records: DataFrame, key: str, root: str, out: str) -> None:
-    """Text files that in order of their names make up one JSON document."""
-    lines = combined_document(records, key, root)
+    """Text files that in order of their names make up one JSON document, a record a line.
+
+    Records are sorted by ranges of their key, a file a range; head and tail are written with the first and the last range.
+    """
+    lines = combined_document(stored(records, "records"), key, root)
     lines.orderBy("section", "key", F.col("line").startswith(","), "line").select("line").write.mode("overwrite").text(out)
+
+
+def read_combined(spark: SparkSession, path: str, root: str, schema: str = PROFILE_SCHEMA) -> DataFrame:
+    """The records of a document that ``write_combined`` has written, line by line: no task reads the whole of it."""
+    lines = spark.read.text(path).where(~F.col("value").isin(f'{{"{root}":[', "]}"))
+    return lines.select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("r")).select("r.*")

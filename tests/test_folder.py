@@ -85,3 +85,15 @@ def test_five_hundred_datasets_in_one_job(spark, tmp_path):
     for i in (0, 19, 123, 499):
         row = got[f"set-{i:03}.tsv"]
         assert row["columns"][0]["data_types"][0]["count"] == i % 20 + 1 and row["columns"][1]["data_types"][0]["max_value"] == f"{i * (i % 20)}.5"
+
+
+def test_one_document_of_all_profiles(spark, folder, tmp_path):
+    profiles = profile_files(spark, str(folder))
+    out = tmp_path / "combined"
+    results.write_combined(profiles, "dataset_name", "datasets", str(out))
+    document = json.loads("".join(p.read_text() for p in sorted(out.glob("part-*"))))
+    assert list(document) == ["datasets"] and [d["dataset_name"] for d in document["datasets"]] == sorted(FILES)
+    back = {r["dataset_name"]: plain(r) for r in results.read_combined(spark, str(out), "datasets").drop("dataset_id").collect()}
+    assert back == {r["dataset_name"]: plain(r) for r in profiles.collect()}
+    results.write_combined(profiles.limit(0), "dataset_name", "datasets", str(out))
+    assert json.loads("".join(p.read_text() for p in sorted(out.glob("part-*")))) == {"datasets": []}

@@ -69,3 +69,31 @@ def test_label_results(spark, tmp_path):
     results.write_labels(nested, str(tmp_path / "out"))
     back = results.read_labels(spark, str(tmp_path / "out")).collect()
     assert sorted((r.column_name, [tuple(e) for e in r.semantic_types]) for r in back) == [("a.b", [("City", 2)]), ("c.d", [("Other", 1)])]
+
+
+def test_manual_label_documents(spark, tmp_path):
+    from colprism.sources.labels import read_manual_labels
+
+    (tmp_path / "a.json").write_text("""{
+      "actual_types": [
+        {"column_name": "x", "manual_labels": [{"semantic_type": "City"}, {"semantic_type": "Other", "sure": {"by": ["me"]}}]},
+        {"column_name": "y"}, {"manual_labels": [{"semantic_type": "Color"}]}, {"column_name": "z", "manual_labels": ["Zip_code", {}, 3]}
+      ], "more": 1
+    }""")
+    (tmp_path / "b.json").write_text('{"actual_types": [{"column_name": "w", "manual_labels": []}]}')
+    (tmp_path / "c.json").write_text("no json")
+    assert sorted(map(tuple, read_manual_labels(spark, str(tmp_path)).collect())) == [("x", "City"), ("x", "Other"), ("z", "Zip_code")]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "list.json").write_text('[{"column_name": "v", "manual_labels": [{"semantic_type": "City"}]}]')
+    assert [tuple(r) for r in read_manual_labels(spark, str(tmp_path / "d"), "$").collect()] == [("v", "City")]
+
+
+def test_stored_results_follow_their_tables(spark, tmp_path):
+    from colprism.catalog.registry import stored_once
+
+    calls = []
+    for rows in (3, 3, 4):
+        if not calls or rows == 4:
+            spark.range(rows).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+        stored_once(spark, str(tmp_path), "test", ["t"], calls.append)
+    assert len(calls) == 2
