@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 from ..operators import cells as L, counts as C, typing as Y
-from ..plans.folder import profile_files
+from ..plans.folder import profile_files, read_tsv_records
 from ..plans.profile import profile_dataset, profile_datasets
 from ..sources import results
 from ..sources.listing import list_datasets
@@ -279,6 +279,15 @@ def combined_profiles(spark, sf_dir):
     return _many_flat(results.read_combined(spark, folder, "datasets"))
 
 
+@query("SELECT doc_id, source, length(text) AS length, md5(text) AS digest FROM documents")
+def tsv_records(spark, sf_dir):
+    """The documents written as TSV, their line breaks inside quotes, and read back by all tasks."""
+    folder = os.path.join(results.scratch_folder(spark), f"records-{os.urandom(8).hex()}")
+    table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.csv(folder, sep="\t", header=True, quoteAll=True)
+    back = read_tsv_records(spark, folder)
+    return back.select("doc_id", "source", F.length("text").alias("length"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 ALL_TABLES = {
     "region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
     "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4,

@@ -17,13 +17,13 @@ from ..operators import typing as Y
 from ..operators.cells import SLOTS, blank_cell, value_text
 from ..sources import results
 from ..sources.listing import list_datasets
-from ..sources.tsv import read_tsv
-from .profile import TOP, assembled, nested, profile_datasets
+from ..sources.records import split_records
+from .profile import TOP, assembled, nested
 
-#: Bytes of a file that is read as one row; larger ones get a plan of their own.
+#: Bytes of a file that is read as one row; larger ones are split at their lines, with the same records.
 LARGEST = 16 << 20
-#: Records of a text: fields between tabs, where a field in quotes may hold tabs and line ends.
-_FIELD = r'(?:"(?:[^"\\]++|\\.|"")*+"[^\t\r\n]*+|[^\t\r\n]*+)'
+#: Records of a text: fields between tabs, where a field in quotes may hold tabs and line ends up to a quote without a backslash, or to the end.
+_FIELD = r'(?:"(?:[^"\\]++|\\.)*+(?:"[^\t\r\n]*+|\\?\z)|[^\t\r\n]*+)'
 _RECORD = rf"(?s)({_FIELD}(?:\t{_FIELD})*+)(?:\r\n|\r|\n|$)"
 
 
@@ -32,10 +32,19 @@ def file_name(path: Column) -> Column:
 
 
 def read_records(spark: SparkSession, path: str, dataset_of: Callable[[Column], Column] = file_name, largest: int = LARGEST) -> DataFrame:
-    """(dataset_name, path, place, record) of all files up to ``largest`` bytes; a file that cannot be read gives no row.
+    """(dataset_name, path, place, record) of all files; a file that cannot be read gives no row.
 
-    Records may run over line ends inside quotes.  Blank ones are left out; the first of a file is its header.
+    Records may run over line ends inside quotes.  Blank ones are left out; the first of a file, its header, has place 0.
+    Files up to ``largest`` bytes are a row each and cut by one pattern; larger ones go by ``split_records``.
     """
+    whole = _whole_files(spark, path, dataset_of, largest)
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length")
+    if sizes.where(F.col("length") > largest).isEmpty():
+        return whole
+    return whole.unionByName(split_records(spark, path, dataset_of, largest))
+
+
+def _whole_files(spark: SparkSession, path: str, dataset_of: Callable[[Column], Column], largest: int) -> DataFrame:
     files = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True, recursiveFileLookup=True)
     files = files.where(F.col("_metadata.file_size") <= largest).select(F.col("_metadata.file_path").alias("path"), "value")
     found = F.filter(F.regexp_extract_all("value", F.lit(_RECORD), 1), lambda r: r != "")
@@ -74,20 +83,24 @@ def _raw_counts(records: DataFrame, names: DataFrame, width: int) -> DataFrame:
 _WHOLE, _REAL, _MOMENT, _FLAG, _TEXT = range(5)
 
 
-def _inferred(counts: DataFrame) -> DataFrame:
-    """The type of each column by all its cells, in the order of the reader: whole numbers, reals, moments, flags, else text.
-
-    A type holds if each cell that is not empty reads as it.  Whole numbers that no long holds make a column REAL.
-    """
-    raw = F.col("raw")
+def _tests(raw: Column) -> dict[str, Column]:
+    """Whether a cell reads as each of the types; null for an empty one."""
     whole = raw.rlike(r"^[+-]?[0-9]+$")
-    tests = {
+    return {
         "is_whole": whole & raw.try_cast("bigint").isNotNull(),
         "is_real": raw.try_cast("double").isNotNull(),
         "is_moment": raw.try_cast("timestamp").isNotNull(),
         "is_flag": F.lower(raw).isin("true", "false"),
         "is_digits": whole & (F.length(raw) <= 38),
     }
+
+
+def _inferred(counts: DataFrame) -> DataFrame:
+    """The type of each column by all its cells, in the order of the reader: whole numbers, reals, moments, flags, else text.
+
+    A type holds if each cell that is not empty reads as it.  Whole numbers that no long holds make a column REAL.
+    """
+    tests = {n: F.when(F.col("raw").isNotNull(), t) for n, t in _tests(F.col("raw")).items()}
     flags = counts.where("raw IS NOT NULL").groupBy("dataset_name", "column_pos").agg(*[F.min(t.cast("int")).alias(n) for n, t in tests.items()])
     kind = F.when(F.col("is_whole") == 1, _WHOLE).when(F.col("is_real") == 1, _REAL).when(F.col("is_moment") == 1, _MOMENT).when(F.col("is_flag") == 1, _FLAG).otherwise(_TEXT)
     return flags.select("dataset_name", "column_pos", kind.alias("kind"), (F.col("is_digits") == 1).alias("digits"))
@@ -115,8 +128,8 @@ def profile_files(spark: SparkSession, path: str, dataset_of: Callable[[Column],
                   empty_as_text: bool = True, k: int = TOP) -> DataFrame:
     """The profiles of all datasets of a folder, each as ``profile_dataset`` gives it, from one job.
 
-    A dataset is the files of one ``dataset_of`` (path); each begins with the header.  Files over ``largest`` bytes and
-    files without a record are left out (``profile_folder`` sees to them).  Types are inferred from all cells.
+    A dataset is the files of one ``dataset_of`` (path); each begins with the header.  Files without a record are left out.
+    Types are inferred from all cells.
     """
     records = results.stored(read_records(spark, path, dataset_of, largest), "records")
     headers = results.stored(_headers(records), "headers")
@@ -130,21 +143,36 @@ def profile_files(spark: SparkSession, path: str, dataset_of: Callable[[Column],
     return nested(assembled(typed, names, k))
 
 
-def profile_folder(spark: SparkSession, path: str, out: str, largest: int = LARGEST, **options) -> DataFrame:
-    """Profile every dataset file below ``path`` and write one document each below ``out``; returns name, status and error.
+def profile_folder(spark: SparkSession, path: str, out: str, **options) -> DataFrame:
+    """Profile every dataset file below ``path`` in one job and write one document each below ``out``; returns name, status and error.
 
-    All files up to ``largest`` bytes are one job; each larger one is a job of its own.  A file that cannot be read, or holds no
-    record, fails alone: its status says so and the others are finished.  Files of no bytes are not listed.
+    A file that cannot be read, or holds no record, fails alone: its status says so and the others are finished.  Files of
+    no bytes are not listed.
     """
-    listed = list_datasets(spark, path).select("dataset_name", "path", "length")
-    profiles = results.stored(profile_files(spark, path, largest=largest, **options), "profiles")
+    listed = list_datasets(spark, path).select("dataset_name")
+    profiles = results.stored(profile_files(spark, path, **options), "profiles")
     results.write_profiles(profiles, out)
-    done = profiles.select("dataset_name", F.lit("finished").alias("status"))
-    large = {r["dataset_name"]: r["path"] for r in listed.where(F.col("length") > largest).collect()}
-    rest = listed.where(F.col("length") <= largest).select("dataset_name").join(done, "dataset_name", "left")
-    status = rest.select("dataset_name", F.coalesce("status", F.lit("failed")).alias("status"),
+    status = listed.join(profiles.select("dataset_name", F.lit("finished").alias("status")), "dataset_name", "left")
+    return status.select("dataset_name", F.coalesce("status", F.lit("failed")).alias("status"),
                          F.when(F.col("status").isNull(), "NoRecords: the file holds no record or cannot be read").alias("error"))
-    if not large:
-        return status
-    readers = {name: (lambda where=where: read_tsv(spark, where)) for name, where in large.items()}
-    return status.unionByName(profile_datasets(spark, readers, out, **options))
+
+
+def read_tsv_records(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
+    """What ``read_tsv`` gives for files whose records run over line ends, but split over all tasks.
+
+    Whole numbers read as bigint; those that no bigint holds make a column decimal(38,0).
+    """
+    records = results.stored(split_records(spark, path, lambda path: F.lit("all")), "records")
+    headers = _headers(records)
+    width = headers.agg(F.max("width")).first()[0]
+    if not width:
+        return spark.createDataFrame([], "_c0 string").drop("_c0")
+    names = [r["column_name"] for r in _names(headers, width).orderBy("column_pos").collect()]
+    cells = _parsed(records.where("place > 0"), width).select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)])
+    if raw:
+        return cells
+    quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    found = cells.select(*[F.min(F.when(c.isNotNull(), t).cast("int")).alias(f"{kind}{i}") for i, c in enumerate(quoted) for kind, t in _tests(c).items()]).first()
+    kinds = {"is_whole": "bigint", "is_digits": "decimal(38,0)", "is_real": "double", "is_moment": "timestamp", "is_flag": "boolean"}
+    typed = [next((t for kind, t in kinds.items() if found[f"{kind}{i}"] == 1), "string") for i in range(len(names))]
+    return cells.select(*[c.try_cast(t).alias(n) for c, t, n in zip(quoted, typed, names)])
