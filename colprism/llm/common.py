@@ -36,7 +36,24 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     spark, path = frame.sparkSession, scratch(frame.sparkSession, name)
     frame.write.parquet(path)
     drop_at_exit(spark, path)
-    return spark.read.schema(frame.schema).parquet(path)
+    back = spark.read.schema(frame.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete tables of ``written`` whose readers have all been written themselves; other frames are left alone.
+
+    The shuffle files of finished jobs go with the plans that hold them, once the driver's JVM looks for garbage: it is asked to.
+    """
+    for frame in frames:
+        path = getattr(frame, "_written", None)
+        if path is not None:
+            where = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            frame._written = None
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def fold(id_column: str = "doc_id") -> Column:

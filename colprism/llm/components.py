@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -12,7 +12,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round is a large star and a small star: nodes pass their smallest neighbour on, so paths halve. Minima are
     taken before rows are shuffled, and edges are never gathered: a hub of many links costs its links. Each round's
-    edges are a table in the shared folder. Rounds that run out before two agree raise an error.
+    edges are a table in the shared folder until the next round has read them. Rounds that run out before two agree raise an error.
     """
     now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
@@ -24,7 +24,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
         small = large.join(least, F.col("a") == F.col("k")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
+        last, now = now, written(small, "edges")
+        drop(last, large)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break

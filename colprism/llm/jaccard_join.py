@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACED, map_arrow, mix64, raw_texts, shingles, slices, words_of, written
+from .common import SPACED, drop, map_arrow, mix64, raw_texts, shingles, slices, words_of, written
 from .components import connected
 
 #: Lists up to this length compare all their sets at once.
@@ -246,17 +246,19 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
 
     seen = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe, "id bigint, n bigint, set bigint, sign array<bigint>, part int, counts binary")
     seen = written(seen, "sets")
-    known = seen.where(F.col("part").isNull()).select("id", "n", "set")
+    known = written(seen.where(F.col("part").isNull()).select("id", "n", "set"), "known")
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(_PART, np.uint32)
         for blob in table.column("counts"):
             total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     sketch = np.zeros(_COUNTERS, np.uint32)
-    for part, counts in seen.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
-        sketch[part * _PART : (part + 1) * _PART] = np.frombuffer(counts, np.uint32)
+    blobs = seen.where(F.col("part").isNotNull()).select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(64)).alias("lane"))
+    lanes = blobs.groupBy("part", "lane").applyInArrow(add, "part int, counts binary")  # in two levels: no task adds the counters of all others
+    for part, counts in lanes.groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        sketch[part * _PART : (part + 1) * _PART] = np.frombuffer(zlib.decompress(counts), np.uint32)
     total = int(sketch.sum(dtype=np.uint64))
     mean = total / _COUNTERS
     # Frequency classes: what stands out of the counters' noise, in powers of two.
@@ -319,6 +321,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
 
     sign_of = seen.where(F.col("n") > 0).groupBy("set").agg(F.any_value("sign").alias("sign"))
     sign_of = written(sign_of, "signs")
+    drop(seen)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         # Signs that differ in more bits than linked sets can differ in shingles rule a pair out before texts are fetched.
@@ -330,7 +333,9 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
         pairs = written(pairs, name)
         nodes = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
         texts = written(text_of(nodes), "texts")
-        return written(_verify(pairs, texts, shingle_words), "overlaps")
+        found = written(_verify(pairs, texts, shingle_words), "overlaps")
+        drop(pairs, texts)
+        return found
 
     first = verified(distinct(listed.where("kind < 2")), "pairs")
     links = first.where(linked).select("a", "b")
@@ -346,15 +351,20 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
     open_ = open_.withColumn("group", F.pmod(F.xxhash64("token"), F.lit(groups)).cast("int")).select("group", "token", "set", "size", "pos", "root", "gap")
     rest = open_.groupBy("group").applyInArrow(lambda table: _rest(table, percent), _LISTED)
     rest = written(rest, "rest")
+    drop(listed)
     second = distinct(rest).join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = verified(second, "more-pairs")
+    drop(rest, sign_of, first)
     new = second.where(linked).select("a", "b")
     if not new.isEmpty():
-        roots = written(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
+        before, roots = roots, written(connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)), "roots")
+        drop(before)
+    drop(second)
 
     rooted = owners.join(roots.withColumnRenamed("node", "set"), "set", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "set"))
     least = rooted.groupBy("root").agg(F.min("id").alias("least"))
     named = written(rooted.join(least, "root").select(F.col("set").alias("of"), "least"), "components")
+    drop(roots)
     out = known.join(named, (F.col("n") > 0) & (F.col("set") == F.col("of")), "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))

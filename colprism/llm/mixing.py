@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACED, annotate, raw_texts, slices, written
+from .common import SPACED, annotate, drop, raw_texts, slices, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -124,6 +124,7 @@ def mix(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     offset = F.lit(0.5)
     copies = (F.floor(F.col("rate") * k + offset + 1e-9) - F.floor(F.col("rate") * (k - 1) + offset + 1e-9)).cast("long")
     rounded = written(ranked.select("id", "source", "size", "draw", "part", "own", "source_size", "target", F.least(copies, F.lit(int(most))).alias("copies")), "rounded")
+    drop(counted, drawn)
 
     short = rounded.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
     open_ = _joined(rounded, short, ["source"])

@@ -19,11 +19,12 @@ from .common import map_arrow, mix64, raw_texts, written
 LENGTH = 400
 GRAM = 32
 #: Bytes of text that a shard holds, about; and bytes of queues that a task keeps in memory before they go to its disk.
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 4_000_000
 QUEUE_BYTES = 256_000_000
 #: An anchor of more occurrences than this is no shard's: its strings are counted one by one, over all tasks.
-HOT = 50_000
+HOT = 4_000
 _STRETCH = 2 << 20
+_HASHED = 1 << 18
 _BASE = 0xD1342543DE82EF95
 _VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _POWERS: list[np.ndarray] = []
@@ -44,14 +45,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every string of ``width`` bytes."""
-    n = len(data) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power[: len(data)], out=total[1:])
-    return mix64((total[width:] - total[:n]) * inverse[:n])
+    """A 64-bit hash of every string of ``width`` bytes, a stretch at a time."""
+    n = max(0, len(data) - width + 1)
+    out = np.empty(n, np.uint64)
+    for low in range(0, n, _HASHED):
+        high = min(n, low + _HASHED)
+        part = data[low : high + width - 1]
+        power, inverse = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * power[: len(part)], out=total[1:])
+        out[low:high] = mix64((total[width:] - total[: high - low]) * inverse[: high - low])
+    return out
 
 
 def anchors(data: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,8 +214,9 @@ def suffix_order(text: np.ndarray, letters: int, depth: int, limit: int = QUEUE_
     """
     n = len(text)
     step = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
-    at = np.where(step != 0, np.arange(n - 1), n)
+    at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
     following = np.minimum.accumulate(at[::-1])[::-1]
+    del at
     small = np.append(step[np.minimum(following, n - 2)] > 0, True)
     seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     inner = seeds[seeds < n - 1]
@@ -264,8 +269,9 @@ def shard_spans(owner: np.ndarray, start: np.ndarray, texts: list[bytes], length
     inside[(begins + sizes - length + 1)[whole]] -= 1
     inside = np.cumsum(inside, dtype=np.int8).astype(bool)
     places = np.flatnonzero(inside)
-    alike = mix64(np.arange(1, len(data) + 2, dtype=np.uint64)) >> np.uint64(1)
+    alike = np.arange(1, len(data) + 2, dtype=np.uint64)
     alike[places] = window_hashes(data, length)[places] | np.uint64(1 << 63)
+    del places, data
     order = suffix_order(np.append(letters, 0).astype(np.uint16), 258, length, limit, alike)
     order = order[inside[order]].astype(np.int64)
     entry = np.searchsorted(begins, order, "right") - 1
