@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import SPACED, drop, map_arrow, mix64, raw_texts, shingles, slices, words_of, written
@@ -184,6 +185,12 @@ def _rest(table: pa.Table, percent: int) -> pa.Table:
     return pa.Table.from_batches(out, schema=_LISTED_ARROW)
 
 
+def _pressed(texts: pa.Array) -> pa.Array:
+    """Texts compressed one by one, for the shuffles on their way to the pairs."""
+    press = zstandard.ZstdCompressor(level=1)
+    return pa.array([press.compress(t.as_buffer()) for t in texts.cast(pa.large_binary())], pa.binary())
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(a, b, a_size, b_size, overlap): exact overlaps from the whole texts of both sets."""
     left = texts.select(F.col("set").alias("a"), F.col("text").alias("a_text"))
@@ -196,7 +203,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             n = some.num_rows
             tokens: list[list[np.ndarray]] = [[], []]
             for side in (0, 1):
-                for _, _, found, _, borders in sets_of(some.column(4 + side), k):
+                open_ = zstandard.ZstdDecompressor()
+                texts = pa.array([open_.decompress(t.as_buffer()) for t in some.column(4 + side)], pa.large_binary())
+                for _, _, found, _, borders in sets_of(texts, k):
                     tokens[side] += np.split(found, borders[1:-1])
             overlap = np.array([len(np.intersect1d(tokens[0][i], tokens[1][i], assume_unique=True)) for i in range(n)], np.int64)
             yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(overlap)], names=["a", "b", "a_size", "b_size", "overlap"])
@@ -308,16 +317,17 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
         def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for low, high, tokens, _, borders in sets_of(batch.column(1), shingle_words):
                 right = digests(tokens, borders) == batch.column(0)[low:high].to_numpy()  # rows of one id may have several texts
-                yield batch.slice(low, high - low).filter(pa.array(right))
+                some = batch.slice(low, high - low).filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([some.column(0), _pressed(some.column(1))], names=["set", "text"])
 
         def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for low, high, tokens, _, borders in sets_of(batch.column(0), shingle_words):
-                yield pa.RecordBatch.from_arrays([pa.array(digests(tokens, borders)), batch.column(0)[low:high]], names=["set", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests(tokens, borders)), _pressed(batch.column(0)[low:high].fill_null(""))], names=["set", "text"])
 
         # Rows without id are many to one null: their sets are told by digest.
-        nameless = map_arrow(docs.where(number.isNull()).select("text"), name, "set bigint, text string")
+        nameless = map_arrow(docs.where(number.isNull()).select("text"), name, "set bigint, text binary")
         nameless = nameless.join(wanted.where(F.col("wanted").isNull()).select("set"), "set", "left_semi")
-        return map_arrow(found, check, "set bigint, text string").unionByName(nameless).dropDuplicates(["set"])
+        return map_arrow(found, check, "set bigint, text binary").unionByName(nameless).dropDuplicates(["set"])
 
     sign_of = seen.where(F.col("n") > 0).groupBy("set").agg(F.any_value("sign").alias("sign"))
     sign_of = written(sign_of, "signs")

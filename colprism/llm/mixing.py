@@ -61,35 +61,58 @@ def targets(sources: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share:
         F.coalesce(F.least(F.col("cap"), F.col("at") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def tilt(sizes: DataFrame, goals: DataFrame, *, tolerance: float = 1e-9, rounds: int = _ROUNDS) -> DataFrame:
-    """The entropy balancing weights: ``goals`` (source, target) with the multiplier ``dual`` of each source.
+def rate(size: Column, target: Column, source_size: Column, dual: Column, unit: Column, most: float) -> Column:
+    """The rate of a document: its exponential tilt, at most ``most``; all there is where the target asks for it."""
+    tilted = F.least(F.lit(float(most)), F.exp(dual * size / unit))
+    return F.when(target <= 0, 0.0).when(target >= most * source_size * (1 - 1e-12), float(most)).otherwise(tilted)
 
-    Among all document rates r >= 0 whose words sum to the target of every source, the balancing takes those nearest to
-    1 in the relative entropy of words, sum of size * (r log r - r + 1). Its dual has one multiplier per source and the
-    optimum is r = exp(dual). Newton's method minimises the convex dual, sum(size * exp(dual)) - dual * target; each
-    iteration is one distributed sum over (source, size, documents), and a step of the diagonal Hessian, at most 2 long.
+
+def tilt(sizes: DataFrame, goals: DataFrame, *, most: float = MOST, tolerance: float = 1e-10, rounds: int = _ROUNDS) -> DataFrame:
+    """The entropy balancing weights: ``goals`` (source, source_size, target) with the multiplier ``dual`` and the ``unit`` of each source.
+
+    Among all document rates 0 <= r <= ``most`` whose words, sum of r * size, are the target of every source, the balancing
+    takes those nearest to 1 in relative entropy, the sum over documents of r log r - r + 1. The optimum is
+    r = min(most, exp(dual * size / unit)): a document is tilted by its size, in units of its source's mean size.
+
+    Newton's method minimises the convex dual, whose gradient is taken - target and whose Hessian is the sum of
+    size^2 / unit * r over the documents below ``most``. Each iteration is one distributed sum over (source, size,
+    documents). Steps are at most 2 long; one that leaves the bracket of the signs seen so far goes to its middle.
     """
-    goals = goals.withColumn("dual", F.lit(0.0))
+    mean = sizes.groupBy("source").agg((F.sum(F.col("documents") * F.col("size")) / F.sum(F.when(F.col("size") > 0, F.col("documents")))).alias("unit"))
+    goals = _joined(goals, mean, ["source"]).withColumn("unit", F.coalesce("unit", F.lit(1.0)))
+    open_ = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12))
+    goals = goals.withColumn("dual", F.lit(0.0)).withColumn("low", F.lit(float("-inf"))).withColumn("high", F.lit(float("inf")))
+    state = written(goals, "dual")
     for _ in range(rounds):
-        rated = sizes.join(goals, sizes["source"].eqNullSafe(goals["source"])).select(goals["source"], "target", "dual", "size", "documents")
+        rated = _joined(sizes, state.where(open_), ["source"])
+        words, tilted = F.col("documents") * F.col("size"), F.exp(F.col("dual") * F.col("size") / F.col("unit"))
         moments = rated.groupBy("source").agg(
-            F.first("target").alias("target"), F.first("dual").alias("dual"),
-            F.sum(F.col("documents") * F.col("size") * F.exp("dual")).alias("taken"))
-        step = F.when(F.col("taken") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("target") - F.col("taken")) / F.col("taken")))).otherwise(0.0)
-        off = F.when(F.col("target") > 0, F.abs(F.col("taken") - F.col("target")) / F.col("target")).otherwise(0.0)
-        moved = written(moments.select("source", "target", (F.col("dual") + step).alias("dual"), off.alias("off")), "dual")
-        goals = moved.select("source", "target", "dual")
-        if (moved.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
+            F.sum(words * F.least(F.lit(float(most)), tilted)).alias("taken"),
+            F.sum(F.when(tilted < most, words * F.col("size") / F.col("unit") * tilted).otherwise(0.0)).alias("slope"))
+        here = state.alias("s").join(moments.alias("m"), F.col("s.source").eqNullSafe(F.col("m.source")), "left")
+        short = F.col("target") - F.col("taken")
+        low, high = F.when(short > 0, F.col("dual")).otherwise(F.col("low")), F.when(short < 0, F.col("dual")).otherwise(F.col("high"))
+        moved = here.select("s.source", "source_size", "target", "unit", "dual", low.alias("low"), high.alias("high"), short.alias("short"), "slope", F.col("taken").isNotNull().alias("live"))
+        step = F.when(F.col("slope") > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("short") / F.col("slope")))).otherwise(2.0 * F.signum("short"))
+        new = F.col("dual") + step
+        new = F.when((new > F.col("low")) & (new < F.col("high")), new).otherwise((F.col("low") + F.col("high")) / 2)
+        moved = moved.withColumn("off", F.abs(F.col("short")) / F.col("target"))
+        moved = moved.withColumn("dual", F.when(F.col("live") & (F.col("off") > tolerance), new).otherwise(F.col("dual")))
+        last, state = state, written(moved.select(*goals.columns, "off"), "dual")
+        drop(last)
+        if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-    return goals
+        state, kept = state.drop("off"), state
+        state._written = kept._written
+    return state.select("source", "source_size", "target", "unit", "dual")
 
 
 def mix(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
         weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """Every document with ``size``, ``source_size``, ``target`` (of its source), ``copies`` and ``taken`` (words).
 
-    Rates from ``tilt`` become whole copies by systematic rounding: the documents of a source stand in the order of
-    their size, then of a hash of their id; each takes as many copies as the running sum of rates passes whole numbers.
+    Rates from ``tilt``, which differ with a document's size, become whole copies by systematic rounding: the documents of a source stand in the order of
+    their size, then of a hash of their id; each takes as many copies as the running sum of rates passes whole numbers on it.
     So every stretch of similar sizes gives its share and the words taken come within a document of the target. What is
     still missing or over is mended by one copy of one document of fitting size, if that brings the source nearer.
 
@@ -105,24 +128,21 @@ def mix(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "
     cells = written(counted.groupBy("source", "size").agg(F.count(F.lit(1)).alias("documents")), "size-counts")
     goals = targets(cells.groupBy("source").agg(F.sum(F.col("documents") * F.col("size")).alias("source_size")), weights=weights, share=share, most=most)
     goals = written(goals, "targets")
-    duals = tilt(cells, goals.select("source", "target"))
-    rates = goals.join(duals.select(F.col("source").alias("of"), "dual"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rates = rates.withColumn("rate", F.when(F.col("target") > 0, F.least(F.lit(float(most)), F.exp("dual"))).otherwise(0.0)).drop("dual")
+    rates = tilt(cells, goals, most=most)
+    of_size = rate(F.col("size"), F.col("target"), F.col("source_size"), F.col("dual"), F.col("unit"), most)
 
     parts = F.ceil(F.col("documents") / _RANKED)
     split = cells.select("source", "size", parts.alias("parts"))
     drawn = _joined(counted, split, ["source", "size"]).withColumn("part", F.pmod("draw", F.col("parts"))).drop("parts")
     drawn = written(drawn, "drawn")
     ordered = Window.partitionBy("source").orderBy("size", "part").rowsBetween(Window.unboundedPreceding, -1)
-    before = drawn.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0))).drop("n")
+    before = _joined(drawn.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n")), rates, ["source"]).withColumn("rate", of_size)
+    before = before.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(ordered), F.lit(0.0))).drop("n", "dual", "unit")
     own = Window.partitionBy("source", "size", "part").orderBy("draw", "id")
     ranked = drawn.withColumn("own", F.row_number().over(own))
     ranked = _joined(ranked, before, ["source", "size", "part"])
-    ranked = _joined(ranked, rates, ["source"])
-    k = F.col("before") + F.col("own")
-    offset = F.lit(0.5)
-    copies = (F.floor(F.col("rate") * k + offset + 1e-9) - F.floor(F.col("rate") * (k - 1) + offset + 1e-9)).cast("long")
+    upto = lambda k: F.floor(F.col("before") + F.col("rate") * k + F.lit(0.5 + 1e-9))
+    copies = (upto(F.col("own")) - upto(F.col("own") - 1)).cast("long")
     rounded = written(ranked.select("id", "source", "size", "draw", "part", "own", "source_size", "target", F.least(copies, F.lit(int(most))).alias("copies")), "rounded")
     drop(counted, drawn)
 

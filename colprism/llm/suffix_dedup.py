@@ -22,7 +22,7 @@ GRAM = 32
 SHARD_BYTES = 4_000_000
 QUEUE_BYTES = 256_000_000
 #: An anchor of more occurrences than this is no shard's: its strings are counted one by one, over all tasks.
-HOT = 4_000
+HOT = 20_000
 _STRETCH = 2 << 20
 _HASHED = 1 << 18
 _BASE = 0xD1342543DE82EF95
@@ -218,6 +218,7 @@ def suffix_order(text: np.ndarray, letters: int, depth: int, limit: int = QUEUE_
     following = np.minimum.accumulate(at[::-1])[::-1]
     del at
     small = np.append(step[np.minimum(following, n - 2)] > 0, True)
+    del following, step
     seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     inner = seeds[seeds < n - 1]
     if len(inner) > 1:
@@ -273,11 +274,15 @@ def shard_spans(owner: np.ndarray, start: np.ndarray, texts: list[bytes], length
     alike[places] = window_hashes(data, length)[places] | np.uint64(1 << 63)
     del places, data
     order = suffix_order(np.append(letters, 0).astype(np.uint16), 258, length, limit, alike)
-    order = order[inside[order]].astype(np.int64)
-    entry = np.searchsorted(begins, order, "right") - 1
-    offset = order - begins[entry]
+    del letters
+    order = order[inside[order]]
+    alike = alike[order]
     same = np.zeros(len(order), bool)
-    same[1:] = alike[order[1:]] == alike[order[:-1]]
+    same[1:] = alike[1:] == alike[:-1]
+    del alike, inside
+    entry = (np.searchsorted(begins, order, "right") - 1).astype(np.int32)
+    offset = order - begins[entry].astype(np.int32)
+    del order
     # A run of equal strings is repeated if it lies at two places: (document, byte) of one of each entry.
     one = np.zeros(len(distinct), np.int64)
     one[which] = np.arange(len(which))

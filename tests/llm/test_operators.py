@@ -239,11 +239,32 @@ def test_mixing(docs, rows, none):
     assert mixed.columns == docs.columns and mixing.apply_mix(none).count() == 0
 
 
-def test_newton_reaches_targets(spark):
-    cells = spark.createDataFrame([("a", 10, 5), ("a", 100, 2), (None, 7, 3), ("b", 0, 4)], "source string, size bigint, documents bigint")
-    goals = spark.createDataFrame([("a", 400.0), (None, 2.1), ("b", 0.0)], "source string, target double")
-    duals = {r["source"]: r["dual"] for r in mixing.tilt(cells, goals).collect()}
-    assert np.exp(duals["a"]) * 250 == pytest.approx(400) and np.exp(duals[None]) * 21 == pytest.approx(2.1)
+def test_newton_agrees_with_a_plain_solver(spark):
+    random_ = random.Random(5)
+    cells = [(s, size, random_.randint(1, 40)) for s in ("a", "b", None) for size in random_.sample(range(1, 20_000), 25)]
+    cells += [("one", 10, 5), ("one", 100, 2), ("empty", 0, 4), ("full", 50, 3), ("full", 60, 1), ("none", 70, 2)]
+    whole = collections.Counter()
+    for s, size, n in cells:
+        whole[s] += size * n
+    goals = {"a": 0.31 * whole["a"], "b": 1.7 * whole["b"], None: 1.02 * whole[None], "one": 400.0, "empty": 0.0, "full": 2.0 * whole["full"], "none": 0.0}
+    frame = spark.createDataFrame(cells, "source string, size bigint, documents bigint")
+    table = spark.createDataFrame([(s, whole[s], t) for s, t in goals.items()], "source string, source_size bigint, target double")
+    found = {r["source"]: r for r in mixing.tilt(frame, table).collect()}
+    assert set(found) == set(goals)
+
+    def rates(s, dual):
+        return {size: min(2.0, np.exp(min(700.0, dual * size / found[s]["unit"]))) for t, size, _ in cells if t == s}
+
+    for s in ("a", "b", None, "one"):
+        low, high = -1e3, 1e3  # bisection of the same dual
+        for _ in range(200):
+            middle = (low + high) / 2
+            taken = sum(n * size * rates(s, middle)[size] for t, size, n in cells if t == s)
+            low, high = (middle, high) if taken < goals[s] else (low, middle)
+        want, got = rates(s, low), rates(s, found[s]["dual"])
+        assert all(abs(want[size] - got[size]) < 1e-6 for size in want)
+        assert sum(n * size * got[size] for t, size, n in cells if t == s) == pytest.approx(goals[s], rel=1e-8)
+        assert len(set(round(r, 6) for r in got.values())) > 1  # rates differ with size
 
 
 def test_jaccard_join(docs, rows, none):
