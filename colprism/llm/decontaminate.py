@@ -12,7 +12,7 @@ from .common import ALPHANUMERIC, annotate, mix64, raw_texts, slices, words_of
 
 WINDOW = 13
 #: Characters of benchmark texts whose tables go to the tasks together; more texts are searched block after block.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 1_500_000
 #: Windows of a document that one cursor walks over.
 _RUN = 1024
 
