@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACED, drop, map_arrow, mix64, raw_texts, shingles, slices, words_of, written
+from .common import SPACED, drop, give_back, map_arrow, mix64, raw_texts, shingles, slices, words_of, written
 from .components import connected
 
 #: Lists up to this length compare all their sets at once.
@@ -252,6 +252,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
         blobs = [zlib.compress(counters[p * _PART : (p + 1) * _PART].tobytes(), 1) for p in parts]
         if parts:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.list_(pa.int64())), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        give_back()
 
     seen = docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(describe, "id bigint, n bigint, set bigint, sign array<bigint>, part int, counts binary")
     seen = written(seen, "sets")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import annotate, mix64, raw_texts, slices
+from .common import annotate, give_back, mix64, raw_texts, slices
 
 DIMENSION = 1024
 UNDETERMINED = "und"
@@ -143,6 +143,7 @@ def train_prototypes(documents: DataFrame, *, text_column: str = "text", lang_co
                 sums = {}
         if sums:
             yield out()
+        give_back()
 
     places = known.mapInArrow(run, "lang string, bundle array<bigint>").select("lang", F.posexplode("bundle").alias("place", "value"))
     rows = places.groupBy("lang", "place").agg(F.sum("value").alias("value")).limit(max_languages * dimension + 1).collect()

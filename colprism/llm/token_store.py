@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import SPACED, drop_at_exit, mix64, raw_texts, scratch, slices, words_of, written
+from .common import SPACED, drop_at_exit, give_back, mix64, raw_texts, scratch, slices, words_of, written
 
 BLOCK_IDS = 65536
 CHUNK_IDS = 1 << 20
@@ -194,6 +194,9 @@ def _encoded(documents: DataFrame, id_column: str, text_column: str, tokenizer_p
                     pa.array([press.compress(b"".join(split_planes(x, "byte"))) for x in rows], pa.binary()),
                     pa.array([len(x) for x in rows], pa.int64()),
                 ], names=["id", "mark", "part", "ids", "n"])
+        if by_word:
+            _tokenizer(tokenizer_path)[3] = {}  # the older words; the latest stay for the next task
+        give_back()
 
     rows = documents.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
