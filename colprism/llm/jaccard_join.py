@@ -25,6 +25,8 @@ from .components import connected
 SHORT = 8
 #: Counters of the sketch of shingle frequencies, and of a part of it.
 _COUNTERS, _PART = 1 << 22, 1 << 16
+#: Bytes of text whose shingles are made at a time: the arrays take some forty times the bytes.
+_SLICE = 1 << 20
 #: Entries of the index that one group holds, about.
 _GROUP = 400_000
 _BLOCK = 64
@@ -37,7 +39,7 @@ _ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per slice: first and last row, the distinct 48-bit shingles of all rows (row after row, ascending), their row, and borders."""
     data, offsets = raw_texts(column)
-    for begin, end in slices(offsets):
+    for begin, end in slices(offsets, _SLICE):
         for low in range(begin, end, 60_000):
             high = min(end, low + 60_000)
             part = data[offsets[low] : offsets[high]]
@@ -241,7 +243,7 @@ def similar_groups(documents: DataFrame, *, id_column: str = "doc_id", text_colu
         names = ["id", "n", "set", "sign", "part", "counts"]
         for batch in batches:
             for low, high, tokens, row, borders in sets_of(batch.column(1), shingle_words):
-                counters += np.bincount((tokens & np.uint64(_COUNTERS - 1)).astype(np.int64), minlength=_COUNTERS).astype(np.uint32)
+                np.add.at(counters, (tokens & np.uint64(_COUNTERS - 1)).astype(np.int64), 1)
                 size = high - low
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[low:high], pa.array(np.diff(borders)), pa.array(digests(tokens, borders)),
