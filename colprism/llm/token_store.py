@@ -62,13 +62,18 @@ def unpack(blocks: list[list[bytes]], n: int, block_ids: int) -> np.ndarray:
 
 
 _LOADED: dict = {}
-#: Words, after A-Z are lower-cased, that no normalising step changes and that are one piece, with a full stop or comma, a piece of its own.
-_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
+#: Words, after A-Z are lower-cased, that no normalising step changes and that are one piece, and marks behind them (all of
+#: ASCII but the apostrophe, which may begin an ending such as 's), a piece of their own.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: The commonest marks, by number.
+_STOPS = {".": 1, ",": 2}
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
 
 def _tokenizer(path: str) -> list:
     """The tokenizer of a file; one that only spells and merges words; the words that this process encoded lately, and
-    those before: by word the ids as bytes."""
+    those before: by word the ids as bytes; the ids of each stop by its number, none for 0."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -77,7 +82,9 @@ def _tokenizer(path: str) -> list:
             bare = json.load(file)
         spell = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         bare |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spell]}}
-        _LOADED[path] = [Tokenizer.from_file(path), Tokenizer.from_str(json.dumps(bare)), {}, {}]
+        whole = Tokenizer.from_file(path)
+        stops = [np.array(whole.encode(stop, add_special_tokens=False).ids, "<u4") for stop in ["", *_STOPS]]
+        _LOADED[path] = [whole, Tokenizer.from_str(json.dumps(bare)), {}, {}, stops]
     return _LOADED[path]
 
 
@@ -93,40 +100,66 @@ def _merged(bare, words: list[str]) -> Iterator[bytes]:
             yield from (data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True))
 
 
-def _learn(loaded: list, words: list[bytes]) -> None:
-    """Remember the ids of new words: plain ones by their merges, all others by every step of the tokenizer."""
-    tokenizer, bare, known, before = loaded
-    cores, ends, rest = {}, [], []
-    for word in words:
-        if plain := _PLAIN.fullmatch(word.lower().decode()):
-            core, stop = plain.groups()
-            name = word[:-1] if stop else word
+def _learn(loaded: list, plain: list[bytes], others: list[bytes]) -> None:
+    """Remember the ids of new words: plain ones by their merges, all others by every step of the tokenizer.
+
+    ``plain`` are words of the letters a to z; a word of ``others`` is looked at for letters beyond ASCII.
+    """
+    tokenizer, bare, known = loaded[:3]
+    cores, ends, rest = dict(zip(plain, (w.decode() for w in plain))), [], []
+    for word in others:
+        if found := _PLAIN.fullmatch(word.lower().decode()):
+            core, marks = found.groups()
+            name = word[: len(word) - len(marks)]
             if name not in known:
                 cores[name] = core
-            if stop:
-                ends.append((word, name, stop))
+            if marks:
+                ends.append((word, name, marks))
         else:
             rest.append(word)
     known.update(zip(cores, _merged(bare, list(cores.values()))))
-    stops = {stop: np.array(tokenizer.encode(stop, add_special_tokens=False).ids, "<u4").tobytes() for stop in ".,"}
-    known.update((word, known[name] + stops[stop]) for word, name, stop in ends)
+    runs = list({marks for _, _, marks in ends})
+    behind = {marks: np.array(e.ids, "<u4").tobytes() for marks, e in zip(runs, tokenizer.encode_batch_fast(runs, add_special_tokens=False))}
+    known.update((word, known[name] + behind[marks]) for word, name, marks in ends)
     for i in range(0, len(rest), 4096):
         texts = [w.decode() for w in rest[i : i + 4096]]
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest[i:], tokenizer.encode_batch_fast(texts, add_special_tokens=False)))
 
 
+def _stops(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the stops that end a word of ASCII letters, and the number of each stop."""
+    place = np.flatnonzero((data == 46) | (data == 44))
+    text = np.searchsorted(offsets, place, "right") - 1
+    follows = data[np.minimum(place + 1, len(data) - 1)]
+    place, text = (x[(place + 1 == offsets[text + 1]) | ~SPACED[follows]] for x in (place, text))
+    border = np.flatnonzero(~_LETTER[data])
+    before = np.searchsorted(border, place) - 1  # the last byte before the stop that is no letter
+    before = np.where(before >= 0, border[before], -1)
+    begin = offsets[text]
+    good = np.where(before < begin, place > begin, ~SPACED[data[before]] & (before < place - 1))
+    place = place[good]
+    return place, np.where(data[place] == 46, 1, 2)
+
+
 def encode_words(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
     """The ids of each text, for tokenizers that lower-case and treat ASCII white space as a border only.
 
     Words are told apart by 64-bit hashes; each word of a batch is looked up once, and encoded once while it is remembered.
+    A stop behind ASCII letters is set apart first, so that a word is the same before it as elsewhere.
     Only words of ASCII are lower-cased before: NFC joins some marks with small letters alone (h, j, t, w and y have such),
     so a word with a byte beyond ASCII stays as it is.
     Texts that may hold the name of a special token, which is no matter of words, are encoded as they are.
     """
     loaded = _tokenizer(path)
-    hashes, first, last, counts = words_of(data, offsets, SPACED)
-    wide = np.logical_or.reduceat(data > 0x7F, first) if len(first) else np.zeros(0, bool)
-    capitals = np.flatnonzero((data >= 65) & (data <= 90))
+    place, kind = _stops(data, offsets)
+    bare = data.copy()
+    bare[place] = 32
+    hashes, first, last, counts = words_of(bare, offsets, SPACED)
+    stop = np.zeros(len(hashes), np.int64)
+    stop[np.searchsorted(first, place) - 1] = kind
+    wide = np.logical_or.reduceat(bare > 0x7F, first) if len(first) else np.zeros(0, bool)
+    mixed = np.logical_or.reduceat(SPACED[bare] & ~_LETTER[bare], first) if len(first) else wide
+    capitals = np.flatnonzero((bare >= 65) & (bare <= 90))
     owner = np.searchsorted(first, capitals, "right") - 1
     capitals, owner = capitals[wide[owner]], owner[wide[owner]]
     cased = np.zeros(len(hashes), np.uint64)
@@ -136,20 +169,37 @@ def encode_words(data: np.ndarray, offsets: np.ndarray, path: str) -> list[np.nd
     raw = data.tobytes()
     low = raw.lower()
     words = [raw[a:b] if w else low[a:b] for a, b, w in zip(first[index].tolist(), last[index].tolist(), wide[index].tolist())]
-    unknown = [w for w in words if w not in loaded[2]]
-    if len(loaded[2]) + len(unknown) > _WORDS:
-        loaded[2], loaded[3] = {}, loaded[2]
-        unknown = words
-    again = [w for w in unknown if w in loaded[3]]
-    loaded[2].update((w, loaded[3][w]) for w in again)
-    _learn(loaded, [w for w in unknown if w not in loaded[2]])
-    found = list(map(loaded[2].__getitem__, words))
+    other = mixed[index].tolist()
+    known, before = loaded[2], loaded[3]
+    unknown = [i for i, w in enumerate(words) if w not in known]
+    if len(known) + len(unknown) > _WORDS:
+        before = loaded[3] = known
+        known = loaded[2] = {}
+        unknown = range(len(words))
+    new = []
+    for i in unknown:
+        if (ids := before.get(words[i])) is None:
+            new.append(i)
+        else:
+            known[words[i]] = ids
+    _learn(loaded, [words[i] for i in new if not other[i]], [words[i] for i in new if other[i]])
+    found = list(map(known.__getitem__, words))
     ids = np.frombuffer(b"".join(found), "<u4")
     size = np.fromiter(map(len, found), np.int64, len(found)) // 4
     begin = np.cumsum(size) - size
-    each = size[inverse]
+    ends = loaded[4]
+    extra = np.array([len(x) for x in ends])[stop]
+    own = size[inverse]
+    each = own + extra
     total = np.concatenate(([0], np.cumsum(each)))
-    flat = ids[np.repeat(begin[inverse] - total[:-1], each) + np.arange(total[-1])]
+    flat = np.empty(total[-1], "<u4")
+    start = total[:-1]
+    at = np.repeat(start, own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+    flat[at] = ids[np.repeat(begin[inverse] - (np.cumsum(own) - own), own) + np.arange(len(at))]
+    for number in range(1, len(ends)):
+        behind = (start + own)[stop == number]
+        for i, value in enumerate(ends[number]):
+            flat[behind + i] = value
     cuts = total[counts]
     out = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
     if b"<|" in raw:

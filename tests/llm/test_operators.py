@@ -206,6 +206,26 @@ def test_marks_that_join_small_letters_only():
             assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_marks_behind_words():
+    """Words with marks behind, between and before them, letters beyond ASCII and odd spaces: the ids of the whole text."""
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    parts = [
+        "a", "B", "z", "\u00e9", "\u00c9", "\u00df", "\u0178", "\u0331", "H", "\u01f0", "1", "23", ".", ",", "..", ".,", "'", "'s", "'S", "&&&", "-", "--", "$",
+        "<", "|", ">", "</s>", "<|x|>", " ", "  ", "\n", "\t", "\u65e5\u672c", "\x1c", "\x85", "\u212a", "\u0130", "_", "^", "`", "~", "[", "]", " a.", " the,", "A.", "Hello,",
+    ]
+    random = np.random.default_rng(5)
+    texts = ["".join(parts[i] for i in random.integers(0, len(parts), n)) for n in random.integers(0, 25, 4000)]
+    raw = [t.encode() for t in texts]
+    for some in (slice(0, 1), slice(0, 0), slice(None)):
+        found = token_store.encode_words(np.frombuffer(b"".join(raw[some]), np.uint8), np.cumsum([0, *map(len, raw[some])]), path)
+        want = tokenizer.encode_batch(texts[some], add_special_tokens=False)
+        assert [x.tolist() for x in found] == [e.ids for e in want]
+
+
 def test_mixing(docs, rows, none):
     size = lambda t: len((t or "").encode().split())
     got = mixing.mix(docs).collect()
