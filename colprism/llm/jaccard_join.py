@@ -32,6 +32,8 @@ _GROUP = 400_000
 _BLOCK = 64
 #: Bits of a set's sign: bit i tells whether an odd number of its shingles falls on i.
 _SIGN = 1024
+#: Sets whose signs are counted at a time.
+_SIGNED = 2048
 _PAIRS = 2_000_000
 _ENTRY = np.dtype([("token", "<u8"), ("set", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
@@ -65,8 +67,13 @@ def digests(tokens: np.ndarray, borders: np.ndarray) -> np.ndarray:
 def signs(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Signs of sets, as 64-bit words. Two signs differ in no more bits than their sets do in shingles."""
     bit = (mix64(tokens + np.uint64(7)) % np.uint64(_SIGN)).astype(np.int64)
-    odd = (np.bincount(row * _SIGN + bit, minlength=rows * _SIGN) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(rows, _SIGN), axis=1).view(np.int64)
+    out = np.zeros((rows, _SIGN // 64), np.int64)
+    for low in range(0, rows, _SIGNED):
+        height = min(_SIGNED, rows - low)
+        begin, end = np.searchsorted(row, [low, low + height])
+        odd = (np.bincount((row[begin:end] - low) * _SIGN + bit[begin:end], minlength=height * _SIGN) & 1).astype(np.uint8)
+        out[low : low + height] = np.packbits(odd.reshape(height, _SIGN), axis=1).view(np.int64)
+    return out
 
 
 def _least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
