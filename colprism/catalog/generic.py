@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
-from ..operators import cells as L, counts as C, typing as Y
+from ..operators import cells as L, counts as C, typing as Y, wide as W
 from ..plans.folder import profile_files, read_tsv_records
 from ..plans.profile import profile_dataset, profile_datasets
 from ..sources import results
@@ -373,3 +373,37 @@ def similarity_score(spark, sf_dir):
     return parts.select(
         "p_partkey", "p_name", "p_type", F.round(X.similarity(F.col("p_name"), F.lower("p_type")), 6).alias("score")
     )
+
+
+# Whole texts of two tables, which stay where they are until five of them are shown.
+WIDE = {"documents": "text", "pages": "html"}
+WIDE_COUNTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, coalesce({c}, '') AS value, count(*) AS cnt FROM {t} GROUP BY ALL" for t, c in WIDE.items())
+
+
+def _wide(spark, sf_dir, operator) -> DataFrame:
+    frames = [table(spark, sf_dir, t).select(c) for t, c in WIDE.items()]
+    return _union(operator(W.value_counts(df), df) for df in frames)
+
+
+@query(rf"""SELECT column_name, CAST(sum(cnt) AS BIGINT) AS n_rows,
+    CAST(sum(CASE WHEN regexp_matches(value, '^\s*$') THEN 0 ELSE cnt END) AS BIGINT) AS n_non_empty,
+    CAST(sum(CASE WHEN regexp_matches(value, '^\s*$') THEN cnt ELSE 0 END) AS BIGINT) AS n_empty,
+    count(*) AS n_distinct FROM ({WIDE_COUNTS}) GROUP BY ALL""")
+def wide_column_counts(spark, sf_dir):
+    return _wide(spark, sf_dir, lambda counts, df: C.column_counts(counts).drop("column_pos"))
+
+
+@query(f"""SELECT * FROM (SELECT column_name, value, cnt,
+    CAST(row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS INTEGER) AS rank FROM ({WIDE_COUNTS})) WHERE rank <= 5""")
+def wide_top5_frequent(spark, sf_dir):
+    return _wide(spark, sf_dir, lambda counts, df: W.top_frequent(counts, df).drop("column_pos"))
+
+
+@query(rf"""SELECT * FROM (SELECT column_name, value, length,
+    CAST(row_number() OVER (PARTITION BY column_name ORDER BY length DESC, value) AS INTEGER) AS rank FROM (
+        SELECT column_name, value, CAST(CASE WHEN regexp_matches(value, '^\s*$') THEN 0 ELSE length(value) END AS INTEGER) AS length
+        FROM ({WIDE_COUNTS}), range(cnt))) WHERE rank <= 5""")
+def wide_text_longest(spark, sf_dir):
+    longest = lambda counts, df: W.text_by_length(W.typed(counts), df, longest=True)
+    return _wide(spark, sf_dir, longest).select("column_name", "value", "length", "rank")

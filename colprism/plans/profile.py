@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import counts as C, typing as Y
+from ..operators import counts as C, typing as Y, wide as W
 from ..operators.cells import value_counts
 from ..sources import results
 
@@ -27,13 +27,16 @@ def _by(df: DataFrame) -> list[str]:
     return [c for c in ("dataset_name", "column_pos") if c in df.columns]
 
 
-def _shown_values(typed: DataFrame, k: int) -> DataFrame:
-    """The values a profile shows, at most 3 k per column: list, rank, value.
+def _shown_values(typed: DataFrame, k: int, source: DataFrame | None) -> DataFrame:
+    """The values a profile shows, at most 3 k per column: list, rank, value; from the ``source`` where ``typed`` holds stand-ins.
 
     Spark 4.1 takes a union of frames dealt alike for one dealt alike, and then merges the partitions of each at run
     time in another way; so the column's number is an expression, by which the frames are not dealt.
     """
-    frames = [C.top_frequent(typed, k), Y.text_by_length(typed, longest=False, k=k), Y.text_by_length(typed, longest=True, k=k)]
+    if source is None:
+        frames = [C.top_frequent(typed, k), Y.text_by_length(typed, longest=False, k=k), Y.text_by_length(typed, longest=True, k=k)]
+    else:
+        frames = [W.top_frequent(typed, source, k), *[W.text_by_length(typed, source, longest, k) for longest in (False, True)]]
     by = [c for c in _by(typed) if c != "column_pos"]
     return reduce(DataFrame.unionByName, [
         frame.select(F.lit(name).alias("list"), *by, F.expr("column_pos | 0").alias("column_pos"), "rank", "value")
@@ -49,15 +52,16 @@ def _lists(shown: DataFrame) -> DataFrame:
     )
 
 
-def assembled(typed: DataFrame, names: DataFrame, k: int = TOP) -> DataFrame:
+def assembled(typed: DataFrame, names: DataFrame, k: int = TOP, source: DataFrame | None = None) -> DataFrame:
     """One row per column of ``names`` (key, column_name) with counts, most frequent values and an array of type entries.
 
-    ``typed`` holds the typed distinct values of one dataset or, with ``dataset_name``, of many.
+    ``typed`` holds the typed distinct values of one dataset or, with ``dataset_name``, of many; with ``source``, those of
+    ``operators.wide`` of that one dataset.
     """
     by = _by(typed)
     ends = Y.extremes(typed).select(*by, "type", "max_value", "min_value")
     types = Y.full_stats(typed).join(ends, [*by, "type"], "left")
-    lists = _lists(_shown_values(typed, k))
+    lists = _lists(_shown_values(typed, k, source))
     types = types.join(lists.drop("frequent_values"), by, "left")
     is_text = F.col("type") == Y.D.TEXT
     entry = F.struct(
@@ -90,16 +94,18 @@ def column_profiles(
     empty_as_text: bool = True,
     k: int = TOP,
     store: bool = True,
+    wide: bool = False,
 ) -> DataFrame:
     """One row per column with counts, most frequent values and an array of type entries.
 
     Values are compared whole, whatever their length; ties are broken by value.  The typed values are written to the
     shared folder at once; without ``store`` nothing runs yet, and every part of the profile will type them anew.
+    With ``wide`` long texts stay in the source, which is read again for those that are shown; the profile is the same.
     """
-    typed = Y.typed(value_counts(df), empty_as_text, keep=("is_blank",))
+    typed = W.typed(W.value_counts(df), empty_as_text) if wide else Y.typed(value_counts(df), empty_as_text, keep=("is_blank",))
     # Starts from the schema, so that a table without rows still lists its columns.
     names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "column_pos int, column_name string")
-    return assembled(results.stored(typed, "typed") if store else typed, names, k)
+    return assembled(results.stored(typed, "typed") if store else typed, names, k, df if wide else None)
 
 
 def nested(columns: DataFrame) -> DataFrame:
