@@ -19,6 +19,12 @@ from ..sources.results import stored
 GRAM = 6
 #: Rows of a table of grams that is broadcast: of at most 24 bytes each, so 50 MB at most.
 SMALL = 1_000_000
+#: Bytes of the texts of a table that is broadcast.
+LIGHT_BYTES = 32_000_000
+#: A word character (of ASCII letters, digits and the underscore; beyond ASCII all but general and CJK punctuation), and any
+#: other: the two kinds of runs that texts are cut into.  Ranges are read faster than Unicode's categories.
+_WORDLIKE = r"a-zA-Z0-9_\x{80}-\x{1FFF}\x{2070}-\x{2FFF}\x{3040}-\x{10FFFF}"
+_WORD, _GAP = f"[{_WORDLIKE}]", f"[^{_WORDLIKE}]"
 #: Letters whose frequency orders the letters of words; the rest count as the rarest.
 RANKED_LETTERS = 4096
 
@@ -52,35 +58,72 @@ def _no_gram() -> Column:
     return F.array().cast("array<string>")
 
 
-def keyword_hits(values: DataFrame, dictionary: DataFrame, value: str = "value", term: str = "term") -> DataFrame:
-    """All distinct (value, term) where the value contains the term.
+def _containing(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """All (word, part) of two tables of distinct texts where the word contains the part, which is not empty.
 
-    An inverted index of grams: a term of up to ``GRAM`` code points is a gram, a longer one has one for each place. Values
-    list their distinct grams that some term has.  Each term then waits under its rarest gram only, and the pairs that
-    meet there are confirmed by ``contains``.  A term with a gram that no value has meets nothing.
+    An inverted index of grams: a part of up to ``GRAM`` code points is a gram, a longer one has one for each place. Words
+    list their distinct grams that some part has.  Each part then waits under its rarest gram only, and the pairs that
+    meet there are confirmed by ``contains``.  A part with a gram that no word has meets nothing.
+    """
+    distinct = stored(words.select(F.monotonically_increasing_id().alias("id"), "word"), "words")
+    of_part = stored(parts.select("part", F.explode(F.when(F.length("part") <= GRAM, F.array("part")).otherwise(_grams(F.col("part"), GRAM))).alias("gram")), "grams")
+    sizes = sorted(r[0] for r in of_part.select(F.length("gram")).distinct().collect())  # at most GRAM numbers
+    every = reduce(lambda all_, n: F.concat(all_, _grams(F.col("word"), n)), sizes, _no_gram())
+    known = _sized(of_part.select("gram").distinct())
+    of_word = stored(distinct.select("id", F.explode(every).alias("gram")).join(known, "gram", "left_semi"), "word-grams")
+    frequency = of_word.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rated = of_part.join(frequency, "gram", "left")
+    waiting = rated.groupBy("part").agg(F.min(F.struct("n", "gram")).alias("key"), F.count_if(F.col("n").isNull()).alias("unknown"))
+    waiting = waiting.where("unknown = 0").select("part", F.col("key.gram").alias("gram"))
+    met = of_word.join(waiting, "gram").select("id", "part")
+    return met.join(distinct, "id").where(F.contains("word", "part")).select("word", "part")
+
+
+def _runs(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), 0)
+
+
+def _light(frame: DataFrame) -> DataFrame:
+    """A stored frame of texts marked for broadcast if it is small by rows and bytes; a larger one is joined as Spark sees fit."""
+    size = frame.agg(F.count(F.lit(1)), F.sum(sum(F.octet_length(c) for c in frame.columns))).first()
+    return F.broadcast(frame) if size[0] <= SMALL // 2 and (size[1] or 0) <= LIGHT_BYTES else frame
+
+
+def keyword_hits(values: DataFrame, dictionary: DataFrame, value: str = "value", term: str = "term", key: str | None = None) -> DataFrame:
+    """All distinct (value, term) where the value contains the term; with ``key``, (key, term) where a value of the key does.
+
+    Words first: a value that contains a term contains the term's longest run of word characters (or of others, if those
+    are longer) inside one of its own runs.  So the distinct runs of all values, which are far fewer than their places,
+    meet the terms' longest runs in an index of grams (``_containing``), once however often they occur, and one read of the
+    values takes from each run the terms that wait there.  Terms of more than one run are confirmed by ``contains``.
 
-    Nulls contain nothing and are no terms; the empty term is contained in every value.  Any number of terms will do:
-    no plan holds them.
+    With ``key`` no value is shuffled, unless terms of several runs meet it; the hits are dealt by their key.  Nulls
+    contain nothing and are no terms; the empty term is contained in every value.  Any number of terms will do: no plan
+    holds them.
     """
     terms = _terms(dictionary, term)
-    distinct = stored(
-        values.select(F.col(value).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-        .select(F.monotonically_increasing_id().alias("id"), "value"), "values")
-    of_term = stored(terms.where("term <> ''").select("term", F.explode(F.when(F.length("term") <= GRAM, F.array("term")).otherwise(_grams(F.col("term"), GRAM))).alias("gram")), "grams")
-    sizes = sorted(r[0] for r in of_term.select(F.length("gram")).distinct().collect())  # at most GRAM numbers
-    every = reduce(lambda all_, n: F.concat(all_, _grams(F.col("value"), n)), sizes, _no_gram())
-    known = _sized(of_term.select("gram").distinct())
-    of_value = stored(distinct.select("id", F.explode(every).alias("gram")).join(known, "gram", "left_semi"), "value-grams")
-    frequency = of_value.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rated = of_term.join(frequency, "gram", "left")
-    waiting = rated.groupBy("term").agg(F.min(F.struct("n", "gram")).alias("key"), F.count_if(F.col("n").isNull()).alias("unknown"))
-    waiting = waiting.where("unknown = 0").select("term", F.col("key.gram").alias("gram"))
-    met = of_value.join(waiting, "gram").select("id", "term")
-    found = met.join(distinct, "id").where(F.contains("value", "term"))
-    pairs = found.select("value", "term")
+    rows = values.select(*([F.col(key).alias("id")] if key else []), F.col(value).cast("string").alias("value")).where(F.col("value").isNotNull())
+    if not key:
+        rows = stored(rows.distinct().select(F.monotonically_increasing_id().alias("id"), "value"), "values")
+    longest = F.array_max(F.transform(_runs(F.col("term"), f"{_WORD}+|{_GAP}+"), lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    of_term = stored(terms.where("term <> ''").select("term", longest.alias("part")), "terms")
+    shape = of_term.groupBy(F.col("part").rlike(_WORD).alias("word")).agg(F.min(F.length("part")).alias("least"), F.max(F.col("part") != F.col("term")).alias("more")).collect()
+    pattern = "|".join("{0}{{{1}}}{0}+".format(_WORD if r["word"] else _GAP, r["least"] - 1) for r in shape) or r"\z."
+    runs = rows.select("id", F.explode(F.array_distinct(_runs(F.col("value"), pattern))).alias("word"))
+    met = _containing(runs.select("word").distinct(), of_term.select("part").distinct()).join(of_term, "part").select("word", "term")
+    found = runs.join(_light(stored(met, "word-terms")), "word").select("id", "term")
+    found = found.repartition("id").distinct()
+    if any(r["more"] for r in shape):
+        several = stored(found.join(_sized(of_term.where("part <> term").select("term")), "term", "left_semi"), "several")
+        held = several.withColumnRenamed("id", "_id").join(rows, F.expr("_id <=> id")).where(F.contains("value", "term")).select("id", "term")
+        # Spark 4.1 takes the union of frames dealt alike for one dealt alike, but merges their partitions differently: the key is an expression.
+        alone = found.join(_sized(of_term.where("part = term").select("term")), "term", "left_semi")
+        found = alone.unionByName(held).select("id", F.concat("term", F.lit("")).alias("term")).distinct()
     if not terms.where("term = ''").isEmpty():
-        pairs = pairs.unionByName(distinct.select("value", F.lit("").alias("term")))
-    return pairs.select(F.col("value").alias(value), F.col("term").alias(term))
+        found = found.unionByName(rows.select("id", F.lit("").alias("term")).distinct())
+    if key:
+        return found.select(F.col("id").alias(key), F.col("term").alias(term))
+    return found.join(rows, "id").select(F.col("value").alias(value), F.col("term").alias(term))
 
 
 def match_keywords(values: DataFrame, dictionary: DataFrame, value: str = "value") -> DataFrame:

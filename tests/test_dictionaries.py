@@ -50,6 +50,24 @@ def test_many_keywords(spark):
     assert terms[0] not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_keywords_by_key(spark, monkeypatch):
+    """Hits by the values' key; distinct words, not the places of the texts, meet the index of grams."""
+    met = []
+    inner = D._containing
+    monkeypatch.setattr(D, "_containing", lambda words, parts: met.append(words.count()) or inner(words, parts))
+    random_ = random.Random(3)
+    words = ["wagon", "wag", "on the", "größe", "été", "x-y", "日本", "--", "a\u3000b"]
+    values = [" ".join(random_.choices(words, k=100)) for _ in range(50)] + [None, "", "waggon", "--x", "a b"]
+    terms = ["wag", "agon", "on the wag", "röß", "t", "x-y x-y", "本", "- ", "--", " ", "", None, "zebra", "a\u3000b"]
+    found = D.keyword_hits(frame(spark, values, "value"), frame(spark, terms, "term"), key="place")
+    want = sorted({(i, t) for i, v in enumerate(values) if v is not None for t in terms if t is not None and t in v})
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert met[0] < 60
+    twice = spark.createDataFrame([(1, "on a wagon"), (1, "wagons"), (None, "wag")], "k int, value string")
+    found = D.keyword_hits(twice, frame(spark, ["wag", "on a"], "term"), key="k")
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "on a"), (1, "wag"), (None, "wag")]
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.6, 0.75, 0.8, 0.9, 1.0])
 def test_similar(spark, threshold):
     random_ = random.Random(int(threshold * 100))
