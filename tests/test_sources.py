@@ -3,7 +3,8 @@ import json
 
 from colprism.sources import labels as M, results
 from colprism.sources.listing import list_datasets
-from colprism.sources.tsv import date_like_sample, has_multiline_fields, parse_column_list, read_tsv, read_value_files
+from colprism.sources.tsv import date_like_sample, has_multiline_fields, parse_column_list, read_tsv, read_value_files, write_value_files
+from pyspark.sql import functions as F
 
 
 def test_tsv(spark, tmp_path):
@@ -52,6 +53,19 @@ def test_value_files(spark, tmp_path):
     assert got == {("x.Color", "red", 3), ("x.Color", "blue", 1), ("x.Color", None, 2), ("y.Zip", "10001", 1)}
 
 
+def test_value_files_in_parts(spark, tmp_path):
+    """A large column is written and read by several tasks, under the column's own name."""
+    rows = [("Big", f"v {i}", i % 7 + 1) for i in range(1000)] + [("Big", None, 2), ("Small", "x", 3), ("Site", "a+b", 250), ("Site", "c", 1)]
+    values = spark.createDataFrame(rows, "column_name string, value string, freq bigint")
+    out = tmp_path / "a b+c"
+    write_value_files(values, str(out), "abcd-1234", without_counts=["Site"], file_rows=100)
+    assert len(list((out / "abcd-1234.Big.txt.gz").glob("part-*.gz"))) == 11
+    assert (out / "abcd-1234.Small.txt.gz").is_file()
+    back = read_value_files(spark, str(out)).groupBy("column_name", "value").agg(F.sum("freq").alias("freq"))
+    assert {tuple(r) for r in back.collect()} == {(f"abcd-1234.{c}", v, n) for c, v, n in rows}
+    assert back.where("column_name LIKE '%Site'").count() == 2 and read_value_files(spark, str(out / "abcd-1234.Big.txt.gz")).count() == 1001
+
+
 def test_column_list(spark):
     lines = spark.createDataFrame([("['a.x.txt.gz', 'b.y.txt.gz', 'a.x.txt.gz']",)], "value string")
     assert sorted(r.file_name for r in parse_column_list(lines).collect()) == ["a.x.txt.gz", "b.y.txt.gz"]
