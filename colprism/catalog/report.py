@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import report as Q, typing as Y
-from ..operators.cells import cells
+from ..operators.cells import type_cells
 from ..sources import results
 from . import inputs as I
 from .registry import query, stored_once, table
@@ -47,7 +47,7 @@ COLUMNS = {
 def column_types(spark, sf_dir, empty_as_text: bool = True) -> DataFrame:
     """Types of every column of every table in one job, without a shuffle of values."""
     frames = [
-        cells(table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, (_, e) in columns.items()]), name)
+        type_cells(table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, (_, e) in columns.items()]), name)
         for name, columns in COLUMNS.items()
     ]
     typed = Y.typed(reduce(DataFrame.unionByName, frames), empty_as_text=empty_as_text)

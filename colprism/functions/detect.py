@@ -101,8 +101,6 @@ def without_commas(value: Column) -> Column:
 
 
 def number_tag(value: Column) -> Column:
-    """INTEGER or REAL for a number text, else null."""
-    return (
-        F.when(value.rlike(INTEGER_SHAPE), F.lit(INTEGER))
-        .when(value.rlike(REAL_SHAPE), F.lit(REAL))
-    )
+    """INTEGER or REAL for a number text, else null; the shapes begin with a digit, a sign or a point, all between + and 9."""
+    shaped = F.when(value.rlike(INTEGER_SHAPE), F.lit(INTEGER)).when(value.rlike(REAL_SHAPE), F.lit(REAL))
+    return F.when((value >= "+") & (value < ":"), shaped)

@@ -9,6 +9,9 @@ distinct values are turned into text.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.detect import DATETIME, INTEGER, REAL, TEXT
@@ -63,14 +66,16 @@ def _slots(field: T.StructField) -> dict[str, str]:
     return {"text": f"nullif({value}, '')"}
 
 
-def _slot_rows(df: DataFrame) -> DataFrame:
-    """A row per cell, by one ``stack`` over all columns: column_pos and the slots."""
-    entries = []
-    for position, field in enumerate(df.schema.fields):
+def _slot_rows(df: DataFrame, places: Sequence[int] | None = None) -> DataFrame:
+    """A row per cell, by one ``stack`` over all columns, or those at ``places``: column_pos and the slots."""
+    entries, fields = [], df.schema.fields
+    places = range(len(fields)) if places is None else places
+    for position in places:
+        field = fields[position]
         filled = _slots(field)
         entries.append(str(position))
         entries += [filled.get(slot, f"CAST(NULL AS {kind})") for slot, kind in SLOTS.items()]
-    return df.selectExpr(f"stack({len(df.columns)}, {', '.join(entries)}) AS (column_pos, {', '.join(SLOTS)})")
+    return df.selectExpr(f"stack({len(places)}, {', '.join(entries)}) AS (column_pos, {', '.join(SLOTS)})")
 
 
 def value_text() -> Column:
@@ -114,6 +119,29 @@ def cells(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
     return _with_dataset(_named(_slot_rows(df), df), dataset_name)
 
 
+def _examples(df: DataFrame, places: Sequence[int]) -> DataFrame:
+    """Two rows with the columns of ``df``: a value of each column at ``places`` if it has one, and a null if it has one."""
+    fields = df.schema.fields
+    cell = lambda i: F.col(_quoted(fields[i]))
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[f(cell(i)).alias(f"{name}{i}") for i in places for name, f in (("n", F.count), ("c", F.max))])
+    two = one.where("n > 0").select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("second"))
+    shown = lambda i: F.when(F.col("second") & (F.col(f"n{i}") < F.col("n")), F.lit(None)).otherwise(F.col(f"c{i}"))
+    chosen = set(places)
+    return two.select(*[(shown(i) if i in chosen else F.lit(None)).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
+
+
+def type_cells(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
+    """Cells that hold every type of every column: all cells of texts, and at most two of a column that the schema types.
+
+    There a type follows from whether a cell is null, which one aggregation tells; only texts become rows.
+    """
+    kinds = [profile_type(field) for field in df.schema.fields]
+    texts, known = ([i for i, kind in enumerate(kinds) if (kind == TEXT) == is_text] for is_text in (True, False))
+    parts = [(df, texts), (_examples(df, known), known)]
+    rows = [_named(_slot_rows(source, places), df) for source, places in parts if places]
+    return _with_dataset(reduce(DataFrame.unionByName, rows), dataset_name)
+
+
 def value_counts(df: DataFrame, dataset_name: str | None = None) -> DataFrame:
     """One row per column and distinct value, whole whatever its length, with the number of cells ``cnt``."""
     rows = _slot_rows(df)

@@ -233,3 +233,17 @@ def test_documents_profile(spark, tiny):
     top = duckdb.execute(f"SELECT count(*) AS n FROM '{path}' GROUP BY text ORDER BY n DESC LIMIT 5").fetchall()
     for text, (n,) in zip(row.frequent_values, top):
         assert duckdb.execute(f"SELECT count(*) FROM '{path}' WHERE text = ?", [text]).fetchall()[0][0] == n
+
+
+def test_types_without_a_row_per_typed_cell(spark):
+    """Types by the schema come from two cells a column; the types are those of all cells."""
+    from colprism.operators.cells import cells, type_cells
+
+    rows = [(1, None, 2.5, "x", None), (None, None, float("nan"), "7", None), (3, None, -0.0, " ", None)] * 50
+    df = spark.createDataFrame(rows, "`a.b` bigint, none date, r double, t string, `n``x` string")
+    for frame, most in ((df, 306), (df.limit(0), 0), (df.select("t"), 150), (df.select("`a.b`", "none"), 4)):
+        some = type_cells(frame, "d")
+        assert some.count() <= most
+        for blank in (True, False):
+            of = lambda c: sorted(map(str, Y.types_per_column(Y.typed(c, empty_as_text=blank)).collect()))
+            assert of(some) == of(cells(frame, "d"))
