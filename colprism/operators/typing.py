@@ -171,9 +171,9 @@ def summaries(typed_cells: DataFrame) -> DataFrame:
 STATS = ["count", "mean", "stddev", "average_length"]
 
 
-def full_stats(typed_cells: DataFrame) -> DataFrame:
-    """Cells, mean, population standard deviation and average length, a row per column and type."""
-    return summaries(typed_cells).select(*keys(typed_cells, "type"), *STATS)
+def full_stats(typed_cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Cells, mean, population standard deviation and average length, a row per column and type; from ``known`` summaries if there are."""
+    return (summaries(typed_cells) if known is None else known).select(*keys(typed_cells, "type"), *STATS)
 
 
 def type_stats(typed_cells: DataFrame) -> DataFrame:
@@ -184,16 +184,16 @@ def deviations(typed_cells: DataFrame) -> DataFrame:
     return full_stats(typed_cells).select(*keys(typed_cells, "type"), "stddev")
 
 
-def extremes(typed_cells: DataFrame) -> DataFrame:
+def extremes(typed_cells: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Text of the largest and the smallest number or date with ``full_stats``, a row per column and type of numbers or dates.
 
     Among equal ones the maximum takes the lexically largest text, the minimum the smallest.  ``summaries`` finds the
-    parts of the extremes; a second read compares texts of those cells only that hold one.  Both are hash aggregations.
+    parts of the extremes, unless they are ``known``; a second read compares texts of those cells only that hold one.  Both are hash aggregations.
     """
     by = keys(typed_cells, "type")
     rows = _only(typed_cells, ~F.col("type").isin(D.TEXT, UNTYPED))
     rows = rows.select(*by, "value", "moment", _huge_size().alias("size"), "whole", "number")
-    rows = rows.join(F.broadcast(summaries(typed_cells)), by)  # at most five rows per column of the table
+    rows = rows.join(F.broadcast(summaries(typed_cells) if known is None else known), by)  # at most five rows per column of the table
 
     def at(name: str) -> Column:
         is_end = lambda c: F.col(c).eqNullSafe(F.col(f"{name}_{c}"))

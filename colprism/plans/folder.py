@@ -140,7 +140,7 @@ def profile_files(spark: SparkSession, path: str, dataset_of: Callable[[Column],
     counts = results.stored(_raw_counts(records, names, width), "raw-counts")
     slots = _slot_counts(counts, _inferred(counts))
     typed = results.stored(Y.typed(slots, empty_as_text, keep=("is_blank",)), "typed")
-    return nested(assembled(typed, names, k))
+    return nested(assembled(typed, names, k, known=results.stored(Y.summaries(typed), "summaries")))
 
 
 def profile_folder(spark: SparkSession, path: str, out: str, **options) -> DataFrame:

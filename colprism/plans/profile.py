@@ -52,15 +52,15 @@ def _lists(shown: DataFrame) -> DataFrame:
     )
 
 
-def assembled(typed: DataFrame, names: DataFrame, k: int = TOP, source: DataFrame | None = None) -> DataFrame:
+def assembled(typed: DataFrame, names: DataFrame, k: int = TOP, source: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """One row per column of ``names`` (key, column_name) with counts, most frequent values and an array of type entries.
 
     ``typed`` holds the typed distinct values of one dataset or, with ``dataset_name``, of many; with ``source``, those of
-    ``operators.wide`` of that one dataset.
+    ``operators.wide`` of that one dataset.  With ``known`` summaries of the types they are not computed, twice, from ``typed``.
     """
     by = _by(typed)
-    ends = Y.extremes(typed).select(*by, "type", "max_value", "min_value")
-    types = Y.full_stats(typed).join(ends, [*by, "type"], "left")
+    ends = Y.extremes(typed, known).select(*by, "type", "max_value", "min_value")
+    types = Y.full_stats(typed, known).join(ends, [*by, "type"], "left")
     lists = _lists(_shown_values(typed, k, source))
     types = types.join(lists.drop("frequent_values"), by, "left")
     is_text = F.col("type") == Y.D.TEXT
@@ -105,7 +105,10 @@ def column_profiles(
     typed = W.typed(W.value_counts(df), empty_as_text) if wide else Y.typed(value_counts(df), empty_as_text, keep=("is_blank",))
     # Starts from the schema, so that a table without rows still lists its columns.
     names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "column_pos int, column_name string")
-    return assembled(results.stored(typed, "typed") if store else typed, names, k, df if wide else None)
+    if not store:
+        return assembled(typed, names, k, df if wide else None)
+    typed = results.stored(typed, "typed")
+    return assembled(typed, names, k, df if wide else None, results.stored(Y.summaries(typed), "summaries"))
 
 
 def nested(columns: DataFrame) -> DataFrame:

@@ -247,3 +247,11 @@ def test_types_without_a_row_per_typed_cell(spark):
         for blank in (True, False):
             of = lambda c: sorted(map(str, Y.types_per_column(Y.typed(c, empty_as_text=blank)).collect()))
             assert of(some) == of(cells(frame, "d"))
+
+
+def test_summaries_are_computed_once(spark, monkeypatch):
+    calls, inner = [], Y.summaries
+    monkeypatch.setattr(Y, "summaries", lambda typed: calls.append(1) or inner(typed))
+    df = spark.createDataFrame([(1, "a", 1.5), (2, "7", None), (None, " ", 2.5)], "i int, t string, r double")
+    stored = profile_dataset(df, "d").collect()
+    assert len(calls) == 1 and stored == profile_dataset(df, "d", store=False).collect()
