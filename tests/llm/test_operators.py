@@ -381,6 +381,21 @@ def test_suffix_dedup(docs, rows, none, spark):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_suffix_dedup_reads_texts_as_often_with_common_anchors(spark, docs, rows):
+    reads = {}
+    for hot in (50_000, 5):
+        read = spark.sparkContext.accumulator(0)
+
+        def counting(text):
+            read.add(1)
+            return text
+
+        counted = docs.withColumn("text", F.udf(counting, "string").asNondeterministic()("text"))
+        assert suffix_dedup.remove_repeats(counted, length=40, gram=8, hot=hot).count() == len(rows)
+        reads[hot] = read.value
+    assert reads[5] == reads[50_000] > 0
+
+
 def test_induced_sorting():
     random_ = random.Random(1)
     for _ in range(200):
